@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drawgraph.llm import quality, sharding
+from drawgraph.llm import pii, quality, sharding
 from drawgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
@@ -22,6 +26,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
     "op6_quality_rules": op6_quality_rules,
     "op10_sharding": op10_sharding,
 }
