@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from drawgraph.llm import packing, pii, quality, sharding
+from drawgraph.llm import fingerprints, packing, pii, quality, sharding
 from drawgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
@@ -33,6 +37,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op4_packing": op4_packing,
+    "op5_fingerprints": op5_fingerprints,
     "op6_quality_rules": op6_quality_rules,
     "op10_sharding": op10_sharding,
 }
