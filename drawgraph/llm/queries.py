@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from drawgraph.llm import fingerprints, packing, pii, quality, sharding, urls
+from drawgraph.llm import fingerprints, jaccard, packing, pii, quality, sharding, urls
 from drawgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), trusted)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Query] = {
     "op4_packing": op4_packing,
     "op5_fingerprints": op5_fingerprints,
     "op6_quality_rules": op6_quality_rules,
+    "op7_jaccard_join": op7_jaccard_join,
     "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
 }
