@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from drawgraph.llm import fingerprints, jaccard, packing, pii, quality, sharding, urls
+from drawgraph.llm import fingerprints, jaccard, mixing, packing, pii, quality, sharding, urls
 from drawgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
+    targets = {"good": 0.9, "poor": 0.06, "toxic": 0.04}
+    return mixing.rates(table(spark, sf_dir, "documents"), labelled, targets)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -44,6 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op5_fingerprints": op5_fingerprints,
     "op6_quality_rules": op6_quality_rules,
