@@ -236,7 +236,7 @@ def signatures(docs: DataFrame, text_col: str, words: int, percent: int, sketch:
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, node long, n int, role short")
 
 
-def _filter_bits(nodes: DataFrame) -> np.ndarray:
+def filter_bits(nodes: DataFrame) -> np.ndarray:
     """Bitmap of hashes of ``h``: at most 2 ** FILTER_BITS bits reach the driver, as words of 64."""
     slot = F.pmod(F.xxhash64("h"), F.lit(1 << FILTER_BITS))
     words = (
@@ -252,7 +252,7 @@ def _filter_bits(nodes: DataFrame) -> np.ndarray:
 
 def sets(docs: DataFrame, keys: DataFrame, text_col: str, words: int) -> DataFrame:
     """Rows (node, b, n, items) of the sets of the texts whose hash is in ``keys`` (column h), and perhaps a few others."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(keys))
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(keys))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
     rows = rows.select(
