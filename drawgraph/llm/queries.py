@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from drawgraph.llm import fingerprints, jaccard, mixing, packing, passages, pii, quality, sharding, urls
+from drawgraph.llm import fingerprints, jaccard, mixing, packing, passages, pii, quality, sharding, urls, warc
 from drawgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
     targets = {"good": 0.9, "poor": 0.06, "toxic": 0.04}
@@ -54,6 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op5_fingerprints": op5_fingerprints,
