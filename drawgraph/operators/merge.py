@@ -67,7 +67,7 @@ def enrich_conditions(components: DataFrame, conditions: DataFrame, fields: tupl
 
 
 def stitch_edges(connections: DataFrame) -> DataFrame:
-    """Bridges between neighbour tiles: (tile, seq, other_tile, other_seq, src, dst, line_tag).
+    """Bridges between neighbour tiles of a drawing: (pid, tile, seq, other_tile, other_seq, src, dst, line_tag).
 
     A connection that touches an edge meets every connection that touches the opposite edge of the tile behind it.
     """
@@ -85,15 +85,15 @@ def stitch_edges(connections: DataFrame) -> DataFrame:
     ).filter(~F.col("_t.real").startswith("EDGE_"))
     opposite = reduce(lambda acc, e: acc.when(F.col("_t.edge") == e[0], F.struct(F.lit(e[1]).alias("edge"), F.lit(e[2]).alias("dr"), F.lit(e[3]).alias("dc"))), EDGES, F)
     here = touches.withColumn("_o", opposite).select(
-        "tile", "seq", F.col("_t.real").alias("src"), "line_tag", F.col("_o.edge").alias("edge"),
+        "pid", "tile", "seq", F.col("_t.real").alias("src"), "line_tag", F.col("_o.edge").alias("edge"),
         (F.col("_k.row") + F.col("_o.dr")).alias("row"), (F.col("_k.col") + F.col("_o.dc")).alias("col"),
     )
     there = touches.select(
-        F.col("tile").alias("other_tile"), F.col("seq").alias("other_seq"), F.col("_t.real").alias("dst"),
+        "pid", F.col("tile").alias("other_tile"), F.col("seq").alias("other_seq"), F.col("_t.real").alias("dst"),
         F.col("line_tag").alias("_line"), F.col("_t.edge").alias("edge"), F.col("_k.row").alias("row"), F.col("_k.col").alias("col"),
     )
-    return here.join(there, ["edge", "row", "col"]).select(
-        "tile", "seq", "other_tile", "other_seq", "src", "dst", F.coalesce("line_tag", "_line").alias("line_tag")
+    return here.join(there, ["pid", "edge", "row", "col"]).select(
+        "pid", "tile", "seq", "other_tile", "other_seq", "src", "dst", F.coalesce("line_tag", "_line").alias("line_tag")
     )
 
 

@@ -118,11 +118,11 @@ def detections_report(t: Source) -> DataFrame:
 
 @query(
     "dataset_totals",
-    """WITH i AS (SELECT dataset, stem, count(*) FILTER (len(string_split(line, ' ')) = 5) AS n FROM {label_lines} WHERE ann_id % 3 = 0 GROUP BY ALL)
+    """WITH i AS (SELECT dataset, stem, count(*) FILTER (len(string_split(line, ' ')) = 5) AS n FROM {label_lines} GROUP BY ALL)
     SELECT coalesce(dataset, 'all') AS dataset, count(*) AS images, count(*) FILTER (n > 0) AS labelled, CAST(sum(n) AS BIGINT) AS annotations FROM i GROUP BY ROLLUP (dataset)""",
 )
 def dataset_totals(t: Source) -> DataFrame:
-    images = t("label_lines").filter("ann_id % 3 = 0").groupBy("dataset", "stem").agg(F.count_if(F.size(F.split("line", " ")) == 5).alias("n"))
+    images = t("label_lines").groupBy("dataset", "stem").agg(F.count_if(F.size(F.split("line", " ")) == 5).alias("n"))
     return B.dataset_totals(images)
 
 
@@ -137,12 +137,12 @@ def corrupt_lines(t: Source) -> DataFrame:
 
 @query(
     "label_log",
-    """WITH s AS (SELECT DISTINCT 'img' || CAST(doc_id AS STRING) AS stem FROM {documents}), c AS (SELECT stem, count(*) FILTER (len(string_split(line, ' ')) >= 5) AS ok FROM {label_lines} WHERE ann_id % 50 = 0 OR ann_id % 101 = 0 GROUP BY stem)
+    """WITH s AS (SELECT DISTINCT 'img' || CAST(doc_id AS STRING) AS stem FROM {documents}), c AS (SELECT stem, count(*) FILTER (len(string_split(line, ' ')) >= 5) AS ok FROM {label_lines} GROUP BY stem)
     SELECT s.stem, CASE WHEN ok IS NULL THEN 'no label file' ELSE 'no valid line' END AS reason FROM s LEFT JOIN c ON s.stem = c.stem WHERE ok IS NULL OR ok = 0""",
 )
 def label_log(t: Source) -> DataFrame:
     stems = t("documents").select(F.concat(F.lit("img"), F.col("doc_id").cast("string")).alias("stem")).distinct()
-    return B.label_log(t("label_lines").filter("ann_id % 50 = 0 or ann_id % 101 = 0"), stems)
+    return B.label_log(t("label_lines"), stems)
 
 
 _PIX = "SELECT vec_id AS image, unnest(embedding) AS e FROM {embeddings}"
@@ -260,7 +260,7 @@ def tag_context(t: Source) -> DataFrame:
 @query("lines_near_tag")
 def lines_near_tag(t: Source) -> DataFrame:
     docs = t("documents")
-    return T.near_mentions(T.mentions(docs, r"\b(?:stupid|idiot)\b"), T.mentions(docs, r"[A-Za-z0-9.]+@[a-z0-9.]+"), 400)
+    return T.near_mentions(T.mentions(docs, r"\b[Tt]he\b"), T.mentions(docs, r"[A-Za-z0-9.]+@[a-z0-9.]+"), 400)
 
 
 @query(

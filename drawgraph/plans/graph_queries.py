@@ -118,14 +118,14 @@ def adjacency(t: Source) -> DataFrame:
 @query(
     "find_path",
     """WITH RECURSIVE adj AS (SELECT src AS u, dst AS v, edge_seq || 'a' AS pos FROM {g_edges} UNION ALL SELECT dst, src, edge_seq || 'b' FROM {g_edges} WHERE kind IN ('process', 'signal')),
-    q AS (SELECT 'q' || CAST(c_custkey AS STRING) AS query, 'C:' || CAST(c_custkey AS STRING) AS start, 'S:' || CAST(1 + c_custkey % 9 AS STRING) AS goal FROM {customer} WHERE c_custkey % 500 = 1),
+    q AS (SELECT 'q' || CAST(c_custkey AS STRING) AS query, 'C:' || CAST(c_custkey AS STRING) AS start, 'S:' || CAST(1 + c_custkey % 9 AS STRING) AS goal FROM {customer}),
     walk AS (SELECT query, goal, start AS here, [start] AS path, CAST([] AS STRING[]) AS key FROM q UNION ALL
     SELECT w.query, w.goal, a.v, list_append(w.path, a.v), list_append(w.key, a.pos) FROM walk w JOIN adj a ON w.here = a.u WHERE w.here <> w.goal AND len(w.path) <= 3 AND NOT list_contains(w.path, a.v))
     SELECT query, CAST(len(path) - 1 AS BIGINT) AS hops, array_to_string(path, '>') AS path FROM walk WHERE here = goal QUALIFY row_number() OVER (PARTITION BY query ORDER BY len(path), key) = 1""",
 )
 def find_path(t: Source) -> DataFrame:
     k = F.col("c_custkey")
-    queries = t("customer").filter("c_custkey % 500 = 1").select(
+    queries = t("customer").select(
         F.concat(F.lit("q"), k.cast("string")).alias("query"), F.concat(F.lit("C:"), k.cast("string")).alias("start"), F.concat(F.lit("S:"), (1 + k % 9).cast("string")).alias("goal")
     )
     return graph.find_path(t("g_edges"), queries, 3).select("query", "hops", F.array_join("path", ">").alias("path"))
@@ -145,11 +145,11 @@ def impact_region(t: Source) -> DataFrame:
 @query(
     "impact_region_up",
     """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {g_edges} WHERE kind IN ('process', 'signal', 'impulse')),
-    walk AS (SELECT id AS origin, id AS here, 0 AS hops FROM {g_nodes} WHERE type = 'valve' AND k % 10 = 1 UNION SELECT w.origin, e.src, w.hops + 1 FROM walk w JOIN e ON w.here = e.dst WHERE w.hops < 2)
+    walk AS (SELECT id AS origin, id AS here, 0 AS hops FROM {g_nodes} WHERE type = 'valve' UNION SELECT w.origin, e.src, w.hops + 1 FROM walk w JOIN e ON w.here = e.dst WHERE w.hops < 2)
     SELECT origin, here AS id, CAST(min(hops) AS BIGINT) AS hops FROM walk GROUP BY origin, here HAVING min(hops) > 0""",
 )
 def impact_region_up(t: Source) -> DataFrame:
-    origins = t("g_nodes").filter("type = 'valve' and k % 10 = 1").select(F.col("id").alias("origin"))
+    origins = t("g_nodes").filter("type = 'valve'").select(F.col("id").alias("origin"))
     return graph.impact_region(t("g_edges"), origins, 2, "up")
 
 
@@ -247,6 +247,6 @@ def spec_breaks(t: Source) -> DataFrame:
     return t("p_nodes").filter("spec_change").select("id", "from_spec", "to_spec")
 
 
-@query("blinds", "SELECT id, tag FROM {g_nodes} WHERE contains(coalesce(subtype, ''), 'steel')")
+@query("blinds", "SELECT id, tag FROM {g_nodes} WHERE contains(coalesce(subtype, ''), 'promo')")
 def blinds(t: Source) -> DataFrame:
-    return t("g_nodes").filter(F.contains(F.coalesce("subtype", F.lit("")), F.lit("steel"))).select("id", "tag")
+    return t("g_nodes").filter(F.contains(F.coalesce("subtype", F.lit("")), F.lit("promo"))).select("id", "tag")

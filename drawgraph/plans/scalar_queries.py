@@ -201,11 +201,10 @@ def call_cost(t: Source) -> DataFrame:
 
 @query(
     "title_block",
-    r"""SELECT doc_id, l[1] AS title, l[2] AS system FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM {documents} WHERE doc_id % 2 = 0) u""",
+    r"""SELECT doc_id, l[1] AS title, l[2] AS system FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM {documents}) u""",
 )
 def title_block(t: Source) -> DataFrame:
-    pages = t("documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1).alias("page"), "text")
-    return lists.title_block(pages.filter("page = 2")).select("doc_id", "title", "system")
+    return lists.title_block(t("documents")).select("doc_id", "title", "system")
 
 
 @query(

@@ -30,9 +30,9 @@ def rule_vessel(t: Source) -> DataFrame:
     return validate.rule_vessel(t("p_nodes"), "build")
 
 
-@query("rule_psv", f"SELECT pid, id, {_TWO} AS missing, 'high' AS severity FROM {{p_nodes}} WHERE (contains(upper(tag), 'HV-00') OR contains(coalesce(subtype, ''), 'brass')) AND {_TWO} <> ''")
+@query("rule_psv", f"SELECT pid, id, {_TWO} AS missing, 'high' AS severity FROM {{p_nodes}} WHERE (contains(upper(tag), 'HV-00') OR contains(coalesce(subtype, ''), 'small')) AND {_TWO} <> ''")
 def rule_psv(t: Source) -> DataFrame:
-    return validate.rule_psv(t("p_nodes"), "HV-00", ("brass",))
+    return validate.rule_psv(t("p_nodes"), "HV-00", ("small",))
 
 
 def _heads(where: str, value: str, n: int) -> str:

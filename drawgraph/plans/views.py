@@ -95,7 +95,7 @@ VIEWS: dict[str, str] = {
         "CASE l_partkey % 3 WHEN 0 THEN 'type' WHEN 1 THEN 'tag' ELSE 'props.size' END AS fld, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE 'x' || CAST(l_suppkey AS STRING) END AS val FROM {lineitem}) u"
     ),
     "x_connections": (
-        "SELECT 'r' || CAST(1 + CAST(floor((k % 6) / 3) AS INT) AS STRING) || 'c' || CAST(1 + k % 3 AS STRING) AS tile, seq, "
+        "SELECT 'd' || CAST(CAST(floor(k / 24) AS BIGINT) AS STRING) AS pid, 'r' || CAST(1 + CAST(floor((k % 6) / 3) AS INT) AS STRING) || 'c' || CAST(1 + k % 3 AS STRING) AS tile, seq, "
         "CASE WHEN p % 170 = 0 THEN 'EDGE_LEFT' WHEN p % 170 = 17 THEN 'EDGE_TOP' ELSE 'k' || CAST(p % 997 AS STRING) END AS src, "
         "CASE WHEN p % 170 = 34 THEN 'EDGE_RIGHT' WHEN p % 170 = 51 THEN 'EDGE_BOTTOM' ELSE 'k' || CAST(s % 997 AS STRING) END AS dst, "
         "CASE WHEN p % 2 = 0 THEN NULL ELSE 'LN-' || CAST(p AS STRING) END AS line_tag "
