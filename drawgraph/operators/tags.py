@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,24 +49,26 @@ def drop_prefix_tags(tags: DataFrame) -> DataFrame:
 def dedup_proximity(tags: DataFrame, near: int = 50) -> DataFrame:
     """Greedy by confidence, then position: a tag is dropped if a kept one of its name is nearer than ``near`` on both axes.
 
-    The choice depends on order, so each (page, tag) is scanned by itself, with the kept ones in a grid of ``near``: a
-    row meets those of nine cells only.
+    The choice depends on order, so rows of a (page, tag) are scanned in turn, with the kept ones in a grid of ``near``:
+    a row meets those of nine cells only, and a task holds no more than one group's kept places.
     """
-    names = tags.columns
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["conf", "pos"], ascending=[False, True], kind="stable")
-        grid: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        kept = []
-        for x, y in zip(group["x"], group["y"], strict=True):
-            i, j = int(x // near), int(y // near)
-            close = any(abs(x - a) < near and abs(y - b) < near for di in (-1, 0, 1) for dj in (-1, 0, 1) for a, b in grid.get((i + di, j + dj), ()))
-            kept.append(not close)
-            if not close:
-                grid.setdefault((i, j), []).append((x, y))
-        return group[kept][names]
-
-    return tags.groupBy("page", "tag").applyInPandas(scan, tags.schema)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, grid = None, {}
+        for batch in batches:
+            kept = []
+            for page, tag, x, y in zip(batch["page"], batch["tag"], batch["x"], batch["y"], strict=True):
+                if (page, tag) != group:
+                    group, grid = (page, tag), {}
+                i, j = int(x // near), int(y // near)
+                around = ((i + di, j + dj) for di in (-1, 0, 1) for dj in (-1, 0, 1))
+                close = any(abs(x - a) < near and abs(y - b) < near for cell in around for a, b in grid.get(cell, ()))
+                kept.append(not close)
+                if not close:
+                    grid.setdefault((i, j), []).append((x, y))
+            yield batch[kept]
+
+    return tags.repartition("page", "tag").sortWithinPartitions("page", "tag", F.desc("conf"), "pos").mapInPandas(scan, tags.schema)
 
 
 def aggregate_tags(tags: DataFrame) -> DataFrame:

@@ -205,7 +205,7 @@ def drop_prefix_tags(t: Source) -> DataFrame:
 
 @query("dedup_proximity")
 def dedup_proximity(t: Source) -> DataFrame:
-    return T.dedup_proximity(t("tags").withColumn("page", F.floor(F.col("page") / 20)).withColumn("pos", F.xxhash64("pos", "x", "y", "conf"))).select("page", "pos", "tag", "x", "y", "conf")
+    return T.dedup_proximity(t("tags").withColumn("pos", F.col("page") * 100 + F.col("pos")).withColumn("page", F.floor(F.col("page") / 20))).select("page", "pos", "tag", "x", "y", "conf")
 
 
 @query("aggregate_tags", "SELECT tag, count(*) AS n, arg_min(page, page * 1000 + pos) AS first_page, max(conf) AS best FROM {tags} GROUP BY tag")

@@ -136,11 +136,12 @@ def yolo_line(t: Source) -> DataFrame:
 @query(
     "remap_class",
     """SELECT stem, ann_id, new_cls FROM (SELECT stem, ann_id, CASE WHEN regexp_full_match(line, '\\d+( [0-9.]+){{4}}') AND CAST(split_part(line, ' ', 1) AS INT) BETWEEN 1 AND 7
-    THEN CAST(split_part(line, ' ', 1) AS INT) - 1 END AS new_cls FROM {label_lines}) u QUALIFY bool_and(new_cls IS NOT NULL) OVER (PARTITION BY stem)""",
+    THEN CAST(split_part(line, ' ', 1) AS INT) - 1 END AS new_cls FROM (SELECT 'o' || CAST(CAST(floor(ann_id / 1000000) AS BIGINT) AS STRING) AS stem, ann_id, line FROM {label_lines}) v) u QUALIFY bool_and(new_cls IS NOT NULL) OVER (PARTITION BY stem)""",
 )
 def remap_class(t: Source) -> DataFrame:
     mapping = {i: i - 1 for i in range(1, 8)}
-    return lists.remap_classes(t("label_lines"), mapping).select("stem", "ann_id", "new_cls")
+    files = t("label_lines").withColumn("stem", F.concat(F.lit("o"), F.floor(F.col("ann_id") / 1000000).cast("string")))
+    return lists.remap_classes(files, mapping).select("stem", "ann_id", "new_cls")
 
 
 @query(

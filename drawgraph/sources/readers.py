@@ -54,7 +54,7 @@ def tag_list(text: Column) -> Column:
 
 def read_tag_lists(spark: SparkSession, path: str) -> DataFrame:
     """(pid, tag) of a folder of tag files."""
-    files = spark.read.option("wholetext", True).text(path).select(_stem(F.col("_metadata.file_name")).alias("pid"), "value")
+    files = spark.read.text(path, wholetext=True).select(_stem(F.col("_metadata.file_name")).alias("pid"), "value")
     return files.select("pid", F.explode(tag_list(F.col("value"))).alias("tag"))
 
 
@@ -100,7 +100,7 @@ def graphml_boxes(docs: DataFrame) -> DataFrame:
 
 
 def read_graphml(spark: SparkSession, path: str) -> DataFrame:
-    return graphml_boxes(spark.read.option("wholetext", True).text(path).select(_stem(F.col("_metadata.file_name")).alias("stem"), F.col("value").alias("xml")))
+    return graphml_boxes(spark.read.text(path, wholetext=True).select(_stem(F.col("_metadata.file_name")).alias("stem"), F.col("value").alias("xml")))
 
 
 def pixel_rows(lines: DataFrame, pixels: int) -> DataFrame:
@@ -111,7 +111,7 @@ def pixel_rows(lines: DataFrame, pixels: int) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """(path, mtime, text) of whole files."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("value").alias("text"))
 
 

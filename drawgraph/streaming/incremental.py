@@ -32,7 +32,7 @@ def stream_json(spark: SparkSession, source: str, schema: str, sink: str, checkp
 
 def stream_counts(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, delay: str = "1 hour") -> None:
     """Counts of events by hour and type from Parquet files that arrived, late events within ``delay`` included."""
-    events = spark.readStream.schema(schema).parquet(source).withWatermark("ts", delay)
+    events = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     counts = events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
     rows = counts.select(F.col("window.start").alias("hour"), "event_type", "n")
     query = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink)
