@@ -126,3 +126,16 @@ def run_tool_calls(t: Source) -> DataFrame:
     args = F.to_json(F.struct(tag.alias("tag"), tag.alias("from_tag"), F.concat(F.lit("C:"), F.col("o_custkey").cast("string")).alias("to_tag"), F.lit("junction").alias("node_type")))
     calls = t("orders").select(k.alias("call_id"), tool.alias("tool"), args.alias("args"))
     return tools.run_tool_calls(calls, t("g_nodes"), t("g_edges"))
+
+
+@query(
+    "scan_images",
+    """WITH p AS (SELECT vec_id, unnest(embedding) AS e FROM {embeddings}), v AS (SELECT vec_id, floor((CAST(e AS DOUBLE) + 1) * 127) AS v FROM p)
+    SELECT 'v' || CAST(vec_id AS STRING) AS origin, avg(CASE WHEN v < 128 THEN 1 ELSE 0 END) AS dark, avg(CASE WHEN v >= 150 THEN 1 ELSE 0 END) AS light FROM v GROUP BY vec_id""",
+)
+def scan_images(t: Source) -> DataFrame:
+    """The rows that the image source gives, made from vectors; ``read_images`` itself is tested on files."""
+    byte = lambda v: F.lpad(F.hex(F.floor((v.cast("double") + 1) * 127)), 2, "0")
+    data = F.unhex(F.array_join(F.transform("embedding", byte), ""))
+    images = t("embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("origin"), F.lit(1).alias("n_channels"), data.alias("data"))
+    return readers.pixel_shares(images, 128, 150)
