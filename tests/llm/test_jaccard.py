@@ -98,6 +98,17 @@ def test_no_partner_is_lost_by_any_allowance():
         assert any(meet(r, index.get(k, 0)) for k, r in zip(p[0].tolist(), p[1].tolist(), strict=True))
 
 
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(6)
+    with np.errstate(over="ignore"):
+        for _ in range(200):
+            a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 2000)), dtype=np.uint64))
+            b = np.union1d(a[int(rng.integers(0, len(a))) :], rng.integers(0, 1 << 63, int(rng.integers(0, 900)), dtype=np.uint64))
+            assert jaccard.parity_gap(jaccard.parity(a), jaccard.parity(b)) <= len(np.setxor1d(a, b))
+        far = jaccard.parity_gap(jaccard.parity(a), jaccard.parity(rng.integers(0, 1 << 63, len(a), dtype=np.uint64)))
+        assert far > 2 * len(a) * 15 // 115
+
+
 def test_shingles_match_words():
     rows = corpus(4)
     texts = [(t or "").encode() for _, t in rows]
