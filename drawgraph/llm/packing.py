@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +37,11 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        encode = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.marks = {b"": b"", b",": encode(","), b".": encode(".")}
 
     @classmethod
     def load(cls, path: str) -> WordIds:
@@ -44,7 +50,44 @@ class WordIds:
         return _LOADED[path]
 
     def learn(self, words: list[bytes]) -> None:
-        """One call for many words: a token belongs to the word in which it starts."""
+        """One call of the tokenizer for many words.
+
+        Words of letters, with or without one comma or dot after them, are the usual ones: such a word is one unit of
+        the tokenizer, whose last token alone has the mark of a word's end, and the comma or dot is a unit of its own.
+        """
+        plain: dict[str, None] = {}
+        ended: list[tuple[bytes, str, bytes]] = []
+        others: list[bytes] = []
+        for word in words:
+            text = word.decode()
+            bare = text[:-1] if text[-1] in ",." else text
+            if bare.isalpha() and (bare.isascii() or unicodedata.normalize("NFC", bare).lower().isalpha()):
+                plain[bare.lower() if bare.isascii() else bare] = None
+                ended.append((word, bare.lower() if bare.isascii() else bare, word[len(bare.encode()) :]))
+            else:
+                others.append(word)
+        units = self._units(list(plain))
+        if units is None:
+            others = words
+        else:
+            for word, bare, mark in ended:
+                self.known[word] = units[bare] + self.marks[mark]
+        if others:
+            self._learn_by_place(others)
+
+    def _units(self, texts: list[str]) -> dict[str, bytes] | None:
+        """Ids of words that are one unit each, cut where a word ends."""
+        if not texts:
+            return {}
+        ids = np.array(self.tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(texts):
+            return None
+        raw, at = ids.tobytes(), [0, *ends.tolist()]
+        return {t: raw[4 * a : 4 * b] for t, a, b in zip(texts, at, at[1:], strict=False)}
+
+    def _learn_by_place(self, words: list[bytes]) -> None:
+        """Of any words: a token belongs to the word in which it starts."""
         texts = [w.decode() for w in words]
         encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         ends = np.cumsum([len(t) + 1 for t in texts])
