@@ -22,17 +22,19 @@ from drawgraph.llm.components import connected
 from drawgraph.llm.shingles import mix, shingle_sets, slices
 
 #: Ratio of the ends of a band of sizes.
-BAND = 1.3
+BAND = 1.5
 #: One in so many segments of a band has its one-deletion neighbours indexed.
-RESERVE = 16
+RESERVE = 32
 #: Slots of the table of frequent shingles; its size does not depend on the input.
 SKETCH_BITS = 18
 #: A task reports the slots in which it counted at least so many documents.
 REPORTED = 16
 #: Bits of the filter of sets that take part in a pair; a full filter lets more through, nothing is lost.
 FILTER_BITS = 26
-#: Leaders that each row of a shared key is compared with before components are known.
-LEADERS = 3
+#: Leaders that each row of a shared key is compared with before components are known; each key draws its own.
+LEADERS = 2
+#: Words of 64 parity bits that a join can compare.
+QUAD = 4
 # roles of a row
 INDEX, INDEX_LESS, PROBE, PROBE_WIDE, PROBE_LESS = 1, 2, 4, 8, 16
 _A, _B, _C = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -139,6 +141,19 @@ def _identity(s: np.ndarray) -> tuple[int, int]:
         return tuple(int(x) for x in mix(np.array([a + np.uint64(len(s)), b], np.uint64)).view(np.int64))
 
 
+def parity(s: np.ndarray, size: int = 0) -> bytes:
+    """Parity bits of a set: ``size``, or half as many as it has shingles (a power of two, 64 at least)."""
+    size = size or max(64, 1 << (len(s) // 2).bit_length())
+    ones = np.bincount((mix(s ^ _A) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(ones.astype(bool), bitorder="little").tobytes()
+
+
+def parity_gap(a: bytes, b: bytes) -> int:
+    """Bits in which two sets' parities differ, the longer one folded; never more than shingles in which they differ."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
+
+
 def _sets_of(batch: pa.RecordBatch, column: int, words: int) -> Iterator[np.ndarray]:
     texts = batch.column(column).cast(pa.binary()).to_pylist()
     with np.errstate(over="ignore"):
@@ -146,8 +161,11 @@ def _sets_of(batch: pa.RecordBatch, column: int, words: int) -> Iterator[np.ndar
             yield from shingle_sets(some, words)
 
 
+NAMES = ["id", "h", "n", "a", "b", "bits", "quad", "slot", "count"]
+
+
 def summaries(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Rows (id, h, n, a, b) of all documents, and rows (slot, count) of frequent shingles of each task."""
+    """Rows (id, h, n, a, b, bits, quad) of all documents, and rows (slot, count) of frequent shingles of each task."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,29 +173,31 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            n, a, b = [], [], []
+            n, a, b, bits, quad = [], [], [], [], []
             for s in _sets_of(batch, 2, words):
                 x, y = _identity(s)
+                bits.append(parity(s))
+                quad.append(np.frombuffer(parity(s, 64 * QUAD), np.int64))
                 n.append(len(s))
                 a.append(x)
                 b.append(y)
                 slots[np.unique(s & np.uint64(len(slots) - 1)).astype(np.int64)] += 1
             none = pa.nulls(len(n), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, none],
-                names=["id", "h", "n", "a", "b", "slot", "count"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bits, pa.binary()), pa.array(quad, pa.list_(pa.int64())), none, none],
+                names=NAMES,
             )
         if id_type is not None:
             high = np.flatnonzero(slots >= REPORTED)
             none = pa.nulls(len(high), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(high), id_type), none, none, none, none, pa.array(high, pa.int64()), pa.array(slots[high], pa.int64())],
-                names=["id", "h", "n", "a", "b", "slot", "count"],
+                [pa.nulls(len(high), id_type), none, none, none, none, pa.nulls(len(high), pa.binary()), pa.nulls(len(high), pa.list_(pa.int64())), pa.array(high, pa.int64()), pa.array(slots[high], pa.int64())],
+                names=NAMES,
             )
 
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text")).mapInArrow(
-        run, f"id {kind}, h long, n long, a long, b long, slot long, count long"
+        run, f"id {kind}, h long, n long, a long, b long, bits binary, quad array<bigint>, slot long, count long"
     )
 
 
@@ -236,11 +256,11 @@ def signatures(docs: DataFrame, text_col: str, words: int, percent: int, sketch:
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, node long, n int, role short")
 
 
-def filter_bits(nodes: DataFrame) -> np.ndarray:
-    """Bitmap of hashes of ``h``: at most 2 ** FILTER_BITS bits reach the driver, as words of 64."""
+def filter_bits(keys: DataFrame) -> np.ndarray:
+    """Bitmap of the numbers in column ``h``: at most 2 ** FILTER_BITS bits reach the driver, as words of 64."""
     slot = F.pmod(F.xxhash64("h"), F.lit(1 << FILTER_BITS))
     words = (
-        nodes.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(h), 64) as int))").alias("bit"))
+        keys.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(h), 64) as int))").alias("bit"))
         .groupBy("w")
         .agg(F.bit_or("bit").alias("bits"))
         .toPandas()
@@ -250,11 +270,12 @@ def filter_bits(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def sets(docs: DataFrame, keys: DataFrame, text_col: str, words: int) -> DataFrame:
-    """Rows (node, b, n, items) of the sets of the texts whose hash is in ``keys`` (column h), and perhaps a few others."""
-    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(keys))
+def sets(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """Rows (node, b, n, items) of the documents (id, h) in ``keys``, and perhaps of a few others."""
+    number = F.xxhash64("h", "id").alias("h")
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(keys.select(number)))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).select(number, "text")
     rows = rows.select(
         F.shiftright(F.pmod(F.xxhash64("h"), F.lit(1 << FILTER_BITS)), 6).cast("int").alias("w"),
         F.pmod(F.xxhash64("h"), F.lit(64)).cast("int").alias("bit"),
@@ -263,31 +284,45 @@ def sets(docs: DataFrame, keys: DataFrame, text_col: str, words: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
-        done: set[tuple[int, int]] = set()
         for batch in batches:
             w, bit = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             batch = batch.filter(pa.array((table[w] >> bit) & 1 == 1))
             node, b, n, items = [], [], [], []
             for s in _sets_of(batch, 2, words):
                 key = _identity(s)
-                if key not in done:
-                    done.add(key)
-                    node.append(key[0])
-                    b.append(key[1])
-                    n.append(len(s))
-                    items.append(s.view(np.int64))
+                node.append(key[0])
+                b.append(key[1])
+                n.append(len(s))
+                items.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(node, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.int64()))],
                 names=["node", "b", "n", "items"],
             )
-            if len(done) > 1_000_000:
-                done.clear()
 
-    return rows.mapInArrow(run, "node long, b long, n long, items array<bigint>").dropDuplicates(["node", "b"])
+    return rows.mapInArrow(run, "node long, b long, n long, items array<bigint>")
+
 
+def _plausible(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The pairs (p, q) whose sizes and parity bits don't rule the similarity out; none that reaches it is lost."""
+    one = groups.select(F.col("node").alias("p"), F.col("n").alias("np"), F.col("bits").alias("bp"))
+    two = groups.select(F.col("node").alias("q"), F.col("n").alias("nq"), F.col("bits").alias("bq"))
 
-def _verified(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most, bp, bq = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            ok = [parity_gap(x, y) <= m for m, x, y in zip(most, bp, bq, strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_())).select([0, 1])
+
+    sized = 100 * F.least("np", "nq") >= percent * F.greatest("np", "nq")
+    most = F.floor((F.col("np") + F.col("nq")) * (100 - percent) / (100 + percent)).cast("long")
+    return pairs.join(one, "p").join(two, "q").filter(sized).select("p", "q", most.alias("most"), "bp", "bq").mapInArrow(run, "p long, q long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, groups: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """Links (x, y), structs of 128 bits, of the candidate pairs (p, q) that reach the similarity."""
+    pairs = cut(_plausible(pairs, groups, percent).distinct())
+    ends = pairs.select(F.col("p").alias("node")).unionByName(pairs.select(F.col("q").alias("node"))).distinct()
+    table = cut(sets(docs, groups.join(ends, "node", "left_semi").select("rep.id", "rep.h"), id_col, text_col, words))
     one = table.select(F.col("node").alias("q"), F.struct("node", "b").alias("y"), F.col("n").alias("ny"), F.col("items").alias("iy"))
     two = table.select(F.col("node").alias("p"), F.struct("node", "b").alias("x"), F.col("n").alias("nx"), F.col("items").alias("ix"))
     same = F.size(F.array_intersect("ix", "iy"))
@@ -296,6 +331,7 @@ def _verified(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
         .join(two, "p")
         .filter(100 * same >= percent * (F.col("nx") + F.col("ny") - same))
         .select("x", "y")
+        .distinct()
     )
 
 
@@ -314,24 +350,31 @@ def classes(
     A document's set holds its distinct shingles of ``words`` words (A-Z lower-cased, cut at ASCII blanks); two
     documents link when 100 * intersection >= ``percent`` * union, and links are followed transitively.
 
-    Equal sets form one class first. Signature keys that two classes share give candidate pairs: each class with a
-    few leaders of its key, which is linear in the size of a hot key, then, once these links are followed, all pairs
-    of a key that may be partners and whose components still differ. Every candidate is verified on whole sets.
+    Equal sets form one class first. Signature keys that two classes share give candidate pairs: each class with
+    leaders that its key draws, which is linear in the size of a hot key, then, once these links are followed, all
+    pairs of a key whose components still differ and which sizes, roles and parity bits leave possible. Every candidate
+    is verified on whole sets.
 
     Null, empty and blank texts link with nothing and are their own component; null ids are no component's name unless
     all of its ids are null; repeated rows are equal texts; an empty table gives no rows; other columns are not read.
     """
     found = cut(summaries(docs, id_col, text_col, words))
-    slim = found.filter("slot is null").select("id", "h", "n", "a", "b")
+    slim = found.filter("slot is null").select("id", "h", "n", "a", "b", "bits", "quad")
+    groups = cut(
+        slim.filter("n > 0")
+        .groupBy(F.col("a").alias("node"), "b")
+        .agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("quad").alias("quad"), F.min(F.struct("id", "h")).alias("rep"), F.min("id").alias("id"))
+    )
     rows = signatures(docs, text_col, words, percent, _sketch(found))
     key_ = "partition by key"
     probing = f"(role & {PROBE | PROBE_LESS}) > 0"
     leaders = [
-        f"min(case when {probing} then struct({'node' if k == 0 else f'xxhash64(node, {k})'} as o, node as v) end) over ({key_}).v as l{k}"
+        f"min(case when {probing} then struct(xxhash64(node, key, {k}) as o, node as v) end) over ({key_}).v as l{k}"
         for k in range(LEADERS)
     ]
     shared = cut(
-        rows.selectExpr("*", f"min(node) over ({key_}) as low", f"max(node) over ({key_}) as high", *leaders)
+        rows.repartition("key")  # first, or what the window reads would be shuffled with the rows
+        .selectExpr("*", f"min(node) over ({key_}) as low", f"max(node) over ({key_}) as high", *leaders)
         .filter("low < high and l0 is not null")
         .drop("low", "high")
     )
@@ -341,13 +384,11 @@ def classes(
         .select(F.least("node", "leader").alias("p"), F.greatest("node", "leader").alias("q"))
         .distinct()
     )
-    involved = slim.join(shared.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
-    table = cut(sets(docs, involved, text_col, words))
-    links = cut(_verified(stars, table, percent))
+    links = cut(_verified(docs, stars, groups, id_col, text_col, words, percent))
     label = connected(links)
     # pairs of a key that may be partners and are not connected yet
-    named = table.select("node", F.struct("node", "b").alias("x")).join(label, "x", "left")
-    named = named.select("node", F.coalesce("label", "x").alias("label"))
+    named = groups.select("node", "quad", F.struct("node", "b").alias("x")).join(label, "x", "left")
+    named = named.select("node", F.coalesce("label", "x").alias("label"), *[F.get("quad", F.lit(k)).alias(f"q{k}") for k in range(QUAD)])
     mixed = (
         shared.select("key", "node", "n", "role")
         .distinct()
@@ -357,9 +398,12 @@ def classes(
         .drop("low", "high")
     )
     mixed = cut(mixed)
-    probe = mixed.filter(probing).select("key", *[F.col(c).alias(f"{c}_p") for c in ("node", "n", "role", "label")])
+    names = ("node", "n", "role", "label", *(f"q{k}" for k in range(QUAD)))
+    probe = mixed.filter(probing).select("key", *[F.col(c).alias(f"{c}_p") for c in names])
+    gap = sum((F.bit_count(F.col(f"q{k}").bitwiseXOR(F.col(f"q{k}_p"))) for k in range(QUAD)), F.lit(0))
     rest = (
         probe.join(mixed, "key")
+        .filter(gap <= (F.col("n") + F.col("n_p")) * (100 - percent) / (100 + percent))
         .filter((F.col("label") != F.col("label_p")) & (F.col("node") != F.col("node_p")))
         .filter((F.col("n_p") <= F.col("n")) & (100 * F.col("n_p") >= percent * F.col("n")))
         .filter(_compatible(F.col("role_p"), F.col("role")))
@@ -367,18 +411,16 @@ def classes(
         .distinct()
         .join(stars, ["p", "q"], "left_anti")
     )
-    more = cut(_verified(rest, table, percent))
+    more = cut(_verified(docs, rest, groups, id_col, text_col, words, percent))
     label = connected(links.unionByName(more))
-    members = slim.filter("n > 0").select("id", F.struct(F.col("a").alias("node"), "b").alias("x"))
-    smallest = (
-        members.groupBy("x")
-        .agg(F.min("id").alias("id"))
+    named = (
+        groups.select(F.struct("node", "b").alias("x"), "id")
         .join(label, "x", "left")
         .select("x", F.coalesce("label", "x").alias("label"), "id")
     )
-    lowest = smallest.groupBy("label").agg(F.min("id").alias("component"))
-    of_class = smallest.join(lowest, "label").select(F.col("x.node").alias("a"), F.col("x.b").alias("b"), "component")
-    return slim.join(of_class, ["a", "b"], "left").select(
+    lowest = named.groupBy("label").agg(F.min("id").alias("component"))
+    of_group = named.join(lowest, "label").select(F.col("x.node").alias("a"), F.col("x.b").alias("b"), "component")
+    return slim.join(of_group, ["a", "b"], "left").select(
         F.col("id").alias(id_col), "h", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component")
     )
 
