@@ -35,8 +35,11 @@ FILTER_BITS = 26
 LEADERS = 2
 #: Words of 64 parity bits that a join can compare.
 QUAD = 4
-# roles of a row
+#: Leading segments of a band by which a pair is told to have met already; later ones only repeat what these find.
+AHEAD = 16
+# roles of a row; above them it carries its band and its segment (``BEYOND`` for one-deletion neighbours)
 INDEX, INDEX_LESS, PROBE, PROBE_WIDE, PROBE_LESS = 1, 2, 4, 8, 16
+BAND_SHIFT, SEGMENT_SHIFT, BEYOND = 5, 11, (1 << 20) - 1
 _A, _B, _C = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -65,7 +68,7 @@ class Signatures:
         return int(np.searchsorted(lows, size, side="right")) - 1
 
     def rows(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and roles of a sorted set."""
+        """Keys and roles (with band and segment) of a sorted set."""
         size = len(s)
         own = self.band_of(size)
         largest = size * 100 // self.percent
@@ -81,7 +84,7 @@ class Signatures:
             keys.append(k)
             roles.append(r)
         if not keys:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int32)
         return np.concatenate(keys), np.concatenate(roles)
 
     def in_band(
@@ -123,14 +126,16 @@ class Signatures:
         if own:
             role |= INDEX
         use = role > 0
-        out_keys, out_roles = [keys[use]], [role[use]]
+        mark = np.int32(band << BAND_SHIFT)
+        at = np.minimum(np.arange(m, dtype=np.int32), BEYOND - 1)
+        out_keys, out_roles = [keys[use]], [role[use] | mark | (at[use] << SEGMENT_SHIFT)]
         less = [(range(reserve), INDEX_LESS)] if own else []
         less += [(wide, PROBE_LESS)] if wide else []
         for segments, kind in less:
             which = np.isin(where, np.fromiter(segments, np.uint64))
             at = where[which].astype(np.int64)
             out_keys.append(mix(total[at] - weight[which] + base[at]))
-            out_roles.append(np.full(len(at), kind, np.uint8))
+            out_roles.append(np.full(len(at), kind | mark | (BEYOND << SEGMENT_SHIFT), np.int32))
         return np.concatenate(out_keys), np.concatenate(out_roles)
 
 
@@ -233,7 +238,7 @@ def signatures(docs: DataFrame, text_col: str, words: int, percent: int, sketch:
                         pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)),
                         pa.array(np.repeat(np.array([p[2] for p in parts], np.int64), lengths)),
                         pa.array(np.repeat(np.array([p[3] for p in parts], np.int32), lengths)),
-                        pa.array(np.concatenate([p[1] for p in parts]).astype(np.int16)),
+                        pa.array(np.concatenate([p[1] for p in parts]).astype(np.int32)),
                     ],
                     names=["key", "node", "n", "role"],
                 )
@@ -253,7 +258,7 @@ def signatures(docs: DataFrame, text_col: str, words: int, percent: int, sketch:
             if parts:
                 yield flush(parts)
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, node long, n int, role short")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, node long, n int, role int")
 
 
 def filter_bits(keys: DataFrame) -> np.ndarray:
@@ -342,10 +347,37 @@ def _compatible(probe: Column, index: Column) -> Column:
     return (whole & (probe.bitwiseAND(F.lit(PROBE | PROBE_LESS)) > 0)) | (less & (probe.bitwiseAND(F.lit(PROBE_WIDE)) > 0))
 
 
+def _with_ahead(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``probed`` and ``indexed``: the node's whole keys among the leading segments before the row's own.
+
+    A pair meets under each segment in which it agrees. Where a leading segment before this one has let it meet
+    already (a probed key of one is an indexed key of the other), it need not meet here again; a pair's first meeting
+    is never left out, so no pair is lost and near copies aren't joined once for each segment they share.
+    """
+    band = F.shiftright("role", BAND_SHIFT).bitwiseAND(F.lit((1 << (SEGMENT_SHIFT - BAND_SHIFT)) - 1))
+    rows = rows.withColumn("band", band).withColumn("segment", F.shiftright("role", SEGMENT_SHIFT))
+    leading = F.struct("segment", "key")
+    has = lambda role: F.col("role").bitwiseAND(F.lit(role)) > 0
+    ahead = (
+        rows.filter(F.col("segment") < AHEAD)
+        .groupBy("node", "band")
+        .agg(F.collect_list(F.when(has(PROBE), leading)).alias("probes"), F.collect_list(F.when(has(INDEX), leading)).alias("indexes"))
+    )
+    before = lambda name: F.transform(F.filter(name, lambda x: x["segment"] < F.col("segment")), lambda x: x["key"])
+    none = F.array().cast("array<bigint>")
+    return rows.join(ahead, ["node", "band"], "left").select(
+        *[c for c in rows.columns if c not in ("band", "segment")],
+        F.coalesce(before("probes"), none).alias("probed"),
+        F.coalesce(before("indexes"), none).alias("indexed"),
+    )
+
+
 def classes(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: id, h (hash of its text), n (size of its set) and component (smallest id reachable).
+    """One row per document: id, h (hash of its text), n (size of its set), component (smallest id reachable) and label.
+
+    ``label`` names the component whatever its ids are, and is null for documents without words.
 
     A document's set holds its distinct shingles of ``words`` words (A-Z lower-cased, cut at ASCII blanks); two
     documents link when 100 * intersection >= ``percent`` * union, and links are followed transitively.
@@ -397,16 +429,17 @@ def classes(
         .filter("low < high")
         .drop("low", "high")
     )
-    mixed = cut(mixed)
+    mixed = _with_ahead(cut(mixed))
     names = ("node", "n", "role", "label", *(f"q{k}" for k in range(QUAD)))
-    probe = mixed.filter(probing).select("key", *[F.col(c).alias(f"{c}_p") for c in names])
+    probe = mixed.filter(probing).select("key", "probed", *[F.col(c).alias(f"{c}_p") for c in names])
     gap = sum((F.bit_count(F.col(f"q{k}").bitwiseXOR(F.col(f"q{k}_p"))) for k in range(QUAD)), F.lit(0))
     rest = (
-        probe.join(mixed, "key")
+        probe.join(mixed.drop("probed"), "key")
         .filter(gap <= (F.col("n") + F.col("n_p")) * (100 - percent) / (100 + percent))
         .filter((F.col("label") != F.col("label_p")) & (F.col("node") != F.col("node_p")))
         .filter((F.col("n_p") <= F.col("n")) & (100 * F.col("n_p") >= percent * F.col("n")))
         .filter(_compatible(F.col("role_p"), F.col("role")))
+        .filter(~F.arrays_overlap("probed", "indexed"))
         .select(F.least("node_p", "node").alias("p"), F.greatest("node_p", "node").alias("q"))
         .distinct()
         .join(stars, ["p", "q"], "left_anti")
@@ -419,9 +452,9 @@ def classes(
         .select("x", F.coalesce("label", "x").alias("label"), "id")
     )
     lowest = named.groupBy("label").agg(F.min("id").alias("component"))
-    of_group = named.join(lowest, "label").select(F.col("x.node").alias("a"), F.col("x.b").alias("b"), "component")
+    of_group = named.join(lowest, "label").select(F.col("x.node").alias("a"), F.col("x.b").alias("b"), "component", "label")
     return slim.join(of_group, ["a", "b"], "left").select(
-        F.col("id").alias(id_col), "h", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component")
+        F.col("id").alias(id_col), "h", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component"), "label"
     )
 
 
@@ -432,10 +465,25 @@ def report(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "do
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the row of its smallest id (of repeated ones, any); others go.
+    """``docs`` with one row of each component; the others go. Documents without words all stay.
 
-    Documents without words all stay, and so do rows with a null id and no named component.
+    The row of the smallest id stays (null ids come last; of texts with one id, the one of the smallest hash; of
+    repeated rows, any), so components of null ids and of repeated rows keep one row too, and a text whose id is also
+    that of another text is judged by its own component.
     """
-    found = classes(docs, words, percent, id_col, text_col)
-    gone = found.filter((F.col("n") > 0) & (F.col(id_col) != F.col("component"))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    found = classes(docs, words, percent, id_col, text_col).filter("n > 0").withColumnRenamed(id_col, "id")
+    order = F.struct(F.col("id").isNull().alias("o"), "id", "h")
+    rows = cut(found.groupBy("label", "id", "h").agg(F.count("*").alias("c")))
+    best = rows.groupBy("label").agg(F.min(order).alias("best"))
+    judged = rows.join(best, "label").select(
+        F.col("id").alias("_dup_id"), F.col("h").alias("_dup_h"), (order == F.col("best")).alias("_dup_kept"), F.col("c").alias("_dup_c")
+    )
+    # rows without words, and those that are alone and stay, need no mark
+    marked = cut(judged.filter("not _dup_kept or _dup_c > 1").select("_dup_id", "_dup_h", "_dup_kept"))
+    h = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    joined = docs.join(marked, (h == F.col("_dup_h")) & F.col(id_col).eqNullSafe(F.col("_dup_id")), "left")
+    kept = joined.filter("_dup_kept is null").select(*[docs[c] for c in docs.columns])
+    if marked.filter("_dup_kept").isEmpty():
+        return kept
+    once = joined.filter("_dup_kept").dropDuplicates(["_dup_id", "_dup_h"]).select(*[docs[c] for c in docs.columns])
+    return kept.unionByName(once)

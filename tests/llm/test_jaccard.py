@@ -144,3 +144,51 @@ def test_representatives_keep_one_row_of_each_group(spark):
     assert sorted(r.doc_id for r in jaccard.representatives(df).collect()) == [1, 3, 4, 5]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.report(empty).collect() == [] and jaccard.representatives(empty.select("*", F.lit(1).alias("key"))).collect() == []
+
+
+def test_representatives_of_repeated_and_null_ids(spark):
+    copy, other = "a b c d e f g", "z y x w v u t"
+    rows = [(1, copy, 1), (1, copy, 1), (1, other, 2), (7, other, 3), (None, "k l m n o p q", 4), (None, "k l m n o p q", 5), (8, copy, 6)]
+    rows += [(None, None, 7), (None, None, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component int")
+    got = jaccard.representatives(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
+        [(1, copy), (1, other), (None, "k l m n o p q"), (None, None), (None, None)], key=str
+    )
+
+
+def test_a_key_of_many_unlike_sets_and_a_family_below_the_similarity(spark):
+    """Thousands of sets that share words but not enough, and a family of copies around the threshold."""
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    common = [rng.choice(vocabulary) for _ in range(12)]
+    texts = [common + [rng.choice(vocabulary) for _ in range(20)] for _ in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(300)]
+    for _ in range(150):  # each with its own edits: two of them are about 75 to 85 % alike
+        words = list(base)
+        for i in rng.sample(range(300), rng.randint(3, 9)):
+            words[i] = rng.choice(vocabulary)
+        texts.append(words)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in jaccard.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5, 80).collect()}
+    sets = [set_of(t, 5) for _, t in rows]
+    index, near = {}, {}
+    for i, s in enumerate(sets):
+        for x in s:
+            for j in index.get(x, ())[-400:] if i < 3000 else index.get(x, ()):
+                near[i, j] = near.get((i, j), 0) + 1
+            index.setdefault(x, []).append(i)
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (i, j), both in near.items():
+        if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    assert got == {i: root(i) for i in range(len(rows))}
+    assert 1 < len({got[i] for i in range(3000, len(rows))}) < 150
