@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import string
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,9 @@ from drawgraph.llm.common import cut
 #: Pieces that one task packs; bounds a group, and costs at most an open bin or so for each group.
 GROUP_ROWS = 10_000
 #: Words whose ids a Python worker remembers; only a cache, every word gets the tokenizer's own ids.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000
+#: ASCII marks, which the tokenizer takes for units of their own.
+MARKS = string.punctuation.encode()
 #: Bytes of text that are cut into words at once.
 SLICE_BYTES = 1 << 21
 
@@ -33,15 +36,16 @@ class WordIds:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)  # for words that the normalizer would leave as they are
+        self.plain.normalizer = normalizers.Sequence([])
         self.known: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        encode = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self.marks = {b"": b"", b",": encode(","), b".": encode(".")}
 
     @classmethod
     def load(cls, path: str) -> WordIds:
@@ -49,42 +53,50 @@ class WordIds:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: Iterable[bytes]) -> None:
         """One call of the tokenizer for many words.
 
-        Words of letters, with or without one comma or dot after them, are the usual ones: such a word is one unit of
-        the tokenizer, whose last token alone has the mark of a word's end, and the comma or dot is a unit of its own.
+        Letters with or without ASCII marks after them are the usual words: the letters are one unit of the tokenizer,
+        whose last token alone has the mark of a word's end, and the marks are a unit of their own.
         """
-        plain: dict[str, None] = {}
-        ended: list[tuple[bytes, str, bytes]] = []
+        known, marks = self.known, self.marks
+        fresh: set[bytes] = set()
+        ended: list[tuple[bytes, bytes, bytes]] = []
         others: list[bytes] = []
         for word in words:
-            text = word.decode()
-            bare = text[:-1] if text[-1] in ",." else text
-            if bare.isalpha() and (bare.isascii() or unicodedata.normalize("NFC", bare).lower().isalpha()):
-                plain[bare.lower() if bare.isascii() else bare] = None
-                ended.append((word, bare.lower() if bare.isascii() else bare, word[len(bare.encode()) :]))
-            else:
+            bare = word.rstrip(MARKS)
+            mark = word[len(bare) :]
+            lower = _lower(bare)
+            if lower is None:
                 others.append(word)
-        units = self._units(list(plain))
-        if units is None:
-            others = words
+                continue
+            if lower not in known:
+                fresh.add(lower)
+            if mark not in marks:
+                marks[mark] = np.array(self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            ended.append((word, lower, mark))
+        if self._learn_units(list(fresh)):
+            for word, lower, mark in ended:
+                known[word] = known[lower] + marks[mark]
         else:
-            for word, bare, mark in ended:
-                self.known[word] = units[bare] + self.marks[mark]
+            others += [x[0] for x in ended]
         if others:
             self._learn_by_place(others)
-
-    def _units(self, texts: list[str]) -> dict[str, bytes] | None:
-        """Ids of words that are one unit each, cut where a word ends."""
-        if not texts:
-            return {}
-        ids = np.array(self.tokenizer.encode(" ".join(texts), add_special_tokens=False).ids, dtype="<u4")
+        if len(marks) > CACHE_WORDS:
+            self.marks = {b"": b""}
+
+    def _learn_units(self, units: list[bytes]) -> bool:
+        """Learn words that are one unit each, cut where a word ends; False if they aren't."""
+        if not units:
+            return True
+        text = b" ".join(units).decode()
+        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(texts):
-            return None
-        raw, at = ids.tobytes(), [0, *ends.tolist()]
-        return {t: raw[4 * a : 4 * b] for t, a, b in zip(texts, at, at[1:], strict=False)}
+        if len(ends) != len(units):
+            return False
+        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        self.known.update(zip(units, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+        return True
 
     def _learn_by_place(self, words: list[bytes]) -> None:
         """Of any words: a token belongs to the word in which it starts."""
@@ -100,14 +112,24 @@ class WordIds:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         parts = [t.split() for t in texts]
         words = set().union(*parts)
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known.clear()
-            fresh = list(words)
+        fresh = words.difference(self.known)
+        if len(self.known) + 2 * len(fresh) > CACHE_WORDS:  # what is in use stays
+            self.known = {w: self.known[w] for w in words.difference(fresh)}
         if fresh:
             self.learn(fresh)
-        known = self.known
-        return [b"".join([known[w] for w in part]) for part in parts]
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, part)) for part in parts]
+
+
+def _lower(word: bytes) -> bytes | None:
+    """A word of letters as the normalizer leaves it, if that is plain to see; else None."""
+    if word.isascii():
+        return word.lower() if word.isalpha() else None
+    text = word.decode()
+    if max(text) > "\u024f" or not text.isalpha():
+        return None
+    text = text.lower()
+    return text.encode() if text.isalpha() and unicodedata.is_normalized("NFC", text) else None
 
 
 def _slices(texts: list[bytes]) -> Iterator[list[bytes]]:
