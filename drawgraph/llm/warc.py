@@ -9,9 +9,9 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html import unescape
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,58 +19,37 @@ from pyspark.sql import functions as F
 
 VERSION = b"WARC/1.1"
 #: Elements whose text is no prose, and elements that end a line.
-SILENT = ("script", "style", "template", "noscript", "head")
+SILENT = ("script", "style", "template", "noscript")
 LINES = (
     "p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "article", "section",
     "header", "footer", "nav", "blockquote", "pre", "dd", "dt", "hr",
 )
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 
-
-class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.title: list[str] = []
-        self.links: list[str] = []
-        self.silent: list[str] = []
-        self.in_title = False
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag == "title":
-            self.in_title = True
-        if tag in SILENT:
-            self.silent.append(tag)
-        elif tag in LINES:
-            self.parts.append("\n")
-        if tag == "a" and (href := dict(attrs).get("href")):
-            self.links.append(href)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "title":
-            self.in_title = False
-        if tag in self.silent:
-            while self.silent and self.silent.pop() != tag:
-                pass
-        elif tag in LINES:
-            self.parts.append("\n")
-        if tag == "head" or (tag == "html" and self.silent):
-            self.silent.clear()
-
-    def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title.append(data)
-        elif not self.silent:
-            self.parts.append(data)
+_END = r"(?=[\s/>])"
+_REST = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>"
+_FLAGS = re.DOTALL | re.IGNORECASE
+_UNSEEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(SILENT)}){_END}[^>]*+>.*?(?:</\1\s*>|\Z)", _FLAGS)
+_TITLE = re.compile(rf"<title{_END}[^>]*+>(.*?)(?:</title\s*>|\Z)", _FLAGS)
+_HEAD = re.compile(rf"<head{_END}[^>]*+>.*?(?:</head\s*>|(?=<body{_END})|\Z)", _FLAGS)
+_LINK = re.compile(r"<a(?=\s)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))", _FLAGS)
+_BREAK = re.compile(rf"</?(?:{'|'.join(LINES)}){_END}{_REST}", _FLAGS)
+_TAG = re.compile(rf"</?[a-z]{_REST}|<[!?/][^>]*>", _FLAGS)
 
 
 def plain_text(html: str) -> tuple[str, str, list[str]]:
-    """(text, title, links) of a page: lines without surplus blanks; scripts, styles and the head are left out."""
-    parser = _Text()
-    parser.feed(html)
-    parser.close()
-    lines = (" ".join(x.split()) for x in "".join(parser.parts).split("\n"))
-    return "\n".join(x for x in lines if x), " ".join("".join(parser.title).split()), parser.links
+    """(text, title, links) of a page: lines without surplus blanks; scripts, styles, comments and the head are left out.
+
+    What an unclosed script, style or comment holds is left out up to the end of the page, an unclosed head up to the
+    body. A '<' that begins no tag is text.
+    """
+    seen = _UNSEEN.sub("", html)
+    title = " ".join(" ".join(unescape(x) for x in _TITLE.findall(seen)).split())
+    seen = _HEAD.sub("", _TITLE.sub("", seen))
+    links = [unescape(a or b or c) for a, b, c in _LINK.findall(seen) if a or b or c]
+    text = unescape(_TAG.sub("", _BREAK.sub("\n", seen)))
+    lines = (" ".join(x.split()) for x in text.split("\n"))
+    return "\n".join(x for x in lines if x), title, links
 
 
 def digest(data: bytes) -> str:
@@ -82,8 +61,11 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, chr(0).join(parts))}>"
 
 
+_LINE_ENDS = re.compile(r"[\r\n]+")
+
+
 def _clean(value: str) -> str:
-    return re.sub(r"[\r\n]+", " ", value)
+    return _LINE_ENDS.sub(" ", value) if "\n" in value or "\r" in value else value
 
 
 def serialize(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -93,28 +75,30 @@ def serialize(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a WARC stream, plain or of gzip members; a cut last record ends it."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
-    at = 0
-    while True:
-        start = data.find(b"WARC/", at)
-        end = data.find(b"\r\n\r\n", start) if start >= 0 else -1
-        if end < 0:
-            return
-        headers: dict[str, str] = {}
-        for line in data[start:end].split(b"\r\n")[1:]:
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
-        try:
-            n = int(headers.get("content-length", ""))
-        except ValueError:
-            at = end + 4
-            continue
-        if end + 4 + n > len(data):
-            return
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+    """(headers, block) of each record of a WARC stream, plain or of gzip members; a cut last record ends it.
+
+    Members are inflated as they are read. Names are in lower case; the values of a repeated one are joined by commas.
+    """
+    raw = io.BytesIO(data)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data[:2] == b"\x1f\x8b" else raw
+    try:
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            headers: dict[str, str] = {}
+            while (line := stream.readline()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                name, value = name.strip().lower(), value.strip()
+                headers[name] = f"{headers[name]}, {value}" if name in headers else value
+            n = headers.get("content-length", "")
+            if not n.isdecimal():
+                continue
+            block = stream.read(int(n))
+            if len(block) < int(n):
+                return
+            yield headers, block
+    except EOFError:  # the last member is cut
+        return
 
 
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -138,11 +122,45 @@ def _charset(headers: list[tuple[str, str]]) -> str:
     return "utf-8"
 
 
+def payload_of(headers: list[tuple[str, str]], body: bytes) -> bytes | None:
+    """The body without its chunks and compression; None where it can't be undone."""
+    given = {k.lower(): v.lower() for k, v in headers}
+    try:
+        if "chunked" in given.get("transfer-encoding", ""):
+            out, at = [], 0
+            while at < len(body):
+                end = body.index(b"\r\n", at)
+                n = int(body[at:end].split(b";")[0], 16)
+                if n == 0:
+                    break
+                out.append(body[end + 2 : end + 2 + n])
+                at = end + 4 + n
+            body = b"".join(out)
+        for coding in reversed([x.strip() for x in given.get("content-encoding", "").split(",")]):
+            if coding in ("gzip", "x-gzip", "deflate"):
+                raw = coding == "deflate" and body[:1] != b"\x78"
+                body = zlib.decompressobj(-zlib.MAX_WBITS if raw else zlib.MAX_WBITS | 32).decompress(body)
+            elif coding not in ("", "identity"):
+                return None
+    except (ValueError, zlib.error):
+        return None
+    return body
+
+
+def _readable(headers: list[tuple[str, str]]) -> str | None:
+    """'html' or 'text' by the content type; none is taken for HTML, and what isn't text gives None."""
+    kind = next((v.split(";")[0].strip().lower() for k, v in headers if k.lower() == "content-type"), "")
+    if kind in ("", "text/html", "application/xhtml+xml"):
+        return "html"
+    return "text" if kind.startswith("text/") or re.search(r"[/+](?:json|xml|javascript)$", kind) else None
+
+
 SCHEMA = (
     "key {key}, warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, "
-    "block_digest string, payload_digest string, source_digest string, source_headers map<string,string>, "
-    "text string, record binary"
+    "block_digest string, payload_digest string, source_digest string, source_block_digest string, warc_headers map<string,string>, "
+    "source_headers array<struct<name:string,value:string>>, text string, record binary"
 )
+_PAIRS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 _MAP = pa.map_(pa.string(), pa.string())
 
 
@@ -181,11 +199,16 @@ def derive(responses: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFram
     """Two records for each response (key, headers, block): 'metadata' and 'conversion'.
 
     Both name the response in WARC-Refers-To and carry its target and date; the conversion's block is the plain text,
-    the metadata's block lists the source's status, headers, digests, title and links. A response without an id gets a
-    stable one from its key, target and payload digest; one without a date gets ``date``. Digests are SHA-1 in base 32.
+    the metadata's block lists the source's status, all its WARC and HTTP headers in order, digests, title and links.
+    A response without an id gets a stable one from its key, target and payload digest; one without a date gets
+    ``date``. Digests are SHA-1 in base 32; those that the source carries stay in its headers beside them.
+
+    Chunked and gzip or deflate bodies are undone first; digests are those of the stored bytes. A response whose
+    content type isn't text, or whose coding is unknown or broken, has a metadata record only.
 
     Returns key, warc_type, record_id, refers_to, target_uri, date, content_type, block_digest, payload_digest,
-    source_digest (payload of the response), source_headers (its HTTP headers), text (conversions only), record.
+    source_digest and source_block_digest (of the response's payload and block), warc_headers and source_headers (its
+    WARC and HTTP headers), text (conversions only), record.
 
     Null blocks are empty payloads; null keys and repeated rows are kept (equal rows get equal ids); markup that isn't
     HTML is taken as text; an empty table gives no rows; other columns are not read.
@@ -193,37 +216,44 @@ def derive(responses: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFram
     kind = responses.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 10 + [_MAP, _PAIRS, pa.string(), pa.binary()]
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
-            out: list[list] = [[] for _ in range(12)]
+            out: list[list] = [[] for _ in kinds]
             rows: list[int] = []
             for i, (key, given, block) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
                 headers = {k.lower(): v for k, v in (given or [])}
                 status, http, payload = split_http(block or b"")
                 uri, when = headers.get("warc-target-uri") or "", headers.get("warc-date") or date
-                source = digest(payload)
+                source, whole = digest(payload), digest(block or b"")
                 refers = headers.get("warc-record-id") or record_id("response", str(key), uri, source)
-                text, title, links = plain_text(payload.decode(_charset(http), "replace"))
-                listed = [("status", status), *((f"http-{k.lower()}", v) for k, v in http)]
-                listed += [("payloadDigest", source), ("blockDigest", digest(block or b"")), ("title", title)]
-                listed += [("outlink", unescape(x)) for x in links]
-                metadata = "".join(f"{k}: {_clean(v)}\r\n" for k, v in listed).encode("utf-8", "replace")
-                plain = text.encode("utf-8", "replace")
-                for type_, content, body in (("metadata", "application/warc-fields", metadata), ("conversion", "text/plain; charset=utf-8", plain)):
-                    own = record_id(type_, refers, uri)
+                listed = [("status", status), *headers.items(), *((f"http-{k.lower()}", v) for k, v in http)]
+                listed += [("payloadDigest", source), ("blockDigest", whole)]
+                how, body = _readable(http), payload_of(http, payload)
+                text = None
+                if how and body is not None:
+                    text = body.decode(_charset(http), "replace")
+                    if how == "html":
+                        text, title, links = plain_text(text)
+                        listed += [("title", title), *(("outlink", x) for x in links)]
+                metadata = "".join([f"{k}: {_clean(v)}\r\n" for k, v in listed if v is not None]).encode("utf-8", "replace")
+                made = [("metadata", "application/warc-fields", metadata)]
+                if text is not None:
+                    made.append(("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace")))
+                for type_, content, body in made:
+                    own, sha = record_id(type_, refers, uri), digest(body)
                     fields = [
                         ("WARC-Type", type_), ("WARC-Record-ID", own), ("WARC-Date", when), ("WARC-Target-URI", uri),
-                        ("WARC-Refers-To", refers), ("WARC-Block-Digest", digest(body)), ("WARC-Payload-Digest", digest(body)),
+                        ("WARC-Refers-To", refers), ("WARC-Block-Digest", sha), ("WARC-Payload-Digest", sha),
                         ("Content-Type", content),
                     ]
                     row = (
-                        type_, own, refers, uri, when, content, digest(body), digest(body), source, list(dict(http).items()),
-                        text if type_ == "conversion" else None, serialize(fields, body),
+                        type_, own, refers, uri, when, content, sha, sha, source, whole, list(headers.items()),
+                        [{"name": k, "value": v} for k, v in http], text if type_ == "conversion" else None, serialize(fields, body),
                     )
                     rows.append(i)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            kinds = [pa.string()] * 9 + [_MAP, pa.string(), pa.binary()]
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
             columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], names=names)
 

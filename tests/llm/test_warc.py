@@ -1,5 +1,6 @@
 import gzip
 import random
+import zlib
 from collections import Counter
 
 from drawgraph.llm import warc
@@ -28,7 +29,7 @@ def test_derived_records_link_to_their_response_and_digests_hold(spark):
         assert headers["warc-record-id"] == r.record_id and headers["warc-refers-to"] == r.refers_to != r.record_id
         assert headers["warc-block-digest"] == warc.digest(block) == r.block_digest and int(headers["content-length"]) == len(block)
         assert r.source_digest == warc.digest(source[r.key]) and "x" not in headers
-        assert r.source_headers["Content-Type"] == "text/html; charset=utf-8"
+        assert {x.name: x.value for x in r.source_headers}["Content-Type"] == "text/html; charset=utf-8"
         if r.warc_type == "conversion":
             assert block.decode() == r.text == warc.plain_text(source[r.key].decode())[0]
         else:
@@ -65,3 +66,42 @@ def test_round_trip_of_random_blocks():
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.derive(warc.responses_from_pages(pages)).collect() == []
+
+
+def test_what_the_source_carries_is_kept(spark):
+    """Headers in order and repeated, digests of the source, chunks and codings, types that are no text."""
+    html = "<head><title>T</title></head><p>" + "word " * 40_000 + "end</p>"  # a very long page
+    raw = html.encode()
+    packed = gzip.compress(raw)
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(packed[i : i + 100]), packed[i : i + 100]) for i in range(0, len(packed), 100)) + b"0\r\n\r\n"
+    head = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\n"
+    cases = {
+        "chunked": head + b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + chunked,
+        "deflate": head + b"Content-Encoding: deflate\r\nContent-Type: text/html\r\n\r\n" + zlib.compress(raw),
+        "brotli": head + b"Content-Encoding: br\r\n\r\n" + raw,
+        "broken": head + b"Content-Encoding: gzip\r\n\r\n" + raw,
+        "image": head + b"Content-Type: image/png\r\n\r\n\x89PNG",
+        "plain": head + b"Content-Type: text/plain\r\n\r\n<p>as it stands</p>",
+        "bare": b"<p>no status line</p>",
+        "null": None,
+    }
+    given = {"WARC-Payload-Digest": "sha1:GIVEN", "WARC-IP-Address": "10.0.0.1"}
+    rows = [(k, given, None if v is None else bytearray(v), "extra") for k, v in cases.items()]
+    got = warc.derive(spark.createDataFrame(rows, "key string, headers map<string,string>, block binary, text string")).collect()
+    texts = {r.key: r.text for r in got if r.warc_type == "conversion"}
+    long = "word " * 40_000 + "end"
+    assert texts == {"chunked": long, "deflate": long, "plain": "<p>as it stands</p>", "bare": "no status line", "null": ""}
+    meta = {r.key: bytes(r.record).decode() for r in got if r.warc_type == "metadata"}
+    assert set(meta) == set(cases)
+    assert all("warc-payload-digest: sha1:GIVEN" in m and "warc-ip-address: 10.0.0.1" in m for m in meta.values())
+    assert meta["image"].count("http-set-cookie: ") == 2
+    for r in got:
+        assert r.warc_headers["warc-payload-digest"] == "sha1:GIVEN" and r.source_block_digest == warc.digest(cases[r.key] or b"")
+        assert [x.value for x in r.source_headers if x.name == "Set-Cookie"] == ([] if r.key in ("bare", "null") else ["a=1", "b=2"])
+
+
+def test_odd_markup():
+    assert warc.plain_text("a<script>x<p>y") == ("a", "", []) and warc.plain_text("a<!-- b")[0] == "a"
+    assert warc.plain_text('<a title="x > y" href=/z?a&amp;b>k</a> 1 < 2 <pre>m</pre><prefix>n')[:3:2] == ("k 1 < 2\nm\nn", ["/z?a&b"])
+    assert warc.plain_text("<head><title>t<body><p>u")[0] in ("", "u")
+    assert warc.plain_text("&lt;b&gt; &amp;amp;")[0] == "<b> &amp;"
