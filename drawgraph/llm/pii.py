@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawgraph.llm.common import cut, let
+from drawgraph.llm.common import cut, let, words_of
 
 # The base patterns, written so that Java's matcher neither recurses nor rescans a run of characters:
 # possessive where giving back cannot help, and tried only where a run begins (or a match just ended).
@@ -13,39 +13,65 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Words that might identify somebody: six characters or more, one of them a digit.
-CANDIDATE = (
-    r"(?<![A-Za-z0-9@._%+/=-])(?=[A-Za-z@._%+/=-]*+[0-9])(?:[A-Za-z0-9@_%+/=]|[.-](?=[A-Za-z0-9])){6,}+"
-)
-KINDS = ("email", "ip", "card", "phone", "id")
-#: Characters before a match in which its context is read.
-CONTEXT = 48
+BASE_ANY = f"{EMAIL}|{IP}|{CARD}|{PHONE}"
+#: Words that might identify somebody: five characters or more, one of them a digit or '@'.
+CANDIDATE = r"(?<![A-Za-z0-9@._+/-])(?=[A-Za-z._+/-]*+[0-9@])(?:[A-Za-z0-9@]|[._+/-](?=[A-Za-z0-9])){5,}+"
+#: Kinds of base spans, then of discovered ones, which carry the kind of the seeds that led to them.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = BASE_KINDS + tuple(f"{k}_like" for k in BASE_KINDS)
+#: Characters before and after a match in which its context is read.
+LEFT, RIGHT = 64, 32
+#: Matches whose places are added up at once; keeps the cost of a text linear in its matches.
+BLOCK = 128
 #: Rounds of scoring between patterns and instances.
 ROUNDS = 3
-#: A pattern counts from this sum of instance scores and this mean of them.
-MIN_SUPPORT, MIN_CONFIDENCE = 5.0, 0.8
+#: A pattern counts from so many different instances and this confidence.
+MIN_SUPPORT, MIN_CONFIDENCE = 5.0, 0.7
 #: An unseen instance is reported from this score.
-MIN_SCORE = 0.75
+MIN_SCORE = 0.7
+#: Bits of the table of patterns whose occurrences are counted (a full table only lets more through).
+PATTERN_BITS = 20
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """Array of (s, e, v, left): code point span, value and text before, of each match from the left."""
-    empty = F.array().cast("array<struct<s:int,e:int,v:string,left:string>>")
-
-    def step(m: Column, acc: Column, i: Column) -> Column:
-        before, value = F.get(m["between"], i), F.get(m["values"], i)
-        start = acc["at"] + F.length(before)
-        end = start + F.length(value)
-        new = F.struct(
-            start.alias("s"), end.alias("e"), value.alias("v"), F.right(before, F.lit(CONTEXT)).alias("left")
-        )
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(new)).alias("spans"))
+    """Array of (s, e, v, left, right): code point span, value and the text around, of each match from the left.
+
+    The context reaches over the neighbouring match, so identifiers in a row have one too.
+    """
+    kind = "struct<s:int,e:int,v:string,left:string,right:string>"
+    empty = F.array().cast(f"array<{kind}>")
+    zero = F.lit("")
+
+    def within(m: Column, first: Column, at: Column, last: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            before, value = F.get(m["between"], i), F.get(m["values"], i)
+            start = acc["at"] + F.length(before)
+            end = start + F.length(value)
+            near = F.concat(F.coalesce(F.get(m["between"], i - 1), zero), F.coalesce(F.get(m["values"], i - 1), zero), before)
+            after = F.concat(F.get(m["between"], i + 1), F.coalesce(F.get(m["values"], i + 1), zero))
+            new = F.struct(
+                start.alias("s"), end.alias("e"), value.alias("v"), F.right(near, F.lit(LEFT)).alias("left"), F.left(after, F.lit(RIGHT)).alias("right")
+            )
+            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(new)).alias("spans"))
+
+        start = F.struct(at.alias("at"), empty.alias("spans"))
+        return F.aggregate(F.sequence(first, last), start, step, lambda acc: acc["spans"])
 
     def place(m: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-        return F.aggregate(
-            F.sequence(F.lit(0), F.size(m["values"]) - 1), zero, lambda acc, i: step(m, acc, i), lambda acc: acc["spans"]
-        )
+        n = F.size(m["values"])
+        firsts = F.sequence(F.lit(0), n - 1, F.lit(BLOCK))
+        total = lambda parts: F.aggregate(parts, F.lit(0), lambda acc, x: acc + F.length(x))
+        held = F.transform(firsts, lambda f: total(F.slice(m["between"], f + 1, BLOCK)) + total(F.slice(m["values"], f + 1, BLOCK)))
+
+        def sums(held: Column) -> Column:
+            return F.aggregate(held, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+
+        def blocks(starts: Column) -> Column:
+            return F.flatten(
+                F.transform(firsts, lambda f, k: within(m, f, F.get(starts, k), F.least(f + BLOCK - 1, n - 1)))
+            )
+
+        return let(let(held, sums), blocks)
 
     def split(values: Column) -> Column:
         both = F.struct(values.alias("values"), F.split(text, pattern, -1).alias("between"))
@@ -81,13 +107,13 @@ def _small_parts(value: Column) -> Column:
 
 def _of_kind(spans: Column, kind: int) -> Column:
     def one(x: Column) -> Column:
-        return F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e"), x["v"].alias("v"), x["left"].alias("left"))
+        return F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e"), x["v"].alias("v"), x["left"].alias("left"), x["right"].alias("right"))
 
     return F.transform(spans, one)
 
 
 def base_spans(text: Column) -> Column:
-    """Array of (s, k, e, v, left) over the four base kinds, ordered by start and kind; k indexes ``KINDS``."""
+    """Array of (s, k, e, v, left, right) over the four base kinds, ordered by start and kind; k indexes ``KINDS``."""
     phone_ok = lambda x: F.length(_digits(x["v"])).between(10, 15)
     found = (
         (0, EMAIL, None),
@@ -103,65 +129,140 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*parts))
 
 
-def _patterns(left: Column) -> Column:
-    """The lexical patterns of a left context: its last word, and its last two."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(left, "[0-9]+", "0")), r"\s+"), lambda w: w != "")
-    tail = lambda w, n: F.array_join(F.slice(w, -n, n), " ")
+def _context_words(text: Column) -> Column:
+    """Lower-case words with runs of digits as '0'; what opens a value ('=', ':', quotes, brackets) ends a word."""
+    plain = F.regexp_replace(F.lower(text), "[0-9]+", "0")
+    opened = F.regexp_replace(plain, r"([=:#(\[\"'])(?=[a-z0-9+])", "$1 ")
+    return words_of(opened)
+
+
+def _context_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _patterns(left: Column, right: Column) -> Column:
+    """The lexical patterns of a context: its last word, last two and last three, and the words on both sides.
+
+    A pattern holds a word of two letters or more, so separators alone are none.
+    """
 
-    def both(w: Column) -> Column:
-        two = F.when(F.size(w) > 1, F.array(tail(w, 1), tail(w, 2)))
-        return two.when(F.size(w) == 1, F.array(tail(w, 1))).otherwise(F.array().cast("array<string>"))
+    def named(w: Column, parts: list[Column], tag: int) -> Column:
+        words = F.array(*parts)
+        ok = F.forall(words, lambda x: x.isNotNull()) & F.exists(words, lambda x: x.rlike(r"\p{L}{2}"))
+        return F.when(ok, F.xxhash64(F.lit(tag), *[F.xxhash64(x) for x in parts]))
+
+    def every(c: Column) -> Column:
+        at = lambda k: F.try_element_at(c["l"], F.lit(-k))
+        return F.array_compact(
+            F.array(
+                named(c, [at(1)], 1), named(c, [at(2), at(1)], 2), named(c, [at(3), at(2), at(1)], 3), named(c, [at(1), F.get(c["r"], F.lit(0))], 4)
+            )
+        )
 
-    return let(words, both)
+    # the first word on the left and the last on the right may be cut
+    whole = F.struct(
+        F.when(F.length(left) < LEFT, _context_words(left)).otherwise(F.slice(_context_words(left), 2, LEFT)).alias("l"),
+        F.when(F.length(right) < RIGHT, _context_words(right)).otherwise(F.slice(_context_words(right), 1, F.greatest(F.size(_context_words(right)) - 1, F.lit(0)))).alias("r"),
+    )
+    return let(whole, every)
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One slim row per document: id, h (hash of the text), base spans, other candidates. No text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    scanned = docs.select(
-        F.col(id_col).alias("id"),
-        F.xxhash64(text).alias("h"),
-        F.struct(base_spans(text).alias("base"), _found(text, CANDIDATE).alias("other")).alias("x"),
+    # base patterns come first, so what they match, valid or not, is no candidate
+    other = F.filter(_found(text, f"{BASE_ANY}|{CANDIDATE}"), lambda c: ~c["v"].rlike(BASE_ANY))
+    return docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), base_spans(text).alias("base"), other.alias("other")
     )
-    free = F.filter("x.other", lambda c: ~F.exists("x.base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    return scanned.select("id", "h", F.col("x.base").alias("base"), free.alias("other"))
 
 
-def _discover(scanned: DataFrame) -> DataFrame:
-    """(id, h, s, e) of unseen identifiers, by scoring the graph of patterns and instances in rounds.
+def _occurrences(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataFrame:
+    """(pattern, n): how often each pattern stands before any word at all."""
+    slot = lambda h: F.pmod(h, F.lit(1 << PATTERN_BITS)).cast("int")
+    held = (
+        patterns.select(F.shiftright(slot(F.col("pattern")), 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(pattern, 64) as int))").alias("b"))
+        .groupBy("w")
+        .agg(F.bit_or("b").alias("b"))
+    )
+    whole = docs.sparkSession.range(1 << (PATTERN_BITS - 6)).select(F.col("id").cast("int").alias("w")).join(held, "w", "left")
+    bits = cut(whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))), lambda x: x["b"]).alias("bits")))
+
+    def met(wh: Column, table: Column) -> Column:
+        def at(i: Column) -> Column:
+            one, two, three, next_ = (F.get(wh, i - k) for k in (1, 2, 3, -1))
+            found = F.array(
+                F.xxhash64(F.lit(1), one), F.when(i > 1, F.xxhash64(F.lit(2), two, one)), F.when(i > 2, F.xxhash64(F.lit(3), three, two, one)),
+                F.when(next_.isNotNull(), F.xxhash64(F.lit(4), one, next_)),
+            )
+            return F.filter(found, lambda h: F.getbit(F.get(table, F.shiftright(slot(h), 6)), F.pmod(h, F.lit(64)).cast("int")) == 1)
+
+        n = F.size(wh)
+        return F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), at)))
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(_context_hashes(_context_words(text)).alias("wh"), bits.scalar().alias("bits"))
+    counted = rows.select(F.explode(met(F.col("wh"), F.col("bits"))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    return counted.join(patterns.select("pattern"), "pattern", "left_semi")
 
-    A pattern's confidence is the mean score of its instances (seeds score 1, unseen ones 0 at first); an
-    unseen instance's score is the noisy-or of its confident patterns.
+
+def _discover(docs: DataFrame, scanned: DataFrame, text_col: str) -> DataFrame:
+    """(id, h, s, e, k) of unseen identifiers, by scoring the graph of patterns and instances in rounds.
+
+    Seeds score 1 for their kind, unseen instances 0 at first. A pattern's confidence for a kind is the score of what
+    it stands before against all words that it stands before (unseen candidates of the seeds' shape count half), so
+    words that stand before anything have none. An unseen instance's score is the confidence of its patterns, summed over
+    its occurrences and divided by all of them (1 at most), so one chance context of a frequent number counts for little.
+    Candidates of a kind have letters only if its seeds have, and about as many digits.
     """
     same = lambda v: F.xxhash64(F.lower(v))
-    occurrence = lambda column, seed: scanned.select("id", "h", F.explode(column).alias("o")).select(
-        "id", "h", "o.s", "o.e", same(F.col("o.v")).alias("instance"), F.lit(seed).alias("seed"), _patterns(F.col("o.left")).alias("patterns")
-    )
-    seen, unseen = occurrence("base", 1), occurrence("other", 0)
+    digits = lambda v: F.length(F.regexp_replace(v, "[^0-9]", ""))
+
+    def occurrence(column: str, kind: Column) -> DataFrame:
+        return scanned.select("id", "h", F.explode(column).alias("o")).select(
+            "id", "h", "o.s", "o.e", same(F.col("o.v")).alias("instance"), kind.alias("kind"), digits(F.col("o.v")).alias("digits"),
+            F.col("o.v").rlike("[A-Za-z]").alias("letters"), _patterns(F.col("o.left"), F.col("o.right")).alias("patterns"),
+        )
+
+    seen, unseen = occurrence("base", F.col("o.k")), occurrence("other", F.lit(None).cast("int"))
     edges = cut(
         seen.unionByName(unseen)
-        .select("instance", "seed", F.explode("patterns").alias("pattern"))
-        .groupBy("pattern", "instance")
-        .agg(F.max("seed").alias("seed"))
+        .select("instance", "kind", "digits", "letters", F.explode("patterns").alias("pattern"))
+        .groupBy("pattern", "instance", "kind", "digits", "letters")
+        .agg(F.count("*").alias("occ"))
     )
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
+    frequent = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("c"), F.max("kind").alias("k"))
+    frequent = cut(frequent.filter((F.col("c") >= MIN_SUPPORT) & F.col("k").isNotNull()).select("pattern"))
+    none = unseen.select("id", "h", "s", "e", F.col("kind").alias("k")).limit(0)
+    if frequent.isEmpty():
+        return none
+    counts = cut(_occurrences(docs, frequent, text_col))
+    edges = edges.join(counts, "pattern")
+    shapes = seen.groupBy("kind").agg(F.min("digits").alias("least"), F.max("digits").alias("most"), F.max("letters").alias("lettered"))
+    fits = (F.col("digits") * 2 >= F.col("least")) & (F.col("digits") <= F.col("most") * 2 + 4) & (F.col("lettered") | ~F.col("letters"))
+    seeds = edges.filter("kind is not null").withColumn("score", F.lit(1.0))
+    totals = unseen.groupBy("instance").agg(F.count("*").alias("total"))
+    # one row for each kind that the candidate's shape allows: four kinds at most
+    open_ = cut(edges.filter("kind is null").drop("kind").join(F.broadcast(shapes), fits).join(totals, "instance").select("pattern", "instance", "kind", "occ", "n", "total"))
+    seeds = cut(seeds.select("pattern", "instance", "kind", "occ", "n", "score"))
+    scored = seeds.unionByName(open_.drop("total").withColumn("score", F.lit(0.0)))
     for _ in range(ROUNDS):
+        good, known = F.sum(F.col("score") * F.col("occ")), F.sum("occ")
+        against = F.greatest(F.max("n") - known, F.lit(0)) + (known - good) / 2
         patterns = (
-            scored.groupBy("pattern")
-            .agg(F.sum("score").alias("support"), F.avg("score").alias("confidence"))
+            scored.groupBy("pattern", "kind")
+            .agg(F.sum("score").alias("support"), (good / (good + against)).alias("confidence"))
             .filter((F.col("support") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE))
         )
-        reached = (
-            edges.filter("seed = 0")
-            .join(patterns, "pattern")
-            .groupBy("instance")
-            .agg((1 - F.exp(F.sum(F.log1p(-0.999 * F.col("confidence"))))).alias("reached"))
-        )
-        reached = cut(reached)
-        scored = edges.join(reached, "instance", "left").select(
-            "pattern", "instance", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("reached", F.lit(0.0))).alias("score")
+        reached = cut(
+            open_.join(patterns, ["pattern", "kind"])
+            .groupBy("instance", "kind")
+            .agg(F.least(F.lit(1.0), F.sum(F.col("confidence") * F.col("occ")) / F.max("total")).alias("reached"))
         )
-    return unseen.join(reached.filter(F.col("reached") >= MIN_SCORE), "instance").select("id", "h", "s", "e")
+        again = open_.join(reached, ["instance", "kind"], "left")
+        scored = seeds.unionByName(again.select("pattern", "instance", "kind", "occ", "n", F.coalesce("reached", F.lit(0.0)).alias("score")))
+    best = reached.groupBy("instance").agg(F.max(F.struct("reached", F.col("kind").alias("k"))).alias("best")).filter(F.col("best.reached") >= MIN_SCORE)
+    return unseen.join(best, "instance").select("id", "h", "s", "e", F.col("best.k").alias("k"))
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,9 +273,9 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     scanned = cut(_scan(docs, id_col, text_col))
     new = (
-        _discover(scanned)
+        _discover(docs, scanned, text_col)
         .groupBy("id", "h")
-        .agg(F.collect_set(F.struct("s", F.lit(len(KINDS) - 1).alias("k"), "e")).alias("new"))
+        .agg(F.collect_set(F.struct("s", (F.col("k") + len(BASE_KINDS)).alias("k"), "e")).alias("new"))
         .select(F.col("id").alias("new_id"), F.col("h").alias("new_h"), "new")
     )
     base = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
@@ -195,7 +296,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return found.select(
         id_col,
-        *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])],
+        *[count(k).alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)],
         F.sha2(F.encode(written(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
     )
