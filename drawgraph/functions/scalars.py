@@ -7,16 +7,30 @@ from pyspark.sql import functions as F
 
 #: Valve type codes and instrument type codes of the tag grammar; a code in both is a valve.
 VALVE_CODES = (
-    "HV", "MOV", "SDV", "BDV", "EZV", "XV", "PSV", "PRV", "TSV", "FCV", "LCV", "PCV", "TCV", "CV", "NRV", "CHV",
+    "ESDV", "EZV", "SDV", "BDV", "PSV", "PRV", "TCV", "LCV", "FCV", "PCV", "MOV", "XV", "BFV", "GLV", "NRV", "CSE", "HV", "BV", "GV",
+    "PV", "FV", "LV", "TV",
 )
 INSTRUMENT_CODES = (
-    "PT", "PI", "PIT", "PDT", "PIC", "PC", "TT", "TI", "TIT", "TIC", "TE", "TW", "FT", "FI", "FIT", "FIC", "FE", "FO",
-    "LT", "LI", "LIT", "LIC", "LG", "LS", "PAH", "PAL", "TAH", "TAL", "LAH", "LAL", "LAHH", "LALL", "HS", "ZS", "AT",
+    "PAHH", "PALL", "PAH", "PAL", "PDT", "PDI", "PIC", "PIT", "PZT", "PT", "PI", "PS",
+    "TAHH", "TALL", "TAH", "TAL", "TIC", "TIT", "TT", "TI", "TS", "TE", "TW",
+    "FAHH", "FALL", "FAH", "FAL", "FIC", "FIT", "FT", "FI", "FQ", "FE", "FS",
+    "LAHH", "LALL", "LAH", "LAL", "LIC", "LIT", "LT", "LI", "LG", "LS", "LE",
+    "AIC", "AT", "AI", "AS", "ZIC", "ZT", "ZI", "ZS", "SSHH", "SSH", "ST", "SI", "SE", "SS",
+    "VT", "VI", "VS", "DT", "DI", "WT", "WI", "EIT", "JT", "UT", "UI", "YIC",
 )
 #: Abbreviated subtypes of compact extractions.
-SUBTYPE_CODES = {"VG": "valve.gate", "VB": "valve.ball", "VC": "valve.check", "VL": "valve.globe", "VF": "valve.butterfly"}
-NODE_TYPES = ("equipment", "valve", "instrument", "line", "junction", "terminator", "annotation")
-EDGE_KINDS = ("process", "signal", "impulse", "containment", "electrical")
+SUBTYPE_CODES = {
+    "VG": "valve.gate", "VB": "valve.ball", "VBU": "valve.butterfly", "VCK": "valve.check", "VCT": "valve.control",
+    "VS": "valve.spectacle", "EQ": "equipment", "IP": "instrument.pressure", "IT": "instrument.temperature", "IF": "instrument.flow",
+    "IL": "instrument.level", "IC": "instrument.controller", "IAN": "instrument.analyzer", "J": "junction", "T": "terminator",
+    "A": "annotation",
+}
+#: Enumerations of the graph schema.
+NODE_TYPES = ("equipment", "valve", "instrument", "junction", "terminator", "nozzle", "annotation")
+EDGE_KINDS = ("process", "signal", "impulse", "association", "containment")
+LAYERS = ("process", "instrument", "electrical", "mechanical", "utility", "annotation", "other")
+STATUSES = ("existing", "new", "removed", "future", "temporary")
+FLOW_DIRS = ("uni", "bi")
 
 
 def norm_tag(tag: Column, drop: str = r"\s\-") -> Column:
@@ -88,9 +102,12 @@ def tag_category(code: Column) -> Column:
     return F.when(upper.isin(*VALVE_CODES), "valve").when(upper.isin(*INSTRUMENT_CODES), "instrument").otherwise("unknown")
 
 
+#: A tag is a code and a number of 3 to 6 digits, perhaps a second number and a letter; a line number is
+#: size, PP number, system, fluid and specification.
 TAG_PATTERN = (
-    r"(?i)\b(" + "|".join(sorted({*VALVE_CODES, *INSTRUMENT_CODES}, key=lambda c: (-len(c), c))) + r")[- ]?(\d{3,6})(/\d{3})?[A-Z]?\b"
+    r"(?i)\b(" + "|".join(sorted({*VALVE_CODES, *INSTRUMENT_CODES}, key=lambda c: (-len(c), c))) + r")[- ]?(\d{3,6}(?:[/\\]\d{3,6})?[A-Z]?)\b"
 )
+LINE_PATTERN = r"""(?i)\b\d{1,3}"-?PP\d+-\d{3,4}-[A-Z]{2}\d{4}-[A-Z0-9]+\b"""
 
 
 def match_tags(text: Column) -> Column:
@@ -99,11 +116,8 @@ def match_tags(text: Column) -> Column:
     return F.transform(found, lambda t: F.regexp_replace(F.upper(t), r"^([A-Z]+)[- ]?(\d.*)$", "$1-$2"))
 
 
-LINE_PATTERN = r"""(?i)\b\d{1,2}"?-[A-Z]{1,3}-\d{3,5}-[A-Z0-9]{2,6}\b"""
-
-
 def line_numbers(text: Column) -> Column:
-    """Distinct pipe-line numbers (size-fluid-number-class), upper case, in order."""
+    """Distinct pipe-line numbers (size, PP number, system, fluid, specification), upper case, in order."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(LINE_PATTERN), F.lit(0)), lambda x: F.upper(x)))
 
 

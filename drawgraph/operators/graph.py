@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from drawgraph.functions.scalars import norm_ref, norm_tag
 
+#: Levels of a search that are kept as tables of their own.
+LEVELS = 12
+#: Characters by which search texts and nodes meet.
+GRAM = 3
 #: Edge kinds that are followed against their direction too, and kinds that carry an impact.
 TWO_WAY = ("process", "signal")
 IMPACT = ("process", "signal", "impulse")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder of ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="drawgraph-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's folder (a temporary one only where none is set)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="drawgraph-"))
+    """A reliable checkpoint in the cluster's folder."""
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -107,43 +125,66 @@ def adjacency(edges: DataFrame, two_way: tuple[str, ...] = TWO_WAY) -> DataFrame
     return forward.unionByName(back)
 
 
-def find_path(edges: DataFrame, queries: DataFrame, max_depth: int = 64) -> DataFrame:
+def find_path(edges: DataFrame, queries: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(query, hops, path): a shortest path from ``start`` to ``goal`` of each query; none gives no row.
 
-    Of equal lengths the one that a breadth-first queue reaches first wins: vertices of a level are ordered by the
+    The search ends when no query has a new vertex, or after ``max_depth`` hops if that is given. Of equal lengths the one that a breadth-first queue reaches first wins: vertices of a level are ordered by the
     positions of the edges that led to them.
     """
     hops = adjacency(edges).select("u", "v", "pos")
     ends = queries.select("query", "goal")
     frontier = queries.select("query", F.col("start").alias("at"), F.array().cast("array<string>").alias("key"), F.array("start").alias("path"))
-    seen = frontier.select("query", "at")
-    done = None
-    for depth in range(max_depth + 1):
+    seen, hits = [frontier.select("query", "at")], []
+    for depth in itertools.count():
         hit = frontier.join(ends, "query").filter("at = goal").select("query", F.lit(depth).cast("long").alias("hops"), "path")
-        done = hit if done is None else done.unionByName(hit)
+        hits.append(hit)
+        if depth == max_depth:
+            break
         open_ = frontier.join(hit.select("query"), "query", "left_anti")
-        step = (
-            open_.join(hops, open_["at"] == hops["u"])
-            .select("query", F.col("v").alias("at"), F.concat("key", F.array("pos")).alias("key"), F.concat("path", F.array("v")).alias("path"))
-            .join(seen, ["query", "at"], "left_anti")
+        step = open_.join(hops, open_["at"] == hops["u"]).select(
+            "query", F.col("v").alias("at"), F.concat("key", F.array("pos")).alias("key"), F.concat("path", F.array("v")).alias("path")
         )
+        step = step.join(reduce(DataFrame.unionByName, seen), ["query", "at"], "left_anti")
         frontier = cut_lineage(step.groupBy("query", "at").agg(F.min_by(F.struct("key", "path"), "key").alias("s")).select("query", "at", "s.key", "s.path"))
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier.select("query", "at")))
-        done = cut_lineage(done)
-    return done
+        seen.append(frontier.select("query", "at"))
+        if len(seen) > LEVELS:  # levels are written once; now and then they become one table
+            seen, hits = [cut_lineage(reduce(DataFrame.unionByName, seen))], [cut_lineage(reduce(DataFrame.unionByName, hits))]
+    return reduce(DataFrame.unionByName, hits)
+
+
+def path_details(paths: DataFrame, nodes: DataFrame, edges: DataFrame, details: tuple[str, ...]) -> DataFrame:
+    """(query, hops, tags, edges): the tags (or ids) of a path's nodes and ``details`` of the first edge of each hop."""
+    steps = paths.select("query", F.posexplode("path").alias("k", "id"))
+    names = nodes.groupBy("id").agg(F.first("tag", ignorenulls=True).alias("tag"))
+    tags = steps.join(names, "id", "left").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("tag", "id").alias("tag")))).alias("t"))
+    ends = paths.select("query", F.posexplode(F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("a"), F.expr("slice(path, 2, size(path) - 1)").alias("b"))).alias("k", "e"))
+    ends = ends.select("query", "k", F.least("e.a", "e.b").alias("u"), F.greatest("e.a", "e.b").alias("v"))
+    first = edges.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.min_by(F.struct(*details), "edge_seq").alias("edge"))
+    hops = ends.join(first, ["u", "v"]).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("k", "edge"))).alias("h"))
+    joined = paths.join(tags, "query").join(hops, "query", "left")
+    none = F.array().cast(hops.select(F.transform("h", lambda x: x["edge"])).schema[0].dataType)
+    return joined.select("query", "hops", F.transform("t", lambda x: x["tag"]).alias("path"), F.coalesce(F.transform("h", lambda x: x["edge"]), none).alias("edges"))
 
 
 def impact_region(edges: DataFrame, origins: DataFrame, depth: int = 3, direction: str = "down", kinds: tuple[str, ...] = IMPACT) -> DataFrame:
-    """(origin, id, hops) of what lies up to ``depth`` hops down or up from each origin, itself excluded."""
+    """(origin, id, hops) of what lies up to ``depth`` hops down or up from each origin, itself excluded.
+
+    Where ``origins`` has a column ``depth``, each origin goes as far as its own says, and ``depth`` is the most of them.
+    """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
     hops = edges.filter(F.col("kind").isin(*kinds)).select(F.col(a).alias("u"), F.col(b).alias("v")).distinct()
-    frontier = origins.select("origin", F.col("origin").alias("at"))
+    own = F.col("depth") if "depth" in origins.columns else F.lit(depth)
+    frontier = origins.select("origin", F.col("origin").alias("at"), own.alias("most"))
     seen = frontier.withColumn("hops", F.lit(0).cast("long"))
     for k in range(1, depth + 1):
-        step = frontier.join(hops, frontier["at"] == hops["u"]).select("origin", F.col("v").alias("at")).distinct()
-        frontier = cut_lineage(step.join(seen, ["origin", "at"], "left_anti"))
+        step = frontier.filter(F.col("most") >= k).join(hops, frontier["at"] == hops["u"]).select("origin", F.col("v").alias("at"), "most").distinct()
+        frontier = step.join(seen, ["origin", "at"], "left_anti")
+        if k < depth:  # the last level, the largest, is read once
+            frontier = cut_lineage(frontier)
+            if frontier.isEmpty():
+                break
         seen = seen.unionByName(frontier.withColumn("hops", F.lit(k).cast("long")))
     return seen.filter("hops > 0").select("origin", F.col("at").alias("id"), "hops")
 
@@ -165,12 +206,36 @@ def get_edge(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def search_nodes(nodes: DataFrame, queries: DataFrame, n: int = 20) -> DataFrame:
     """(query, id): normalised query inside the normalised tag, or the query inside service or subtype; first ``n`` each.
 
-    ``queries`` is a short list of search texts; each is matched against every node in one pass over the nodes.
+    Any number of texts: a node meets those whose first ``GRAM`` characters (fewer, if they have fewer) it holds, and
+    these are compared whole. An empty text finds nothing.
     """
-    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lower("query"))
-    found = nodes.join(
-        F.broadcast(queries.limit(1000)),
-        ((norm_tag(F.col("query")) != "") & F.contains(norm_tag(F.col("tag")), norm_tag(F.col("query")))) | has("service") | has("subtype"),
+    text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+
+    def grams(value: Column, kind: str) -> Column:
+        every = F.flatten(
+            F.transform(
+                F.sequence(F.lit(1), F.lit(GRAM)),
+                lambda n: F.when(F.length(value) >= n, F.transform(F.sequence(F.lit(1), F.length(value) - n + 1), lambda i: F.concat(F.lit(kind), F.substr(value, i, n)))).otherwise(
+                    F.array().cast("array<string>")
+                ),
+            )
+        )
+        return every
+
+    held = F.array_distinct(F.concat(grams(norm_tag(F.col("tag")), "t:"), grams(text("service"), "w:"), grams(text("subtype"), "w:")))
+    asked = queries.select("query").distinct().withColumns({"as_tag": norm_tag(F.col("query")), "as_word": F.lower("query")})
+    first = F.array(
+        F.when(F.col("as_tag") != "", F.concat(F.lit("t:"), F.left("as_tag", F.lit(GRAM)))),
+        F.when(F.col("as_word") != "", F.concat(F.lit("w:"), F.left("as_word", F.lit(GRAM)))),
+    )
+    fits = F.when(F.startswith("gram", F.lit("t:")), F.contains(norm_tag(F.col("tag")), F.col("as_tag"))).otherwise(
+        F.contains(text("service"), F.col("as_word")) | F.contains(text("subtype"), F.col("as_word"))
+    )
+    found = (
+        nodes.withColumn("gram", F.explode(held))
+        .join(asked.select("*", F.explode(F.array_compact(first)).alias("gram")), "gram")
+        .filter(fits)
+        .dropDuplicates(["query", "node_seq", "id"])
     )
     rank = F.row_number().over(Window.partitionBy("query").orderBy("node_seq"))
     return found.withColumn("_r", rank).filter(F.col("_r") <= n).select("query", "id", "tag")

@@ -69,11 +69,17 @@ def compact_nodes(nodes: DataFrame, n: int = 100) -> DataFrame:
 def check_nodes(nodes: DataFrame, types: tuple[str, ...], required: tuple[str, ...]) -> DataFrame:
     """(id, issue): types out of the enumeration, and missing required fields."""
     issues = F.array(
-        F.when(~F.col("type").isin(*types), "bad type"), *[F.when(F.col(c).isNull(), f"no {c}") for c in required]
+        F.when(~F.coalesce(F.col("type").isin(*types), F.lit(False)), "bad type"), *[F.when(F.col(c).isNull(), f"no {c}") for c in required]
     )
     return nodes.select("id", F.explode(F.array_compact(issues)).alias("issue"))
 
 
+def check_values(rows: DataFrame, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(id, issue): columns whose value is not one of the enumeration; a null value is none."""
+    issues = F.array(*[F.when(F.col(c).isNotNull() & ~F.col(c).isin(*values), f"bad {c}") for c, values in allowed.items()])
+    return rows.select("id", F.explode(F.array_compact(issues)).alias("issue"))
+
+
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, issue) of edges with an end that no node has."""
     ids = nodes.select(F.col("id").alias("_n"), F.lit(True).alias("_known"))

@@ -137,11 +137,11 @@ def corrupt_lines(t: Source) -> DataFrame:
 
 @query(
     "label_log",
-    """WITH s AS (SELECT DISTINCT 'img' || CAST(doc_id AS STRING) AS stem FROM {documents}), c AS (SELECT stem, count(*) FILTER (len(string_split(line, ' ')) >= 5) AS ok FROM {label_lines} GROUP BY stem)
+    """WITH s AS (SELECT DISTINCT 'img' || CAST(o_orderkey AS STRING) AS stem FROM {orders}), c AS (SELECT stem, count(*) FILTER (len(string_split(line, ' ')) >= 5) AS ok FROM {label_lines} GROUP BY stem)
     SELECT s.stem, CASE WHEN ok IS NULL THEN 'no label file' ELSE 'no valid line' END AS reason FROM s LEFT JOIN c ON s.stem = c.stem WHERE ok IS NULL OR ok = 0""",
 )
 def label_log(t: Source) -> DataFrame:
-    stems = t("documents").select(F.concat(F.lit("img"), F.col("doc_id").cast("string")).alias("stem")).distinct()
+    stems = t("orders").select(F.concat(F.lit("img"), F.col("o_orderkey").cast("string")).alias("stem")).distinct()
     return B.label_log(t("label_lines"), stems)
 
 
@@ -218,11 +218,11 @@ def index_by_page(t: Source) -> DataFrame:
     return T.index_by_page(t("tags")).withColumn("tags", F.array_join("tags", ","))
 
 
-@query("distinct_lines", "SELECT DISTINCT '6\"-PG-' || lpad(CAST(lft AS STRING), 4, '0') || '-A1B' AS line FROM {words}")
+@query("distinct_lines", "SELECT DISTINCT '20\"-PP01-361-GF' || lpad(CAST(lft AS STRING), 4, '0') || '-B03F9' AS line FROM {words}")
 def distinct_lines(t: Source) -> DataFrame:
     from drawgraph.functions.scalars import line_numbers
 
-    text = F.concat(F.lit('at 6"-pg-'), F.lpad(F.col("lft").cast("string"), 4, "0"), F.lit("-a1b end"))
+    text = F.concat(F.lit('at 20"-pp01-361-gf'), F.lpad(F.col("lft").cast("string"), 4, "0"), F.lit("-b03f9 end"))
     return t("words").select(F.explode(line_numbers(text)).alias("line")).distinct()
 
 

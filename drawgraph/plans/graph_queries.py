@@ -119,16 +119,18 @@ def adjacency(t: Source) -> DataFrame:
     "find_path",
     """WITH RECURSIVE adj AS (SELECT src AS u, dst AS v, edge_seq || 'a' AS pos FROM {g_edges} UNION ALL SELECT dst, src, edge_seq || 'b' FROM {g_edges} WHERE kind IN ('process', 'signal')),
     q AS (SELECT 'q' || CAST(c_custkey AS STRING) AS query, 'C:' || CAST(c_custkey AS STRING) AS start, 'S:' || CAST(1 + c_custkey % 9 AS STRING) AS goal FROM {customer}),
-    walk AS (SELECT query, goal, start AS here, [start] AS path, CAST([] AS STRING[]) AS key FROM q UNION ALL
-    SELECT w.query, w.goal, a.v, list_append(w.path, a.v), list_append(w.key, a.pos) FROM walk w JOIN adj a ON w.here = a.u WHERE w.here <> w.goal AND len(w.path) <= 3 AND NOT list_contains(w.path, a.v))
-    SELECT query, CAST(len(path) - 1 AS BIGINT) AS hops, array_to_string(path, '>') AS path FROM walk WHERE here = goal QUALIFY row_number() OVER (PARTITION BY query ORDER BY len(path), key) = 1""",
+    walk(query, here, goal, path, key) USING KEY (query, here) AS (SELECT query, start AS here, goal, [start] AS path, CAST([] AS STRING[]) AS key FROM q UNION
+    SELECT s.query, s.here, s.goal, s.p.path, s.p.key FROM (SELECT w.query, a.v AS here, any_value(w.goal) AS goal, arg_min({{'path': list_append(w.path, a.v), 'key': list_append(w.key, a.pos)}}, list_append(w.key, a.pos)) AS p
+    FROM walk w JOIN adj a ON w.here = a.u WHERE NOT EXISTS (SELECT 1 FROM recurring.walk d WHERE d.query = w.query AND d.here = d.goal)
+    AND NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.query = w.query AND r.here = a.v) GROUP BY w.query, a.v) s)
+    SELECT query, CAST(len(path) - 1 AS BIGINT) AS hops, array_to_string(path, '>') AS path FROM walk WHERE here = goal""",
 )
 def find_path(t: Source) -> DataFrame:
     k = F.col("c_custkey")
     queries = t("customer").select(
         F.concat(F.lit("q"), k.cast("string")).alias("query"), F.concat(F.lit("C:"), k.cast("string")).alias("start"), F.concat(F.lit("S:"), (1 + k % 9).cast("string")).alias("goal")
     )
-    return graph.find_path(t("g_edges"), queries, 3).select("query", "hops", F.array_join("path", ">").alias("path"))
+    return graph.find_path(t("g_edges"), queries).select("query", "hops", F.array_join("path", ">").alias("path"))
 
 
 @query(
@@ -189,12 +191,13 @@ def search_nodes(t: Source) -> DataFrame:
 
 @query(
     "connected_components",
-    """WITH RECURSIVE e AS (SELECT src AS u, dst AS v FROM {g_edges} WHERE kind = 'containment' UNION SELECT dst, src FROM {g_edges} WHERE kind = 'containment'),
-    walk AS (SELECT id AS a, id AS b FROM {g_nodes} WHERE type IN ('junction', 'equipment') UNION SELECT w.a, e.v FROM walk w JOIN e ON w.b = e.u)
-    SELECT a AS id, min(b) AS component FROM walk GROUP BY a""",
+    """WITH RECURSIVE e AS (SELECT src AS u, dst AS v FROM {g_edges} UNION SELECT dst, src FROM {g_edges}),
+    walk(id, component) USING KEY (id) AS (SELECT id, id AS component FROM {g_nodes} UNION
+    SELECT e.v AS id, min(w.component) AS component FROM walk w JOIN e ON w.id = e.u JOIN recurring.walk r ON r.id = e.v WHERE w.component < r.component GROUP BY e.v)
+    SELECT id, component FROM walk""",
 )
 def connected_components(t: Source) -> DataFrame:
-    return graph.connected_components(t("g_edges").filter("kind = 'containment'"), t("g_nodes").filter("type in ('junction', 'equipment')"))
+    return graph.connected_components(t("g_edges"), t("g_nodes"))
 
 
 _DEGREE = """SELECT n.id, n.node_seq, coalesce(d, 0) AS degree, coalesce(d, 0) / ((SELECT count(*) FROM {g_nodes}) - 1) AS centrality FROM {g_nodes} n LEFT JOIN

@@ -1,9 +1,11 @@
 """Queries of readers and writers over rows that hold what the files would, and of the batch tools."""
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawgraph.operators import tools
+from drawgraph.operators import graph, tools
 from drawgraph.plans.registry import Source, query
 from drawgraph.sources import readers, schemas, sinks
 
@@ -12,20 +14,27 @@ def _documents(t: Source) -> DataFrame:
     """Graph documents of about a hundred keys each, as JSON text."""
     pid = F.concat("pid", F.lit("-"), F.floor(F.col("k") / 100).cast("string"))
     nodes = t("g_nodes").withColumn("pid", pid).select("pid", "node_seq", "id", "type", "subtype", "tag", "service", "loop_id", "off_page_ref")
-    edges = t("g_edges").filter("kind = 'containment'")
+    edges = t("g_edges")
     owner = nodes.select("pid", F.col("id").alias("dst"))
     return sinks.graph_json(nodes, edges.join(owner, "dst").select("pid", "edge_seq", "id", "src", "dst", "kind"))
 
 
+def _folder(t: Source, name: str) -> str:
+    """A new folder that all executors share, for a query that writes and reads back."""
+    return f"{graph.shared_folder(t.spark)}/drawgraph-{name}-{uuid.uuid4().hex}"
+
+
 @query("scan_graph", "SELECT pid || '-' || CAST(CAST(floor(k / 100) AS BIGINT) AS STRING) AS pid, id, type, subtype, tag FROM {g_nodes}")
 def scan_graph(t: Source) -> DataFrame:
     nodes, _ = readers.explode_graphs(readers.parse_graphs(_documents(t)))
     return nodes.select("pid", "id", "type", "subtype", "tag")
 
 
-@query("write_graph", "SELECT n.pid || '-' || CAST(CAST(floor(n.k / 100) AS BIGINT) AS STRING) AS pid, e.src, e.dst, e.kind FROM {g_edges} e JOIN {g_nodes} n ON e.dst = n.id WHERE e.kind = 'containment'")
+@query("write_graph", "SELECT n.pid || '-' || CAST(CAST(floor(n.k / 100) AS BIGINT) AS STRING) AS pid, e.src, e.dst, e.kind FROM {g_edges} e JOIN {g_nodes} n ON e.dst = n.id")
 def write_graph(t: Source) -> DataFrame:
-    _, edges = readers.explode_graphs(readers.parse_graphs(_documents(t)))
+    folder = _folder(t, "graphs")
+    _documents(t).write.json(folder)
+    _, edges = readers.explode_graphs(readers.parse_graphs(t.spark.read.schema("pid string, json string").json(folder)))
     return edges.select("pid", "src", "dst", "kind")
 
 
@@ -88,7 +97,14 @@ def scan_pixel_csv(t: Source) -> DataFrame:
 
 @query("scan_text_corpus", "SELECT doc_id, md5(text) AS digest, n_chars FROM {documents}")
 def scan_text_corpus(t: Source) -> DataFrame:
-    return t("documents").select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("n_chars"))
+    """The texts as whole files, which the reader takes back."""
+    folder = _folder(t, "texts")
+    t("documents").filter("text is not null").select("doc_id", F.col("text").alias("value")).repartition("doc_id").write.option("lineSep", "\u0001").partitionBy("doc_id").text(folder)
+    files = readers.read_corpus(t.spark, folder, "*.txt").select(
+        F.regexp_extract("path", r"doc_id=(-?\d+)", 1).cast("long").alias("doc_id"), F.regexp_replace("text", "\u0001$", "").alias("text")
+    )
+    rows = files.unionByName(t("documents").filter("text is null").select("doc_id", "text"))
+    return rows.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("n_chars"))
 
 
 @query("scan_vector_index", "SELECT vec_id, label, CAST(len(embedding) AS INT) AS dims FROM {embeddings}")
@@ -104,28 +120,42 @@ def scan_splits(t: Source) -> DataFrame:
 
 @query("write_index", "SELECT doc_id, source, pid_tag, n FROM {chunks}")
 def write_index(t: Source) -> DataFrame:
-    return t("chunks").select("doc_id", "source", "pid_tag", F.col("n").cast("bigint").alias("n"))
+    folder = _folder(t, "index")
+    sinks.write_index(t("chunks").select("doc_id", "source", "pid_tag", F.col("n").cast("bigint").alias("n")), folder)
+    return readers.read_index(t.spark, folder)
 
 
 @query("write_manifest", "SELECT stem, dataset AS source, CASE WHEN ann_id % 10 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS ann_count FROM {label_lines} GROUP BY ALL")
 def write_manifest(t: Source) -> DataFrame:
     split = F.when(F.col("ann_id") % 10 == 0, "val").otherwise("train")
-    return sinks.manifest(t("label_lines").select("stem", F.col("dataset").alias("source"), split.alias("split")))
+    folder = _folder(t, "manifest")
+    sinks.write_manifest(t("label_lines").select("stem", F.col("dataset").alias("source"), split.alias("split")), folder)
+    return t.spark.read.option("header", True).schema("stem string, source string, split string, ann_count long").csv(folder)
 
 
 @query("write_report", """SELECT '{{"nodes":' || CAST((SELECT count(*) FROM {g_nodes}) AS STRING) || ',"edges":' || CAST((SELECT count(*) FROM {g_edges}) AS STRING) || '}}' AS report""")
 def write_report(t: Source) -> DataFrame:
-    return sinks.report(nodes=t("g_nodes"), edges=t("g_edges"))
+    folder = _folder(t, "report")
+    sinks.write_report(folder, nodes=t("g_nodes"), edges=t("g_edges"))
+    return t.spark.read.text(folder).select(F.col("value").alias("report"))
 
 
 @query("run_tool_calls")
 def run_tool_calls(t: Source) -> DataFrame:
     k = F.col("o_orderkey")
     tag = F.concat(F.lit("PT-"), F.lpad(k.cast("string"), 6, "0"))
-    tool = F.element_at(F.array(*[F.lit(x) for x in (*tools.TOOLS, "other")]), (k % 6 + 1).cast("int"))
-    args = F.to_json(F.struct(tag.alias("tag"), tag.alias("from_tag"), F.concat(F.lit("C:"), F.col("o_custkey").cast("string")).alias("to_tag"), F.lit("junction").alias("node_type")))
+    tool = F.element_at(F.array(*[F.lit(x) for x in (*tools.TOOLS, "other")]), (k % 7 + 1).cast("int"))
+    customer = F.concat(F.lit("C:"), F.col("o_custkey").cast("string"))
+    way = F.element_at(F.array(F.lit("both"), F.lit("upstream"), F.lit("downstream")), (k % 3 + 1).cast("int"))
+    args = F.to_json(
+        F.struct(
+            tag.alias("tag"), tag.alias("from_tag"), customer.alias("to_tag"), F.lit("junction").alias("node_type"), tag.alias("query"),
+            (1 + k % 4).alias("depth"), way.alias("direction"),
+        )
+    )
     calls = t("orders").select(k.alias("call_id"), tool.alias("tool"), args.alias("args"))
-    return tools.run_tool_calls(calls, t("g_nodes"), t("g_edges"))
+    edges = t("g_edges").withColumns({"line_tag": F.concat(F.lit("LN-"), "edge_seq"), "diameter": F.when(F.col("kind") == "process", '6"')})
+    return tools.run_tool_calls(calls, t("g_nodes"), edges)
 
 
 @query(

@@ -1,6 +1,6 @@
 """Queries of the scalar functions (projections, filters)."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawgraph.functions import scalars as S
@@ -99,27 +99,43 @@ def unrotate_bbox(t: Source) -> DataFrame:
     return t("words").select("page", "pos", box.alias("b")).select("page", "pos", "b.x", "b.y", "b.w", "b.h")
 
 
+#: All codes of the tag grammar and one that is none; a word has the one that its place picks.
+_CODES = (*S.VALVE_CODES, *S.INSTRUMENT_CODES, "QQ")
+_CODE_SQL = "[" + ", ".join(f"'{c}'" for c in _CODES) + f"][CAST(1 + (lft * 7 + top) % {len(_CODES)} AS INT)]"
+
+
+def _code() -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in _CODES]), (1 + (F.col("lft") * 7 + F.col("top")) % len(_CODES)).cast("int"))
+
+
+def _quoted(codes: tuple[str, ...]) -> str:
+    return ", ".join(f"'{c}'" for c in codes)
+
+
 @query(
     "tag_category",
-    "SELECT page, pos, CASE WHEN regexp_extract(text, '^[A-Z]+', 0) IN ('HV') THEN 'valve' WHEN regexp_extract(text, '^[A-Z]+', 0) IN ('PT') THEN 'instrument' ELSE 'unknown' END AS category FROM {words}",
+    f"SELECT page, pos, code, CASE WHEN code IN ({_quoted(S.VALVE_CODES)}) THEN 'valve' WHEN code IN ({_quoted(S.INSTRUMENT_CODES)}) THEN 'instrument' ELSE 'unknown' END AS category FROM (SELECT page, pos, {_CODE_SQL} AS code FROM {{words}}) u",
 )
 def tag_category(t: Source) -> DataFrame:
-    return t("words").select("page", "pos", S.tag_category(F.regexp_extract("text", "^[A-Z]+", 0)).alias("category"))
+    return t("words").select("page", "pos", _code().alias("code"), S.tag_category(F.lower(_code())).alias("category"))
 
 
 @query(
     "match_tags",
-    """SELECT page, pos, CASE WHEN pos % 2 = 0 THEN 'HV-' || d ELSE 'PT-' || d END AS tag FROM (SELECT page, pos, lpad(CAST(lft AS STRING), 4, '0') AS d FROM {words}) u""",
+    f"""SELECT page, pos, code || '-' || d || CASE pos % 4 WHEN 0 THEN '' WHEN 1 THEN '/' || d || '7' WHEN 2 THEN chr(92) || d ELSE 'A' END AS tag FROM (SELECT page, pos, {_CODE_SQL} AS code, lpad(CAST(lft AS STRING), 4, '0') AS d FROM {{words}}) u WHERE code <> 'QQ'""",
 )
 def match_tags(t: Source) -> DataFrame:
     digits = F.lpad(F.col("lft").cast("string"), 4, "0")
-    text = F.concat(F.lit("see "), F.when(F.col("pos") % 2 == 0, F.concat(F.lit("hv "), digits)).otherwise(F.concat(F.lit("PT"), digits)), F.lit(", next"))
+    k = F.col("pos") % 4
+    gap = F.when(k == 0, " ").when(k == 1, "-").otherwise("")
+    tail = F.when(k == 0, "").when(k == 1, F.concat(F.lit("/"), digits, F.lit("7"))).when(k == 2, F.concat(F.lit("\\"), digits)).otherwise("a")
+    text = F.concat(F.lit("see "), F.when(k == 3, _code()).otherwise(F.lower(_code())), gap, digits, tail, F.lit(", next"))
     return t("words").select("page", "pos", F.explode(S.match_tags(text)).alias("tag"))
 
 
-@query("extract_line_numbers", "SELECT page, pos, '6\"-PG-' || lpad(CAST(lft AS STRING), 4, '0') || '-A1B' AS line FROM {words}")
+@query("extract_line_numbers", "SELECT page, pos, '20\"-PP01-361-GF' || lpad(CAST(lft AS STRING), 4, '0') || '-B03F9' AS line FROM {words}")
 def extract_line_numbers(t: Source) -> DataFrame:
-    line = F.concat(F.lit('6"-pg-'), F.lpad(F.col("lft").cast("string"), 4, "0"), F.lit("-a1b"))
+    line = F.concat(F.lit('20"-pp01-361-gf'), F.lpad(F.col("lft").cast("string"), 4, "0"), F.lit("-b03f9"))
     return t("words").select("page", "pos", F.explode(S.line_numbers(F.concat(F.lit("on "), line, F.lit(" and "), line))).alias("line"))
 
 
@@ -238,21 +254,37 @@ def compact_entities(t: Source) -> DataFrame:
 
 @query(
     "type_map",
-    """SELECT seq, CASE WHEN type IN ('valve', 'instrument') THEN type ELSE 'annotation' END AS node_type, replace(coalesce(tag, ''), ' ', '') AS node_id, props FROM {x_components}""",
+    f"""SELECT seq, [{_quoted(tuple(v.split(".")[0] for v in S.SUBTYPE_CODES.values()))}, 'nozzle', 'annotation'][CAST(1 + seq % {len(S.SUBTYPE_CODES) + 2} AS INT)] AS node_type, replace(coalesce(tag, ''), ' ', '') AS node_id, props FROM {{x_components}}""",
 )
 def type_map(t: Source) -> DataFrame:
     return t("x_components").select(
-        "seq", S.type_of_subtype(F.concat("type", F.lit(".x"))).alias("node_type"), F.regexp_replace(F.coalesce("tag", F.lit("")), " ", "").alias("node_id"), "props"
+        "seq", S.type_of_subtype(F.element_at(F.array(*[F.lit(c) for c in (*S.SUBTYPE_CODES, "nozzle.inlet", "pump.x")]), (1 + F.col("seq") % (len(S.SUBTYPE_CODES) + 2)).cast("int"))).alias("node_type"), F.regexp_replace(F.coalesce("tag", F.lit("")), " ", "").alias("node_id"), "props"
     )
 
 
 @query(
     "check_schema",
-    """SELECT id, 'bad type' AS issue FROM {g_nodes} WHERE type NOT IN ('equipment', 'valve', 'instrument', 'line', 'junction', 'annotation')
-    UNION ALL SELECT id, 'no tag' FROM {g_nodes} WHERE tag IS NULL
-    UNION ALL SELECT id, 'dangling end' FROM {g_edges} WHERE src NOT IN (SELECT id FROM {g_nodes} WHERE k % 50 <> 0) OR dst NOT IN (SELECT id FROM {g_nodes} WHERE k % 50 <> 0)""",
+    f"""SELECT id, 'bad type' AS issue FROM {{g_nodes}} WHERE CASE k % 40 WHEN 0 THEN 'line' WHEN 1 THEN 'nozzle' ELSE type END NOT IN ({_quoted(S.NODE_TYPES)})
+    UNION ALL SELECT id, 'bad status' FROM {{g_nodes}} WHERE k % 6 = 5 UNION ALL SELECT id, 'bad layer' FROM {{g_nodes}} WHERE k % 8 = 7
+    UNION ALL SELECT id, 'bad kind' FROM {{g_edges}} WHERE CASE kind WHEN 'impulse' THEN 'electrical' WHEN 'containment' THEN 'association' ELSE kind END NOT IN ({_quoted(S.EDGE_KINDS)})
+    UNION ALL SELECT id, 'bad flow_dir' FROM {{g_edges}} WHERE kind = 'signal'
+    UNION ALL SELECT id, 'no tag' FROM {{g_nodes}} WHERE tag IS NULL
+    UNION ALL SELECT id, 'dangling end' FROM {{g_edges}} WHERE src NOT IN (SELECT id FROM {{g_nodes}} WHERE k % 50 <> 0) OR dst NOT IN (SELECT id FROM {{g_nodes}} WHERE k % 50 <> 0)""",
 )
 def check_schema(t: Source) -> DataFrame:
-    nodes = t("g_nodes")
-    types = tuple(x for x in S.NODE_TYPES if x != "terminator")
-    return lists.check_nodes(nodes, types, ("tag",)).unionByName(lists.dangling(t("g_edges"), nodes.filter("k % 50 <> 0")))
+    k, kind = F.col("k"), F.col("kind")
+    pick = lambda values, bad: F.get(F.array(*[F.lit(x) for x in (*values, bad)]), (k % (len(values) + 1)).cast("int"))
+    nodes = t("g_nodes").withColumn("type", F.when(k % 40 == 0, "line").when(k % 40 == 1, "nozzle").otherwise(F.col("type")))
+    nodes = nodes.withColumns({"status": pick(S.STATUSES, "lost"), "layer": pick(S.LAYERS, "air")})
+    edges = t("g_edges").withColumns(
+        {
+            "flow_dir": F.when(kind == "process", "uni").when(kind == "impulse", "bi").when(kind == "signal", "tri"),
+            "kind": F.when(kind == "impulse", "electrical").when(kind == "containment", "association").otherwise(kind),
+        }
+    )
+    return (
+        lists.check_nodes(nodes, S.NODE_TYPES, ("tag",))
+        .unionByName(lists.check_values(nodes, {"status": S.STATUSES, "layer": S.LAYERS}))
+        .unionByName(lists.check_values(edges, {"kind": S.EDGE_KINDS, "flow_dir": S.FLOW_DIRS}))
+        .unionByName(lists.dangling(edges, nodes.filter("k % 50 <> 0")))
+    )

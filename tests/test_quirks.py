@@ -1,5 +1,6 @@
 """Small hand-made cases: ties, nulls, repeated tags, dangling ends, boxes without area, order-dependent choices."""
 
+import json
 import random
 
 import pytest
@@ -25,6 +26,8 @@ def test_scalars(spark):
     assert column(spark, ["2.5 in", "none", None, "1.2.3"], S.first_number) == [2.5, None, None, None]
     assert column(spark, ["HV-101A/B,C"], S.split_compound) == [["HV-101A", "HV-101B", "B", "HV-101C", "C"]]
     assert column(spark, ["psv 0123/456 and PT101, XHV-1234 hv-12"], S.match_tags)[0][:2] == ["PSV-0123/456", "PT-101"]
+    assert column(spark, ["ESDV-0001 PV-1011/2011a glv0012\\0345 CV-123 PAHH 4444"], S.match_tags)[0] == ["ESDV-0001", "PV-1011/2011A", "GLV-0012\\0345", "PAHH-4444"]
+    assert column(spark, ['from 20"-PP01-361-GF0002-B03F9 to 6"PP2-1234-ab0001-x'], S.line_numbers)[0] == ['20"-PP01-361-GF0002-B03F9', '6"PP2-1234-AB0001-X']
     assert column(spark, ["r2c3", "x"], S.tile_key) == [(2, 3), (0, 0)]
     assert column(spark, ["VG", "valve.gate", "odd"], S.type_of_subtype) == ["valve", "valve", "annotation"]
     found = column(spark, ['```json\n{"a": 1,}\n```', 'So: {"a": [1, 2,]}', "none", None], S.lenient_json)
@@ -167,8 +170,60 @@ def test_unknown_tools_give_error_rows(spark):
     edges = spark.createDataFrame([("0", "e", "a", "b", "process")], EDGE)
     calls = [(1, "get_node", '{"tag":"hv1"}'), (2, "nope", "{}"), (3, "find_path", '{"from_tag":"HV-1","to_tag":"b"}'), (4, "list_nodes", '{"node_type":"valve"}'), (5, "impact_region", '{"tag":"HV-1"}'), (6, "graph_summary", "{}"), (7, "get_node", '{"tag":"zz"}'), (8, None, None)]
     got = {r.call_id: r.result for r in tools.run_tool_calls(spark.createDataFrame(calls, "call_id int, tool string, args string"), nodes, edges).collect()}
-    assert '"id":"a"' in got[1] and "unknown tool nope" in got[2] and '"hops":1' in got[3] and got[4] == '["a"]'
-    assert '"hops":1' in got[5] and '"nodes":2' in got[6] and "not found" in got[7] and "unknown" in got[8] and len(got) == 8
+    assert '"id":"a"' in got[1] and "unknown tool: nope" in got[2] and '"hops":1' in got[3] and '"id":"a"' in got[4]
+    assert '"hops":1' in got[5] and '"nodes":2' in got[6] and "no node" in got[7] and "unknown" in got[8] and len(got) == 8
+
+
+def test_tool_arguments(spark):
+    """Depth and direction of each call, whole lists, details of each hop, searches, against walks by hand."""
+    rng = random.Random(4)
+    names = [f"n{i}" for i in range(300)]
+    nodes = [("d", i, n, "valve" if i % 3 else "instrument", f"valve.t{i % 5}", f"HV-{i:04d}" if i % 4 else None, "Fuel gas" if i % 50 == 0 else None) for i, n in enumerate(names)]
+    # a chain of 70 hops, then random edges among the rest
+    pairs = [(f"n{i}", f"n{i + 1}", "process") for i in range(70)]
+    pairs += [(f"n{rng.randrange(71, 300)}", f"n{rng.randrange(71, 300)}", rng.choice(["process", "impulse", "containment"])) for _ in range(400)]
+    edges = [(f"{i:04d}", f"e{i}", a, b, kind, f"L{i}") for i, (a, b, kind) in enumerate(pairs)]
+    calls, want = [], {}
+
+    def reach(start, depth, back):
+        seen, level, out = {start}, [start], set()
+        for k in range(1, depth + 1):
+            level = [v for u in level for a, b, kind in pairs if kind != "containment" for x, v in ([(b, a)] if back else [(a, b)]) if x == u]
+            level = [v for v in dict.fromkeys(level) if v not in seen]
+            seen.update(level)
+            out |= {(v, k) for v in level}
+        return out
+
+    tag = {n[2]: n[5] or n[2] for n in nodes}
+    for c, (i, depth, way) in enumerate([(5, 8, "downstream"), (9, 2, "both"), (69, None, None), (81, 4, "upstream"), (82, 1, "both"), (83, 5, "downstream")]):
+        args = {"tag": f"n{i}"} | ({"depth": depth} if depth else {}) | ({"direction": way} if way else {})
+        calls.append((c, "impact_region", json.dumps(args)))
+        ways = ("downstream", "upstream") if way in (None, "both") else (way,)
+        want[c] = {(w, tag[v], k) for w in ways for v, k in reach(f"n{i}", depth or 3, w == "upstream")}
+    calls += [(100, "find_path", '{"from_tag":"n0","to_tag":"n70"}'), (101, "list_nodes", '{"node_type":"instrument"}'), (102, "search_nodes", '{"query":"fuel"}'), (103, "search_nodes", '{"query":"V-00"}'),
+              (104, "find_path", '{"from_tag":"n0","to_tag":"n200"}'), (105, "search_nodes", '{"query":"zzz"}'), (106, "impact_region", '{"tag":"nobody"}')]
+    rows = tools.run_tool_calls(
+        spark.createDataFrame(calls, "call_id int, tool string, args string"), spark.createDataFrame(nodes, NODE),
+        spark.createDataFrame(edges, EDGE + ", line_tag string"),
+    ).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.call_id, []).append((r.n, r.result and json.loads(r.result)))
+    for c, expected in want.items():
+        assert {(x["direction"], x["tag"], x["hops"]) for _, x in got[c] if x} == expected
+    (_, path), = got[100]
+    assert path["hops"] == 70 and path["path"] == [tag[f"n{i}"] for i in range(71)] and [e["line_tag"] for e in path["edges"]] == [f"L{i}" for i in range(70)]
+    assert sorted(x["id"] for _, x in got[101]) == sorted(n[2] for n in nodes if n[3] == "instrument")
+    assert [x["id"] for _, x in sorted(got[102], key=lambda r: r[0])] == [f"n{i}" for i in range(0, 300, 50)]
+    assert [x["id"] for _, x in sorted(got[103], key=lambda r: r[0])] == [n[2] for n in nodes if n[5] and "V00" in n[5].replace("-", "")][:20]
+    assert "no path" in got[104][0][1]["error"] and got[105] == [(None, None)] and "not found" in got[106][0][1]["error"]
+
+
+def test_many_search_texts(spark):
+    nodes = [("d", i, f"n{i}", "valve", None, f"HV-{i:05d}", None) for i in range(1500)]
+    queries = [(f"hv {i:05d}",) for i in range(1500)] + [("",), ("-",), (None,)]
+    got = graph.search_nodes(spark.createDataFrame(nodes, NODE), spark.createDataFrame(queries, "query string")).collect()
+    assert sorted((r.query, r.id) for r in got) == [(f"hv {i:05d}", f"n{i}") for i in range(1500)]
 
 
 def test_list_helpers(spark):
