@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -20,11 +21,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and go on from there.
 
     The folder is the cluster's ``spark.checkpoint.dir``; only a session without
-    one (tests) gets a temporary folder.
+    one (tests) gets a temporary folder, if it is a local one.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="drawgraph-"))
     return df.checkpoint(eager=True)
 
