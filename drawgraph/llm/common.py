@@ -44,3 +44,25 @@ def words_of(text: Column) -> Column:
 
 def text_bytes(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+
+
+#: Bits of a table that keeps rows without a partner out of a join; a full table lets more through, nothing is lost.
+TABLE_BITS = 22
+
+
+def bit_table(keys: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
+    """One row, one array of longs: a bit for each number in column ``h``. Its size is fixed: 2 ** (bits - 3) bytes."""
+    slot = F.pmod(F.col("h"), F.lit(1 << bits))
+    held = (
+        keys.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(h, 64) as int))").alias("b"))
+        .groupBy("w")
+        .agg(F.bit_or("b").alias("b"))
+    )
+    words = keys.sparkSession.range(1 << (bits - 6)).select(F.col("id").cast("int").alias("w")).join(held, "w", "left")
+    rows = F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b"))))
+    return cut(words.agg(F.transform(rows, lambda x: x["b"]).alias("bits")))
+
+
+def has_bit(table: Column, h: Column, bits: int = TABLE_BITS) -> Column:
+    word = F.get(table, F.shiftright(F.pmod(h, F.lit(1 << bits)), 6).cast("int"))
+    return F.coalesce(F.getbit(word, F.pmod(h, F.lit(64)).cast("int")) == 1, F.lit(False))

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import re
+import math
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Ranges of ids for each shuffle partition.
-RANGES_PER_PARTITION = 4
-#: A leaf ends after blanks that follow one of these bytes (every eighth value).
-LEAF_END = re.compile(b"[" + b"".join(re.escape(bytes([b])) for b in range(35, 256, 8)) + rb"][ \t]+")
+#: Ranges of ids for each shuffle partition, and ids that are drawn for each range to find its ends.
+RANGES_PER_PARTITION, DRAWN = 4, 32
+#: A leaf ends where a hash of the last four bytes divides by the first number; none is longer than the second.
+LEAF, LONGEST = 32, 256
 #: A section ends after a paragraph whose digest divides by this.
 SECTION = 4
 #: Bytes of the digests that a fingerprint lists; inner nodes hash whole digests.
 SHOWN = 6
-#: Paragraphs whose nodes are remembered between rows; only a cache.
-CACHE = 50_000
+_BYTES = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))
 
 # A leaf is (shown digest, code points); a node is (shown digest, code points, children).
 Leaf = tuple[str, int]
@@ -31,48 +31,62 @@ def _digest(parts: list[bytes]) -> bytes:
     return blake2b(b"".join(parts), digest_size=16).digest()
 
 
-def _paragraph(line: str) -> tuple[bytes, Node]:
-    raw = line.encode("utf-8", "surrogatepass")
-    digests, leaves, at = [], [], 0
-    ends = [m.end() for m in LEAF_END.finditer(raw)]
-    if not ends or ends[-1] < len(raw):
-        ends.append(len(raw))
-    for end in ends:
-        piece = raw[at:end]
-        d = blake2b(piece, digest_size=16).digest()
-        digests.append(d)
-        leaves.append((d[:SHOWN].hex(), len(piece.decode("utf-8", "replace"))))
-        at = end
-    whole = _digest(digests)
-    return whole, (whole[:SHOWN].hex(), len(line), leaves)
-
-
-def tree(text: str, cache: dict[str, tuple[bytes, Node]] | None = None) -> tuple[str, list[Node]]:
+def _leaf_ends(raw: bytes) -> tuple[list[int], list[int], list[bool]]:
+    """Ends of the leaves of a text in bytes and in code points, and whether a line ends there."""
+    data = np.frombuffer(raw, np.uint8)
+    n = len(data)
+    wide = np.zeros(n, np.uint32)
+    for k, odd in enumerate(_BYTES):
+        wide[k:] += data[: n - k].astype(np.uint32) * odd
+    wide ^= wide >> np.uint32(15)
+    wide *= np.uint32(0x2C1B3C6D)
+    starts = (data & 0xC0) != 0x80  # bytes that begin a code point
+    whole = np.append(starts[1:], True)
+    line = data == 10
+    ends = np.flatnonzero((((wide >> np.uint32(12)) % np.uint32(LEAF) == 0) & whole) | line) + 1
+    if not len(ends) or ends[-1] < n:
+        ends = np.append(ends, n)
+    gaps = np.diff(ends, prepend=0)
+    if gaps.max() > LONGEST:  # cut at even distances, moved back to where a code point begins
+        more = np.concatenate([np.arange(e - g + LONGEST, e, LONGEST) for e, g in zip(ends[gaps > LONGEST], gaps[gaps > LONGEST], strict=True)])
+        for _ in range(3):
+            more = more - ~starts[more]
+        ends = np.unique(np.concatenate((ends, more)))
+    points = np.cumsum(starts)[ends - 1]
+    return ends.tolist(), np.diff(points, prepend=0).tolist(), line[ends - 1].tolist()
+
+
+def tree(text: str) -> tuple[str, list[Node]]:
     """Root (32 hex digits) and sections of a text.
 
-    Paragraphs are its lines with their line ends, and their leaves are runs of words; a run of paragraphs up to one
-    whose digest divides by ``SECTION`` is a section. All cuts depend on what stands there, so an edit changes the
-    branches that hold it and no others.
+    Paragraphs are its lines with their line ends. Their leaves end where the last bytes hash to it, in any script and
+    with or without blanks; a run of paragraphs up to one whose digest divides by ``SECTION`` is a section. All cuts
+    depend on what stands there, so an edit changes the branches that hold it and no others.
     """
-    cache = {} if cache is None else cache
-    if len(cache) > CACHE:
-        cache.clear()
+    raw = text.encode("utf-8", "surrogatepass")
     tops: list[bytes] = []
     sections: list[Node] = []
     digests: list[bytes] = []
     nodes: list[Node] = []
-    lines = text.split("\n")
-    paragraphs = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
-    for k, line in enumerate(paragraphs):
-        found = cache.get(line)
-        if found is None:
-            found = cache[line] = _paragraph(line)
-        digests.append(found[0])
-        nodes.append(found[1])
-        if found[0][0] % SECTION == 0 or k == len(paragraphs) - 1:
-            tops.append(_digest(digests))
-            sections.append((tops[-1][:SHOWN].hex(), sum(x[1] for x in nodes), nodes))
-            digests, nodes = [], []
+    parts: list[bytes] = []
+    leaves: list[Leaf] = []
+    size = at = 0
+    if raw:
+        for end, points, line in zip(*_leaf_ends(raw), strict=True):
+            d = blake2b(raw[at:end], digest_size=16).digest()
+            parts.append(d)
+            leaves.append((d[:SHOWN].hex(), points))
+            size += points
+            at = end
+            if line or end == len(raw):
+                whole = _digest(parts)
+                digests.append(whole)
+                nodes.append((whole[:SHOWN].hex(), size, leaves))
+                parts, leaves, size = [], [], 0
+                if whole[0] % SECTION == 0 or end == len(raw):
+                    tops.append(_digest(digests))
+                    sections.append((tops[-1][:SHOWN].hex(), sum(x[1] for x in nodes), nodes))
+                    digests, nodes = [], []
     return _digest(tops).hex(), sections
 
 
@@ -146,6 +160,18 @@ def edits(a: str, b: str) -> list[tuple[int, int]]:
     return out
 
 
+def _above(value: Column, cuts: list) -> Column:
+    """How many of the ascending ``cuts`` are greater; a row is compared with about two square roots of them."""
+    if not cuts:
+        return F.lit(0)
+    size = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[k : k + size] for k in range(0, len(cuts), size)]
+    begun = F.size(F.filter(F.lit([b[0] for b in blocks]), lambda c: c <= value))  # blocks that begin at or below it
+    table = F.array(*[F.lit(b) for b in blocks])
+    inner = F.size(F.filter(F.get(table, begun - 1), lambda c: c > value))
+    return F.lit(len(cuts)) - F.least(begun * size, F.lit(len(cuts))) + F.when(begun > 0, inner).otherwise(0)
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (range, last, id, text) sorted so that each row's next document follows it.
 
@@ -160,10 +186,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"),
     )
-    cuts = docs.agg(F.percentile_approx(id_col, [(k + 1) / n for k in range(n)], 100 * n).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
-    place = F.size(F.filter(F.lit(cuts), lambda c: F.col("id") < c)) if cuts else F.lit(0)
-    rows = rows.withColumn("range", F.when(F.col("id").isNull(), len(cuts)).otherwise(place).cast("int"))
+    # the ends of the ranges come from a draw of ids of fixed size, as a sort would take them; any type of id will do
+    drawn = rows.select("id").filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(n * DRAWN).collect()
+    some = sorted(r["id"] for r in drawn)
+    cuts = sorted({some[k] for k in range(0, len(some), max(1, len(some) // n))})
+    rows = rows.withColumn("range", F.when(F.col("id").isNull(), len(cuts)).otherwise(_above(F.col("id"), cuts)).cast("int"))
     # one row for each range: at most n + 1
     heads = [(r["range"], r["m"]["id"], r["m"]["h"]) for r in rows.groupBy("range").agg(F.max(F.struct("id", "h")).alias("m")).collect()]
     heads.sort()
@@ -195,17 +222,16 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[bytes, Node]] = {}
         held = None  # (id, text, tree) that waits for its next
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             ids, texts, lasts = (batch.column(i).to_pylist() for i in (2, 4, 1))
             for i, text, last in zip(ids, texts, lasts, strict=True):
-                own = tree(text, cache)
+                own = tree(text)
                 if held is not None:
                     half = len(held[1]) // 2
                     edited = held[1][: len(held[1]) - half] + text[:half]
-                    other = tree(edited, cache)
+                    other = tree(edited)
                     row = (
                         held[0], len(held[1]), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
                         write(*held[2]), write(*other), likeness(held[2], other), likeness(held[2], own),

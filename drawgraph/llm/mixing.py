@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,9 @@ from drawgraph.llm.shingles import slices, word_hashes
 FEATURES = 1024
 #: Labelled rows on which the classifier is fitted.
 FIT_ROWS = 8_000
-#: The descent ends when every domain total is within this share of its target, or after so many rounds.
-TOLERANCE, MOST_ROUNDS = 1e-4, 80
+#: The descent ends when every domain total is within this share of its target, or when the largest distance from a
+#: target has not fallen by a tenth in so many rounds: then no rates come closer by much.
+TOLERANCE, PATIENCE = 1e-4, 25
 #: Rounds between cuts of the rates' lineage.
 CUT_EVERY = 8
 DOMAINS = ("good", "poor", "toxic")
@@ -117,6 +119,9 @@ def solve(rows: DataFrame, targets: list[float], budget: float = 1.0) -> DataFra
     Projected gradient on the sum over domains of (total - target)^2 / (2 natural total), from rates of 1, with the
     tokens as metric; in it a step of 1 never overshoots, as posteriors sum to 1. Each round sends one number for each
     domain to the driver. A domain without natural tokens is left out, and the other targets are scaled up.
+
+    ``residual``, the same in all rows, is the largest distance of a total from its target, as a share of all natural
+    tokens. Targets that no rates reach give the nearest totals that the descent finds, and a residual that tells so.
     """
     k = len(targets)
     sums = lambda df: [float(x or 0.0) for x in df.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.get("p", F.lit(i))) for i in range(k)]).first()]
@@ -126,7 +131,9 @@ def solve(rows: DataFrame, targets: list[float], budget: float = 1.0) -> DataFra
     share = [t if s > 0 else 0.0 for t, s in zip(targets, natural, strict=True)]
     goal = [budget * whole * t / (sum(share) or 1.0) for t in share]
     total = natural
-    for step in range(1, MOST_ROUNDS + 1):
+    distance = lambda total: max((abs(a - g) for a, g, s in zip(total, goal, natural, strict=True) if s > 0), default=0.0) / (whole or 1.0)
+    mark, marked = distance(total), 0
+    for step in itertools.count(1):
         if all(abs(a - g) <= TOLERANCE * max(g, whole * 1e-6) for a, g, s in zip(total, goal, natural, strict=True) if s > 0):
             break
         pull = [(a - g) / s if s > 0 else 0.0 for a, g, s in zip(total, goal, natural, strict=True)]
@@ -135,7 +142,11 @@ def solve(rows: DataFrame, targets: list[float], budget: float = 1.0) -> DataFra
         if step % CUT_EVERY == 0:
             rows = cut(rows)
         total = sums(rows)
-    return rows
+        if distance(total) < 0.9 * mark:
+            mark, marked = distance(total), step
+        elif step - marked >= PATIENCE:
+            break
+    return rows.withColumn("residual", F.lit(distance(total)))
 
 
 def rates(
@@ -151,7 +162,7 @@ def rates(
     ``labelled`` (id, domain) trains the classifier; ``targets`` gives each domain's weight; ``budget`` scales the
     tokens of the mixture. ``copies`` rounds the rate to a whole number by a fixed draw from the id and text.
 
-    Returns id, h (hash of the text), tokens, p_<domain>, rate, copies. Null and empty texts have no tokens and the
+    Returns id, h (hash of the text), tokens, p_<domain>, rate, residual (see ``solve``), copies. Null and empty texts have no tokens and the
     posterior of the biases; null ids and repeated rows are kept; without labels all posteriors are equal; an empty
     table gives no rows; other columns are not read.
     """
@@ -166,6 +177,7 @@ def rates(
         "tokens",
         *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)],
         "rate",
+        "residual",
         F.floor(F.col("rate") + draw).cast("int").alias("copies"),
     )
 

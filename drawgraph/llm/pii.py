@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawgraph.llm.common import cut, let, words_of
+from drawgraph.llm.common import bit_table, cut, has_bit, let, words_of
 
 # The base patterns, written so that Java's matcher neither recurses nor rescans a run of characters:
 # possessive where giving back cannot help, and tried only where a run begins (or a match just ended).
@@ -179,14 +179,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _occurrences(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataFrame:
     """(pattern, n): how often each pattern stands before any word at all."""
-    slot = lambda h: F.pmod(h, F.lit(1 << PATTERN_BITS)).cast("int")
-    held = (
-        patterns.select(F.shiftright(slot(F.col("pattern")), 6).alias("w"), F.expr("shiftleft(1L, cast(pmod(pattern, 64) as int))").alias("b"))
-        .groupBy("w")
-        .agg(F.bit_or("b").alias("b"))
-    )
-    whole = docs.sparkSession.range(1 << (PATTERN_BITS - 6)).select(F.col("id").cast("int").alias("w")).join(held, "w", "left")
-    bits = cut(whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))), lambda x: x["b"]).alias("bits")))
+    bits = bit_table(patterns.select(F.col("pattern").alias("h")), PATTERN_BITS)
 
     def met(wh: Column, table: Column) -> Column:
         def at(i: Column) -> Column:
@@ -195,7 +188,7 @@ def _occurrences(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataFra
                 F.xxhash64(F.lit(1), one), F.when(i > 1, F.xxhash64(F.lit(2), two, one)), F.when(i > 2, F.xxhash64(F.lit(3), three, two, one)),
                 F.when(next_.isNotNull(), F.xxhash64(F.lit(4), one, next_)),
             )
-            return F.filter(found, lambda h: F.getbit(F.get(table, F.shiftright(slot(h), 6)), F.pmod(h, F.lit(64)).cast("int")) == 1)
+            return F.filter(found, lambda h: has_bit(table, h, PATTERN_BITS))
 
         n = F.size(wh)
         return F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(1), n - 1), at)))

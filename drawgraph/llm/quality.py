@@ -7,12 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawgraph.llm.common import BLANKS, cut, let, words_of
+from drawgraph.llm.common import BLANKS, bit_table, cut, has_bit, let, words_of
 
-#: Hash buckets of the two multinomials; bounds every statistic that leaves the executors.
-BUCKETS = 1 << 14
-#: Trusted documents from which the target multinomial and the threshold are fitted.
-TRUSTED_ROWS = 20_000
+#: Hash buckets of the two multinomials: one for so many bytes of text, between these powers of two. The larger one
+#: bounds the table of weights that goes to the executors (8 bytes each).
+BUCKET_BYTES, LEAST_BITS, MOST_BITS = 1024, 14, 20
 #: Share of trusted documents that may score below the threshold.
 TRUSTED_LOSS = 0.002
 #: Width of the windows in which repeated words are found.
@@ -26,55 +25,68 @@ def _hashed(text_col: str) -> Column:
     return F.transform(words_of(F.col(text_col)), lambda w: F.xxhash64(w))
 
 
-def _grams(words: Column) -> Column:
+def _grams(words: Column, buckets: int) -> Column:
     """The bucket of each 1-gram and 2-gram of an array of word hashes."""
     n = F.size(words)
     pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, n), lambda a, b: F.xxhash64(a, b))
-    return F.transform(F.concat(words, pairs), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
+    return F.transform(F.concat(words, pairs), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
-def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
+    """Buckets for a corpus: they grow with its bytes."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("b")).first()["b"] or 0
+    return 1 << min(MOST_BITS, max(LEAST_BITS, (size // BUCKET_BYTES).bit_length()))
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_text`` of the documents whose id ``ids`` (_id) holds; a table of bits keeps the others out of the join."""
+    bits = bit_table(ids.select(F.xxhash64("_id").alias("h")))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), bits.scalar().alias("_bits"))
+    return rows.filter(has_bit(F.col("_bits"), F.xxhash64("_id"))).select("_id", "_text").join(ids, "_id", "left_semi").select("_text")
+
+
+def fit_ratio(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row: ``weights``, the log ratio of each bucket, trusted target against the raw corpus.
 
-    The raw counts cover every document; the target counts cover the documents
-    whose ids ``trusted`` holds (``TRUSTED_ROWS`` ids at most, which bounds the broadcast).
+    The raw counts cover every document, the target counts every document whose id ``trusted`` (_id) holds.
     """
-    flagged = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
-        F.broadcast(trusted.select(F.col(id_col).alias("_id")).distinct().withColumn("_target", F.lit(1))), "_id", "left"
-    )
-    counts = cut(
-        flagged.select("_target", F.explode(let(_hashed("_text"), _grams)).alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.count("_target").alias("target"))
-    )
+
+    def counted(texts: DataFrame, name: str) -> DataFrame:
+        grams = let(_hashed("_text"), lambda words: _grams(words, buckets))
+        return texts.select(F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+
+    raw = counted(docs.select(F.col(text_col).alias("_text")), "raw")
+    counts = cut(raw.join(counted(_with_ids(docs, trusted, id_col, text_col), "target"), "bucket", "left"))
     spark = docs.sparkSession
     sums = counts.agg(F.sum("raw").alias("raw_all"), F.sum("target").alias("target_all"))
-    whole = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
-    ratio = F.log((F.coalesce("target", F.lit(0)) + ALPHA) / (F.coalesce("target_all", F.lit(0)) + ALPHA * BUCKETS)) - F.log(
-        (F.coalesce("raw", F.lit(0)) + ALPHA) / (F.coalesce("raw_all", F.lit(0)) + ALPHA * BUCKETS)
+    whole = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    ratio = F.log((F.coalesce("target", F.lit(0)) + ALPHA) / (F.coalesce("target_all", F.lit(0)) + ALPHA * buckets)) - F.log(
+        (F.coalesce("raw", F.lit(0)) + ALPHA) / (F.coalesce("raw_all", F.lit(0)) + ALPHA * buckets)
     )
-    return (
+    in_order = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    blocks = (
         whole.join(F.broadcast(sums))
-        .select("bucket", ratio.alias("w"))
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "w"))), lambda x: x["w"]).alias("weights"))
+        .select("bucket", F.shiftright("bucket", 10).alias("block"), ratio.alias("w"))
+        .groupBy("block")
+        .agg(in_order("bucket", "w").alias("ws"))
     )
+    return blocks.agg(F.flatten(in_order("block", "ws")).alias("weights"))
 
 
-def _score(words: Column, weights: Column) -> Column:
+def _score(words: Column, weights: Column, buckets: int) -> Column:
     """Mean log ratio of the grams; no words score 0."""
 
     def mean(grams: Column) -> Column:
         total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(weights, b))
         return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(F.lit(0.0))
 
-    return let(_grams(words), mean)
+    return let(_grams(words, buckets), mean)
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", limit: int = TRUSTED_ROWS) -> DataFrame:
-    """At most ``limit`` ids that are labelled good and not toxic, by hash order; nulls don't count."""
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The ids that are labelled good and not toxic; nulls don't count."""
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col(id_col).isNotNull()
-    ids = labels.filter(good).select(id_col)
-    return ids.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(limit)
+    return labels.filter(good).select(id_col).distinct()
 
 
 def repeat_words(words: Column, size: int = WINDOW) -> Column:
@@ -121,15 +133,15 @@ def judge(
 
     Null, empty and blank texts have no words and fail; null ids are kept as rows;
     repeated rows get equal verdicts; an empty table gives no rows. 64-bit hashes
-    stand for words and windows inside one document.
+    stand for words and windows inside one document. The buckets of the n-grams grow with the corpus (``bucket_count``).
     """
-    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col(id_col)), F.lit(2))
-    weights = cut(fit_ratio(docs, trusted.filter(fold == 0), id_col, text_col))
-    held_out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
-        F.broadcast(trusted.filter(fold == 1).select(F.col(id_col).alias("_id")).distinct()), "_id", "left_semi"
-    )
+    fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("_id")), F.lit(2))
+    ids = cut(trusted.select(F.col(id_col).alias("_id")).distinct())
+    buckets = bucket_count(docs, text_col)
+    weights = cut(fit_ratio(docs, ids.filter(fold == 0), buckets, id_col, text_col))
+    held_out = _with_ids(docs, ids.filter(fold == 1), id_col, text_col)
     scores = held_out.select(_hashed("_text").alias("_wh"), weights.scalar().alias("_w")).filter(F.size("_wh") > 0)
-    bound = scores.select(_score(F.col("_wh"), F.col("_w")).alias("s")).agg(F.percentile("s", F.lit(TRUSTED_LOSS)).alias("t"))
+    bound = scores.select(_score(F.col("_wh"), F.col("_w"), buckets).alias("s")).agg(F.percentile("s", F.lit(TRUSTED_LOSS)).alias("t"))
     bound = bound.first()["t"]
     threshold = -math.inf if bound is None else bound
 
@@ -140,7 +152,7 @@ def judge(
         lambda wh: F.struct(
             F.size(wh).cast("long").alias("n_words"),
             repeat_words(wh).cast("long").alias("n_repeat_words"),
-            _score(wh, F.col("_w")).alias("score"),
+            _score(wh, F.col("_w"), buckets).alias("score"),
         ),
     )
     rows = docs.select(

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from drawgraph.llm.common import cut, text_bytes
 
-#: The order of rows is dealt over this many ranges of the text hash.
-RANGE_BITS = 10
+#: The order of rows is dealt over ranges of the text hash, one for so many rows and between these powers of two.
+RANGE_ROWS, LEAST_BITS, MOST_BITS = 50_000, 10, 20
 #: Rows of one text are counted in this many parts, so that no group is one task.
 SALTS = 64
 
@@ -46,14 +46,15 @@ def shard_by_bytes(
             F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int").alias("salt"),
         )
     )
+    bits = min(MOST_BITS, max(LEAST_BITS, (rows.count() // RANGE_ROWS).bit_length()))
     group = ["h", "crc", "size"]
     part = [*group, "salt"]
     parts = (
         rows.groupBy(*part)
         .agg(F.count("*").alias("n"))
-        .withColumn("range", F.shiftright("h", 64 - RANGE_BITS).cast("int"))
+        .withColumn("range", F.shiftright("h", 64 - bits).cast("int"))
     )
-    # per-range totals: at most 2 ** RANGE_BITS rows, so one window and a broadcast are bounded
+    # per-range totals: at most 2 ** MOST_BITS rows, so one window and a broadcast are bounded
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     totals = parts.groupBy("range").agg(F.sum(F.col("n") * F.col("size")).alias("b"), F.sum("n").alias("r"))

@@ -57,3 +57,33 @@ def test_half_edited_is_near_half_and_single_row_is_its_own_next(spark):
     one = fp.fingerprint(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).collect()
     assert one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
     assert fp.fingerprint(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_half_of_any_script_is_found_again():
+    """Texts of 300 characters and more, of every language of the documents, and without blanks, share their first half."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text", "lang"]).to_pylist()
+    rng = random.Random(2)
+    cases = [(r["lang"], r["text"]) for r in rows if r["text"] and len(r["text"]) >= 300]
+    cases += [("cjk", "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(600))) for _ in range(40)]
+    cases += [("base64", "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(900))) for _ in range(40)]
+    found = {}
+    for k, (lang, text) in enumerate(cases):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + cases[k - 1][1][:half].ljust(half, "~")
+        found.setdefault(lang, []).append(fp.likeness(fp.tree(text), fp.tree(edited)))
+    for lang, likes in found.items():
+        likes.sort()
+        assert likes[len(likes) // 50] > 0.3 and 0.42 < sum(likes) / len(likes) < 0.62, (lang, likes[:5], sum(likes) / len(likes))
+    assert all(n <= fp.LONGEST for _, n in [leaf for s in fp.tree("é" * 5000)[1] for p in s[2] for leaf in p[2]])
+
+
+def test_string_ids_long_texts_and_extra_columns(spark):
+    rows = [(f"id{i:04d}", "w" * i, "h", i) for i in range(500)] + [("long", "word " * 200_000, None, None), (None, None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, h string, range int")
+    got = {r.doc_id: r for r in fp.fingerprint(df).collect()}
+    assert len(got) == 502 and got["long"].n_chars == 1_000_000
+    # descending ids: 'long' first, then id0499 down to id0000, null last
+    assert got["id0007"].edited_sha256 == hashlib.sha256(("w" * 4 + "w" * 3).encode()).hexdigest()
+    assert got["long"].edited_sha256 == hashlib.sha256((rows[500][1][:500_000] + "w" * 499).encode()).hexdigest()

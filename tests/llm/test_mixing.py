@@ -45,7 +45,7 @@ def test_rates_match_a_plain_solver(spark):
     got = mixing.solve(df, [0.6, 0.1, 0.3]).toPandas()
     a = n[:, None] * p
     goal, natural, r = np.array([0.6, 0.1, 0.3]) * n.sum(), a.sum(axis=0), np.ones(200)
-    for _ in range(mixing.MOST_ROUNDS):
+    for _ in range(10_000):
         gap = r @ a - goal
         if (abs(gap) <= mixing.TOLERANCE * goal).all():
             break
@@ -78,3 +78,12 @@ def test_no_labels_and_empty_tables(spark):
 def test_label_domains(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 0, 1), (4, None, None), (None, 1, 0), (5, 1, None)], "doc_id long, quality int, toxic int")
     assert sorted(tuple(r) for r in mixing.label_domains(labels).collect()) == [(1, "good"), (2, "poor"), (3, "toxic"), (5, "good")]
+
+
+def test_targets_out_of_reach_end_with_a_residual(spark):
+    """Every document is half one domain, half the other: no rates give 90 to 10."""
+    df = spark.createDataFrame([(10, [0.5, 0.5])] * 20, "tokens long, p array<double>")
+    got = mixing.solve(df, [0.9, 0.1]).select("rate", "residual").distinct().collect()
+    assert len(got) == 1 and abs(got[0].rate - 1.0) < 1e-6 and abs(got[0].residual - 0.4) < 1e-6
+    near = mixing.solve(spark.createDataFrame([(10, [0.8, 0.2]), (10, [0.2, 0.8])], "tokens long, p array<double>"), [0.6, 0.4]).first()
+    assert near.residual <= 1e-4

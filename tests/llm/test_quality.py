@@ -79,4 +79,3 @@ def test_trusted_ids_skips_nulls_and_toxic(spark):
         [(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, 1, None), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int"
     )
     assert sorted(r.doc_id for r in quality.trusted_ids(labels).collect()) == [1, 4]
-    assert quality.trusted_ids(labels, limit=1).count() == 1
