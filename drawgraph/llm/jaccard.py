@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawgraph.llm.common import cut
+from drawgraph.llm.common import bit_table, cut, has_bit
 from drawgraph.llm.components import connected
 from drawgraph.llm.shingles import mix, shingle_sets, slices
 
@@ -481,9 +481,13 @@ def representatives(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # rows without words, and those that are alone and stay, need no mark
     marked = cut(judged.filter("not _dup_kept or _dup_c > 1").select("_dup_id", "_dup_h", "_dup_kept"))
     h = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    joined = docs.join(marked, (h == F.col("_dup_h")) & F.col(id_col).eqNullSafe(F.col("_dup_id")), "left")
-    kept = joined.filter("_dup_kept is null").select(*[docs[c] for c in docs.columns])
+    # texts that nothing marks go on as they are; only the others are shuffled
+    bits = bit_table(marked.select(F.xxhash64("_dup_h", "_dup_id").alias("h")))
+    met = has_bit(bits.scalar(), F.xxhash64(h, F.col(id_col)))
+    some = docs.filter(met)
+    joined = some.join(marked, (h == F.col("_dup_h")) & F.col(id_col).eqNullSafe(F.col("_dup_id")), "left")
+    kept = docs.filter(~met).unionByName(joined.filter("_dup_kept is null").select(*[some[c] for c in docs.columns]))
     if marked.filter("_dup_kept").isEmpty():
         return kept
-    once = joined.filter("_dup_kept").dropDuplicates(["_dup_id", "_dup_h"]).select(*[docs[c] for c in docs.columns])
+    once = joined.filter("_dup_kept").dropDuplicates(["_dup_id", "_dup_h"]).select(*[some[c] for c in docs.columns])
     return kept.unionByName(once)

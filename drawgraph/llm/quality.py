@@ -11,7 +11,7 @@ from drawgraph.llm.common import BLANKS, bit_table, cut, has_bit, let, words_of
 
 #: Hash buckets of the two multinomials: one for so many bytes of text, between these powers of two. The larger one
 #: bounds the table of weights that goes to the executors (8 bytes each).
-BUCKET_BYTES, LEAST_BITS, MOST_BITS = 1024, 14, 20
+BUCKET_BYTES, LEAST_BITS, MOST_BITS = 16384, 14, 20
 #: Share of trusted documents that may score below the threshold.
 TRUSTED_LOSS = 0.002
 #: Width of the windows in which repeated words are found.
