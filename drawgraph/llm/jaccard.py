@@ -36,7 +36,7 @@ LEADERS = 2
 #: Words of 64 parity bits that a join can compare.
 QUAD = 4
 #: Leading segments of a band by which a pair is told to have met already; later ones only repeat what these find.
-AHEAD = 16
+AHEAD = 6
 # roles of a row; above them it carries its band and its segment (``BEYOND`` for one-deletion neighbours)
 INDEX, INDEX_LESS, PROBE, PROBE_WIDE, PROBE_LESS = 1, 2, 4, 8, 16
 BAND_SHIFT, SEGMENT_SHIFT, BEYOND = 5, 11, (1 << 20) - 1
