@@ -15,8 +15,26 @@ def props_summary(props: Column) -> Column:
     return F.map_filter(props, lambda _, v: v.isNotNull() & ~v.isin("", "[]", "{}"))
 
 
-def strip_auto_id(value: Column, pattern: str) -> Column:
-    return F.when(~value.rlike(pattern), value)
+#: Marks of ids that were made up while drawings were digitised; fixed values.
+AUTO_INSIDE = r"_r\d+c\d+|_osbl|_anno_|_sub_|_tile_"
+AUTO_START = r"spec_break_|anno_|term_|barred_tee_"
+
+
+def strip_auto_ids(document: Column, inside: str = AUTO_INSIDE, start: str = AUTO_START) -> Column:
+    """JSON text without the ``id`` entries, at any depth of objects and lists, whose text is a made-up id.
+
+    Such an id has ``inside`` anywhere or begins with ``start``, in any case. Everything else stays byte for byte, ids
+    that are numbers or objects too; text that is no JSON, and null, stay as they are.
+
+    The tree is walked in its text, in one pass and to any depth: a bare quote ends or begins a string (inside one it
+    is escaped), so ``"id"`` with a colon behind it is a key wherever it stands and never part of a value. Keys and ids
+    that spell plain letters as ``\\u`` escapes aren't recognised.
+    """
+    value = rf'"(?:[^"\\]*?(?:\\.[^"\\]*?)*?(?:{inside})|(?:{start}))[^"\\]*(?:\\.[^"\\]*)*"'
+    entry = rf'"id"\s*:\s*(?i:{value})'
+    first = F.regexp_replace(document, rf"(\{{\s*){entry}\s*(?:,\s*|(?=\}}))", "$1")  # the first or only entry of an object
+    clean = F.regexp_replace(first, rf"\s*,\s*{entry}", "")
+    return F.when(F.try_parse_json(document).isNotNull(), clean).otherwise(document)
 
 
 def remap_classes(lines: DataFrame, mapping: dict[int, int]) -> DataFrame:

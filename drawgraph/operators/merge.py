@@ -13,27 +13,33 @@ from drawgraph.functions.scalars import norm_tag, norm_tag_strict, tile_key
 EDGES = (("EDGE_LEFT", "EDGE_RIGHT", 0, -1), ("EDGE_RIGHT", "EDGE_LEFT", 0, 1), ("EDGE_TOP", "EDGE_BOTTOM", -1, 0), ("EDGE_BOTTOM", "EDGE_TOP", 1, 0))
 
 
-def apply_corrections(components: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Set fields of pass-1 components by (tile, id, field); the last correction of a field wins.
+def apply_corrections(components: DataFrame, corrections: DataFrame, keys: tuple[str, ...] = ("tile", "id")) -> DataFrame:
+    """``components`` with their JSON document ``body`` patched; only those of pass 1 are.
 
-    ``corrections`` has (tile, id, fld, val, seq). A dotted field sets one level of ``props`` if it has that level.
+    ``corrections`` has the keys and (fld, val, seq): ``fld`` names a field, or ``field.key`` one key of a field that is
+    an object, and is set to the JSON text ``val`` (text that isn't JSON is a string, null is JSON's null). They hold in
+    the order of ``seq``, the last one wins, and all other fields and keys stay. A key whose field is missing at that
+    point, or is no object, changes nothing. A body that is no JSON object stays as it is; so does one that nothing corrects.
+
+    The last value of each path is found by one aggregation, and the patches of a component meet it in one join: a
+    field's last whole value goes in first, then the keys that were set after it.
     """
-    last = corrections.groupBy("tile", "id", "fld").agg(F.max_by("val", "seq").alias("val"))
-    wide = last.groupBy("tile", "id").agg(
-        F.max(F.when(F.col("fld") == "type", F.struct("val"))).alias("_type"),
-        F.max(F.when(F.col("fld") == "tag", F.struct("val"))).alias("_tag"),
-        F.max(F.when(F.col("fld") == "props.size", F.struct("val"))).alias("_size"),
-    )
-    joined = components.join(wide, ["tile", "id"], "left")
-    first = F.col("pass") == 1
-    has_size = F.get_json_object("props", "$.size").isNotNull()
-    new_props = F.to_json(F.struct(F.col("_size.val").alias("size")))
-    return (
-        joined.withColumn("type", F.when(first & F.col("_type").isNotNull(), F.col("_type.val")).otherwise(F.col("type")))
-        .withColumn("tag", F.when(first & F.col("_tag").isNotNull(), F.col("_tag.val")).otherwise(F.col("tag")))
-        .withColumn("props", F.when(first & has_size & F.col("_size").isNotNull(), new_props).otherwise(F.col("props")))
-        .drop("_type", "_tag", "_size")
+    last = corrections.filter("fld <> ''").groupBy(*keys, "fld").agg(F.max("seq").alias("seq"), F.max_by("val", "seq").alias("val"))
+    value = "coalesce(try_parse_json(coalesce(val, 'null')), cast(val as variant))"
+    patches = last.groupBy(*keys).agg(
+        F.expr(f"map_from_entries(collect_list(case when instr(fld, '.') = 0 then struct(fld, struct(seq, {value} as val)) end))").alias("_whole"),
+        F.expr(
+            f"collect_list(case when instr(fld, '.') > 0 then "
+            f"struct(substring_index(fld, '.', 1) as field, substr(fld, instr(fld, '.') + 1) as key, seq, {value} as val) end)"
+        ).alias("_keys"),
     )
+    fields = "map_zip_with(_body, _whole, (f, old, new) -> coalesce(new.val, old))"
+    later = "filter(_keys, k -> k.field = f and k.seq > coalesce(_whole[f].seq, k.seq - 1))"
+    patched = f"map_zip_with(try_variant_get(v, '$', 'map<string,variant>'), map_from_entries(transform({later}, k -> struct(k.key, k.val))), (k, old, new) -> coalesce(new, old))"
+    whole = f"transform_values({fields}, (f, v) -> case when size({later}) = 0 then v else coalesce(parse_json(to_json({patched})), v) end)"
+    joined = components.join(patches, list(keys), "left").withColumn("_body", F.expr("from_json(body, 'map<string,variant>')"))
+    new = F.when((F.col("pass") == 1) & F.col("_keys").isNotNull() & F.col("_body").isNotNull(), F.to_json(F.expr(whole))).otherwise(F.col("body"))
+    return joined.withColumn("body", new).select(*components.columns)
 
 
 def merge_additions(components: DataFrame, order: tuple[int, ...] = (1, 3, 2)) -> DataFrame:
@@ -51,11 +57,19 @@ def enrich_setpoints(components: DataFrame, setpoints: DataFrame) -> DataFrame:
 
 
 def enrich_positions(components: DataFrame, positions: DataFrame) -> DataFrame:
-    """``normal_position`` of the last record of an equal tag; an ``interlock_ref`` only where that record has one."""
+    """``normal_position`` of the last record of an equal tag, ``interlock_ref`` of the last that has one (not '').
+
+    Where ``components`` has these columns, a component without a record, or without a reference, keeps its own.
+    """
     last = positions.filter("tag is not null").groupBy("tag").agg(
-        F.max_by("position", "seq").alias("normal_position"), F.max_by("interlock_ref", "seq").alias("interlock_ref")
+        F.max_by(F.struct("position"), "seq").alias("_position"), F.max_by("interlock_ref", F.when(F.col("interlock_ref") != "", F.col("seq"))).alias("_ref")
+    )
+    own = lambda c: F.col(c) if c in components.columns else F.lit(None).cast("string")
+    return (
+        components.join(last, "tag", "left")
+        .withColumns({"normal_position": F.when(F.col("_position").isNotNull(), F.col("_position.position")).otherwise(own("normal_position")), "interlock_ref": F.coalesce("_ref", own("interlock_ref"))})
+        .drop("_position", "_ref")
     )
-    return components.join(last, "tag", "left")
 
 
 def enrich_conditions(components: DataFrame, conditions: DataFrame, fields: tuple[str, ...]) -> DataFrame:

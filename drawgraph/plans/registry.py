@@ -20,6 +20,10 @@ class Source:
     def __call__(self, name: str) -> DataFrame:
         return views.frame(self.spark, self.sf_dir, name)
 
+    def sql(self, text: str) -> DataFrame:
+        """A query's own fixture, in SQL that DuckDB runs too."""
+        return views.run(self.spark, self.sf_dir, text)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

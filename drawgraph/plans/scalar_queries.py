@@ -58,9 +58,24 @@ def props_summary(t: Source) -> DataFrame:
     return t("p_nodes").select("k", shown.alias("props"), "node_seq")
 
 
-@query("strip_auto_ids", "SELECT node_seq, CASE WHEN regexp_full_match(id, '[OS]:\\d+') THEN NULL ELSE id END AS id, tag FROM {g_nodes}")
+def _tree(clean: bool) -> str:
+    """SQL of a document of four levels with real, made-up and numeric ids; ``clean``: without the made-up ones."""
+
+    def entry(made_up: str, id_: str, before: str = "", after: str = "") -> str:
+        text = f"""'{before}"id":"' || {id_} || '"{after}'"""
+        return f"CASE WHEN {made_up} THEN '' ELSE {text} END" if clean else text
+
+    a = entry("k % 4 < 2", "CASE k % 4 WHEN 0 THEN 'V_r1c' || CAST(k AS STRING) WHEN 1 THEN 'Spec_Break_7' ELSE id END", after=",")
+    b = entry("k % 5 < 2", "CASE k % 5 WHEN 0 THEN 'term_1' WHEN 1 THEN 'a_TILE_b' WHEN 2 THEN 'my_term_1' ELSE tag END", before=",")
+    c = "CASE k % 3 WHEN 0 THEN 'anno_2' WHEN 1 THEN 'x_osbl' ELSE 'r1c1_' || id END"
+    inner, alone = entry("k % 3 < 2", c, before=","), entry("k % 3 < 2", c)
+    parts = ["'{{'", a, """'"tag":"_osbl","near":[{{"kind":"id"'""", b, """',"at":{{"x":1'""", inner, "'}}}},{{'", alone, """'}},"term_1"],"n":[[{{"id":' || CAST(k AS STRING) || '}}]]}}'"""]
+    return f"SELECT node_seq, {' || '.join(parts)} AS doc FROM {{g_nodes}} WHERE tag IS NOT NULL"
+
+
+@query("strip_auto_ids", _tree(clean=True))
 def strip_auto_ids(t: Source) -> DataFrame:
-    return t("g_nodes").select("node_seq", lists.strip_auto_id(F.col("id"), r"^[OS]:\d+$").alias("id"), "tag")
+    return t.sql(_tree(clean=False)).select("node_seq", lists.strip_auto_ids(F.col("doc")).alias("doc"))
 
 
 @query("first_number", "SELECT p_partkey, TRY_CAST(nullif(regexp_extract(p_brand, '[\\d.]+', 0), '') AS DOUBLE) AS n FROM {part}")

@@ -1,7 +1,9 @@
 """Small hand-made cases: ties, nulls, repeated tags, dangling ends, boxes without area, order-dependent choices."""
 
+import copy
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,11 +94,51 @@ def test_suffix_match_both_ways_first_in_file(spark):
     assert got == {"r1": ("n1", True), "r2": ("n1", None), "r3": (None, None), "r4": (None, None)}
 
 
-def test_corrections_touch_pass_one_only_and_the_last_wins(spark):
-    components = spark.createDataFrame([("t", 1, 1, "a", "valve", "V", '{"size":"1"}'), ("t", 2, 2, "a", "valve", "V", "{}")], "tile string, pass int, seq long, id string, type string, tag string, props string")
-    fixes = spark.createDataFrame([("t", "a", "tag", "W", 1), ("t", "a", "tag", None, 2), ("t", "a", "props.size", "9", 1)], "tile string, id string, fld string, val string, seq long")
-    got = {r["pass"]: (r.tag, r.props) for r in merge.apply_corrections(components, fixes).collect()}
-    assert got[2] == ("V", "{}") and got[1][1] == '{"size":"9"}'
+def _patched(body, fixes):
+    """One correction after the other, as a reader of the format would apply them."""
+    for fld, val in ((f, copy.deepcopy(v)) for f, v in fixes):
+        head, dot, key = fld.partition(".")
+        if not dot:
+            body[head] = val
+        elif isinstance(body.get(head), dict):
+            body[head][key] = val
+    return body
+
+
+def test_corrections_of_any_field_in_order(spark):
+    rng = random.Random(8)
+    fields = ["type", "tag", "props", "props.size", "props.a.b", "note", "note.x", "list.x", "gone.x", "props.new", "none.k"]
+    values = ["x", 'quo"te', 1, 2.5, True, None, [1, {"a": None}], {"size": 3}, {}]
+    components, fixes, want = [], [], {}
+    for i in range(150):
+        body = {"id": f"c{i}", "type": "valve", "props": {"size": "1", "spec": "A1", "deep": {"x": [1, 2]}}, "list": [1], "none": None, "n": 1.5}
+        mine = [(rng.choice(fields), rng.choice(values)) for _ in range(rng.randrange(9))]
+        components.append(("t", 1, f"c{i}", json.dumps(body)))
+        fixes += [("t", f"c{i}", f, json.dumps(v), k) for k, (f, v) in enumerate(mine)]
+        want[f"c{i}"] = _patched(body, mine)
+    components += [("t", 2, "c0", '{"tag": "V"}'), ("t", 1, "bad", "{no json"), ("t", 1, "null", None), ("u", 1, "c0", '{"tag":  "V"}')]
+    fixes += [("t", "bad", "tag", '"W"', 1), ("t", "null", "tag", '"W"', 1), ("t", "c1", None, "1", 99), ("t", "c1", "", "1", 99)]
+    rng.shuffle(fixes)
+    df = spark.createDataFrame(components, "tile string, pass int, id string, body string")
+    got = merge.apply_corrections(df, spark.createDataFrame(fixes, "tile string, id string, fld string, val string, seq long")).collect()
+    assert len(got) == len(components)
+    assert {r.id: json.loads(r.body) for r in got if r.tile == "t" and r["pass"] == 1 and r.id in want} == want
+    assert {(r.tile, r["pass"], r.body) for r in got if r.id not in want or r.tile == "u" or r["pass"] == 2} == {
+        ("t", 2, '{"tag": "V"}'), ("t", 1, "{no json"), ("t", 1, None), ("u", 1, '{"tag":  "V"}')
+    }
+
+
+def test_corrections_that_are_no_json_are_text(spark):
+    df = spark.createDataFrame([("t", 1, "a", '{"tag":"V"}')], "tile string, pass int, id string, body string")
+    fixes = spark.createDataFrame([("t", "a", "tag", "LO {", 1), ("t", "a", "note", None, 2)], "tile string, id string, fld string, val string, seq long")
+    assert json.loads(merge.apply_corrections(df, fixes).first().body) == {"tag": "LO {", "note": None}
+
+
+def test_positions_keep_an_earlier_reference(spark):
+    df = spark.createDataFrame([("V", "own"), ("W", "own"), (None, "own")], "tag string, interlock_ref string")
+    records = spark.createDataFrame([("V", "LO", "I1", 1), ("V", "LC", None, 2), ("V", None, "", 3), ("W", "LO", None, 1), (None, "LO", "I9", 1)], "tag string, position string, interlock_ref string, seq long")
+    got = {r.tag: (r.normal_position, r.interlock_ref) for r in merge.enrich_positions(df, records).collect()}
+    assert got == {"V": (None, "I1"), "W": ("LO", "own"), None: (None, "own")}
 
 
 def test_untagged_rows_stay(spark):
@@ -239,3 +281,31 @@ def test_empty_inputs(spark, size):
     assert graph.connected_components(edges, nodes).count() == 0
     assert graph.impact_region(edges, nodes.select(F.col("id").alias("origin")), size).count() == 0
     assert merge.dedup_richest(nodes, "tag", "node_seq", "node_seq").count() == 0
+
+
+def _stripped(value):
+    auto = re.compile(r"(_r\d+c\d+|_osbl|_anno_|_sub_|_tile_|^spec_break_|^anno_|^term_|^barred_tee_)", re.I)
+    if isinstance(value, list):
+        return [_stripped(v) for v in value]
+    if isinstance(value, dict):
+        return {k: _stripped(v) for k, v in value.items() if not (k == "id" and isinstance(v, str) and auto.search(v))}
+    return value
+
+
+def test_made_up_ids_go_at_any_depth(spark):
+    rng = random.Random(4)
+    words = ["HV-0027", "x_r1c2", "TERM_1", "my_term_1", 'a"_osbl', '"id":"term_1"', "{", ",", "\\", "\n_anno_", "_sub", "é_tile_", "", "spec_break_é", "id"]
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice([*words, 1, None, True, 2.5])
+        if rng.random() < 0.4:
+            return [tree(depth - 1) for _ in range(rng.randrange(4))]
+        return {k: tree(depth - 1) if k != "id" or rng.random() < 0.3 else rng.choice(words) for k in rng.sample(["id", "tag", "a", "b", "id2", "x\"id"], rng.randrange(5))}
+
+    trees = [tree(5) for _ in range(600)] + [{"id": {"id": "term_1"}}, {"id": ["term_1"]}]
+    texts = [json.dumps(x, indent=rng.choice([None, None, 2]), ensure_ascii=rng.random() < 0.5) for x in trees]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(-1, None), (-2, '{"id":"term_1"')], "i int, doc string")
+    got = {r.i: r.doc for r in df.select("i", lists.strip_auto_ids(F.col("doc")).alias("doc")).collect()}
+    assert got.pop(-1) is None and got.pop(-2) == '{"id":"term_1"'
+    assert [json.loads(got[i]) for i in range(len(trees))] == [_stripped(x) for x in trees]
