@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-import itertools
-import re
-import tempfile
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawgraph.functions.scalars import norm_ref, norm_tag
-
-#: Levels of a search that are kept as tables of their own.
-LEVELS = 12
+from drawgraph.operators.lineage import cut_lineage, shared_folder  # noqa: F401
+
+#: Levels of a search after which it is tidied up.
+LEVELS = 8
+#: Edges that a task holds before it contracts them, and so many that one task may take to end the work.
+CONTRACT_ROWS, TASK_ROWS = 1_000_000, 4_000_000
+#: A counted side of a join of at most so many (vertex, key) rows is sent to every task.
+SMALL_ROWS = 200_000
 #: Characters by which search texts and nodes meet.
 GRAM = 3
 #: Edge kinds that are followed against their direction too, and kinds that carry an impact.
@@ -21,26 +27,6 @@ TWO_WAY = ("process", "signal")
 IMPACT = ("process", "signal", "impulse")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder of ``spark.checkpoint.dir``; only a local session without one gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="drawgraph-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's folder."""
-    context = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def get_node(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, id) of the first node in file order whose normalised tag fits, else of the node with that id, else null."""
     by_tag = nodes.filter("tag is not null").groupBy(norm_tag(F.col("tag")).alias("_t")).agg(F.min_by("id", "node_seq").alias("_by_tag"))
@@ -125,33 +111,89 @@ def adjacency(edges: DataFrame, two_way: tuple[str, ...] = TWO_WAY) -> DataFrame
     return forward.unionByName(back)
 
 
+def _sent(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows as a side of a join: sent to every task if it is small, shuffled if not."""
+    return F.broadcast(df) if n <= SMALL_ROWS else df
+
+
+def _expanded(level: DataFrame, seen: list[DataFrame], n: int, hops: DataFrame, key: str, open_: DataFrame) -> DataFrame:
+    """The next level of a search: (key, at, next) that ``seen`` lacks, for the keys of open queries.
+
+    ``next`` is the vertex of ``level`` that the least edge joins it to.
+    """
+    last = level.join(open_.select(key).distinct(), key, "left_semi").select(key, F.col("at").alias("u"))
+    step = hops.join(_sent(last, n), "u").select(key, F.col("v").alias("at"), F.col("u").alias("next"), "pos", F.lit(True).alias("new"))
+    had = reduce(DataFrame.unionByName, [x.select(key, "at") for x in seen]).select(key, "at", F.lit(None).alias("next"), F.lit(None).alias("pos"), F.lit(False).alias("new"))
+    return cut_lineage(step.unionByName(had).groupBy(key, "at").agg(F.bool_and("new").alias("new"), F.min_by("next", "pos").alias("next")).filter("new").drop("new"))
+
+
 def find_path(edges: DataFrame, queries: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(query, hops, path): a shortest path from ``start`` to ``goal`` of each query; none gives no row.
 
-    The search ends when no query has a new vertex, or after ``max_depth`` hops if that is given. Of equal lengths the one that a breadth-first queue reaches first wins: vertices of a level are ordered by the
-    positions of the edges that led to them.
+    Of equal lengths the one that a breadth-first queue reaches first wins: vertices of a level are ordered by the
+    positions of the edges that led to them, which is the path of the least edge positions, the first one first. The
+    search ends when no query is open, or after ``max_depth`` hops if that is given.
+
+    Two searches meet, one from each different start and one against the edges from each different goal; the smaller
+    frontier grows. Rows are (start or goal, vertex, pointer): no paths are carried along. The second half of a path
+    follows the pointers of the search from the goal. For the first half, vertices on a shortest path are marked from
+    where the searches met back to the start, each with a pointer to the least edge's next marked vertex.
     """
-    hops = adjacency(edges).select("u", "v", "pos")
-    ends = queries.select("query", "goal")
-    frontier = queries.select("query", F.col("start").alias("at"), F.array().cast("array<string>").alias("key"), F.array("start").alias("path"))
-    seen, hits = [frontier.select("query", "at")], []
-    for depth in itertools.count():
-        hit = frontier.join(ends, "query").filter("at = goal").select("query", F.lit(depth).cast("long").alias("hops"), "path")
-        hits.append(hit)
-        if depth == max_depth:
+    hops = cut_lineage(adjacency(edges).groupBy("u", "v").agg(F.min("pos").alias("pos")))
+    against = hops.select(F.col("v").alias("u"), F.col("u").alias("v"), "pos")
+    queries = cut_lineage(queries.select("query", "start", "goal").filter("start is not null and goal is not null").distinct())
+    ahead = [cut_lineage(queries.select("start", F.col("start").alias("at")).distinct())]
+    back = [cut_lineage(queries.select("goal", F.col("goal").alias("at"), F.col("goal").alias("next")).distinct())]
+    sides = {"start": (ahead, [*ahead], hops), "goal": (back, [*back], against)}
+    sizes = {"start": ahead[0].count(), "goal": back[0].count()}
+    open_, met = queries, []
+    while True:
+        a, b = len(ahead) - 1, len(back) - 1
+        meeting = ahead[a].select("start", "at").join(open_, "start").join(back[b].select("goal", "at"), ["goal", "at"])
+        found = cut_lineage(meeting.select("query", "start", "goal", "at", F.lit(a).alias("a"), F.lit(a + b).alias("d")))
+        if not found.isEmpty():
+            met.append(found)
+            open_ = cut_lineage(open_.join(found.select("query").distinct(), "query", "left_anti"))
+            if open_.isEmpty():
+                break
+        if a + b == max_depth:
             break
-        open_ = frontier.join(hit.select("query"), "query", "left_anti")
-        step = open_.join(hops, open_["at"] == hops["u"]).select(
-            "query", F.col("v").alias("at"), F.concat("key", F.array("pos")).alias("key"), F.concat("path", F.array("v")).alias("path")
-        )
-        step = step.join(reduce(DataFrame.unionByName, seen), ["query", "at"], "left_anti")
-        frontier = cut_lineage(step.groupBy("query", "at").agg(F.min_by(F.struct("key", "path"), "key").alias("s")).select("query", "at", "s.key", "s.path"))
-        if frontier.isEmpty():
+        if (a + b) % LEVELS == LEVELS - 1:  # a query whose start or goal has no new vertex has no path
+            live = open_.join(ahead[a].select("start").distinct(), "start", "left_semi")
+            open_ = cut_lineage(live.join(back[b].select("goal").distinct(), "goal", "left_semi"))
+        side = min(sizes, key=sizes.get)
+        levels, seen, along = sides[side]
+        levels.append(_expanded(levels[-1], seen, sizes[side], along, side, open_))
+        sizes[side] = levels[-1].count()
+        if not sizes[side]:
             break
-        seen.append(frontier.select("query", "at"))
-        if len(seen) > LEVELS:  # levels are written once; now and then they become one table
-            seen, hits = [cut_lineage(reduce(DataFrame.unionByName, seen))], [cut_lineage(reduce(DataFrame.unionByName, hits))]
-    return reduce(DataFrame.unionByName, hits)
+        seen.append(levels[-1])
+        if len(seen) > LEVELS:  # now and then what was seen becomes one table
+            seen[:] = [cut_lineage(reduce(DataFrame.unionByName, [x.select(side, "at") for x in seen]))]
+    if not met:
+        return queries.select("query", F.lit(0).cast("long").alias("hops"), F.array("start").alias("path")).filter("false")
+    found = reduce(DataFrame.unionByName, met)
+    # pointers of the first half by their place, the last first; where the searches met, a vertex points to itself
+    ends = found.select("query", "start", "at", "a")
+    marks, first = ends, []
+    for i in range(max(f.first()["a"] for f in met), 0, -1):
+        came = marks.filter(F.col("a") >= i).select("query", "start", "a", F.col("at").alias("u"))
+        step = against.join(_sent(came, came.count()), "u").select("query", "start", "a", F.col("v").alias("at"), F.col("u").alias("next"), "pos")
+        step = step.join(ahead[i - 1].select("start", "at"), ["start", "at"], "left_semi").groupBy("query", "start", "a", "at").agg(F.min_by("next", "pos").alias("next"))
+        step = cut_lineage(step)
+        ended = ends.filter(F.col("a") < i)
+        first.insert(0, step.select("query", "at", "next").unionByName(ended.select("query", "at", F.col("at").alias("next"))))
+        marks = step.drop("next").unionByName(ended)
+    solved = cut_lineage(found.select("query", "start", "goal", "a", "d").distinct())
+    here = solved.select("query", "goal", "a", "d", F.col("start").alias("at"), F.array("start").alias("path"))
+    n, longest = solved.agg(F.count("*"), F.max(F.col("d") - F.col("a"))).first()
+    behind = cut_lineage(reduce(DataFrame.unionByName, back))
+    for k, (pointers, keys, on) in enumerate([(p, ["query", "at"], F.col("a") > i) for i, p in enumerate(first)] + [(behind, ["goal", "at"], F.col("d") - F.col("a") > i) for i in range(longest)]):
+        moved = pointers.join(_sent(here, n), keys)
+        here = moved.select("query", "goal", "a", "d", F.col("next").alias("at"), F.when(on, F.array_append("path", F.col("next"))).otherwise(F.col("path")).alias("path"))
+        if k % LEVELS == LEVELS - 1:
+            here = cut_lineage(here)
+    return here.select("query", F.col("d").cast("long").alias("hops"), "path")
 
 
 def path_details(paths: DataFrame, nodes: DataFrame, edges: DataFrame, details: tuple[str, ...]) -> DataFrame:
@@ -172,21 +214,38 @@ def impact_region(edges: DataFrame, origins: DataFrame, depth: int = 3, directio
     """(origin, id, hops) of what lies up to ``depth`` hops down or up from each origin, itself excluded.
 
     Where ``origins`` has a column ``depth``, each origin goes as far as its own says, and ``depth`` is the most of them.
+
+    64 origins search as one: a row is a vertex that some of them have reached, with a bit for each. A level is a join
+    with the edges and one aggregation that ors the bits and takes away those that the vertex has had already.
     """
     a, b = ("src", "dst") if direction == "down" else ("dst", "src")
-    hops = edges.filter(F.col("kind").isin(*kinds)).select(F.col(a).alias("u"), F.col(b).alias("v")).distinct()
-    own = F.col("depth") if "depth" in origins.columns else F.lit(depth)
-    frontier = origins.select("origin", F.col("origin").alias("at"), own.alias("most"))
-    seen = frontier.withColumn("hops", F.lit(0).cast("long"))
+    hops = cut_lineage(edges.filter(F.col("kind").isin(*kinds)).select(F.col(a).alias("u"), F.col(b).alias("v")))
+    own = F.max("depth") if "depth" in origins.columns else F.lit(depth)
+    # ids of a partition are consecutive, so that 64 of them are a block; origins of one depth each
+    numbered = origins.filter("origin is not null").groupBy("origin").agg(own.cast("int").alias("most"))
+    numbered = cut_lineage(numbered.repartitionByRange("most", "origin").withColumn("_k", F.monotonically_increasing_id()))
+    seen = numbered.select(F.shiftright("_k", 6).alias("block"), "most", F.col("origin").alias("at"), F.expr("shiftleft(1L, cast(_k & 63 as int))").alias("bits"))
+    n = numbered.count()
+    frontier, size, levels = seen, n, []
     for k in range(1, depth + 1):
-        step = frontier.filter(F.col("most") >= k).join(hops, frontier["at"] == hops["u"]).select("origin", F.col("v").alias("at"), "most").distinct()
-        frontier = step.join(seen, ["origin", "at"], "left_anti")
+        step = hops.join(_sent(frontier.filter(F.col("most") >= k), size), F.col("at") == F.col("u"))
+        step = step.select("block", "most", F.col("v").alias("at"), F.col("bits").alias("new"), F.lit(0).cast("long").alias("old"))
+        had = seen.select("block", "most", "at", F.lit(0).cast("long").alias("new"), F.col("bits").alias("old"))
+        both = step.unionByName(had).groupBy("block", "most", "at").agg(F.bit_or("new").alias("new"), F.bit_or("old").alias("old"))
+        frontier = both.select("block", "most", "at", F.expr("new & ~old").alias("bits")).filter("bits <> 0")
         if k < depth:  # the last level, the largest, is read once
             frontier = cut_lineage(frontier)
-            if frontier.isEmpty():
+            size = frontier.count()
+            if not size:
                 break
-        seen = seen.unionByName(frontier.withColumn("hops", F.lit(k).cast("long")))
-    return seen.filter("hops > 0").select("origin", F.col("at").alias("id"), "hops")
+        levels.append(frontier.withColumn("hops", F.lit(k).cast("long")))
+        seen = seen.unionByName(frontier)
+    none = seen.filter("false").withColumn("hops", F.lit(0).cast("long"))
+    reached = reduce(DataFrame.unionByName, levels or [none])
+    bits = F.explode(F.expr("filter(sequence(0, 63), i -> getbit(bits, i) = 1)"))
+    pairs = reached.select("block", F.col("at").alias("id"), "hops", bits.alias("bit"))
+    pairs = pairs.select((F.shiftleft("block", 6) + F.col("bit")).alias("_k"), "id", "hops")
+    return pairs.join(_sent(numbered.select("_k", "origin"), n), "_k").select("origin", "id", "hops")
 
 
 def path_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -241,22 +300,73 @@ def search_nodes(nodes: DataFrame, queries: DataFrame, n: int = 20) -> DataFrame
     return found.withColumn("_r", rank).filter(F.col("_r") <= n).select("query", "id", "tag")
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that is reachable without regard to direction; single nodes are their own."""
-    both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).filter("u <> v")
-    pairs = cut_lineage(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+def _contracted(u: pa.Array, v: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(vertex, smallest vertex that these edges join it to), for the vertices that aren't the smallest themselves."""
+    both = pa.concat_arrays([u, v]).dictionary_encode()
+    names = both.dictionary
+    order = pc.sort_indices(names).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    ends = place[both.indices.to_numpy()].reshape(2, -1)
+    label = np.arange(len(order))
     while True:
+        ends = label[ends]
+        ends = ends[:, ends[0] != ends[1]]
+        if not ends.shape[1]:
+            break
+        np.minimum.at(label, ends.max(axis=0), ends.min(axis=0))  # a root gets the least root that it meets
+        while (label[label] != label).any():
+            label = label[label]
+    some = np.flatnonzero(label != np.arange(len(label)))
+    return names.take(pa.array(order[some])), names.take(pa.array(order[label[some]]))
+
+
+def contract(pairs: DataFrame) -> DataFrame:
+    """A forest of stars (u, v) for each task, which joins what its pairs (u, v) join: at most one row for each vertex."""
+    kind = pairs.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[pa.Array, pa.Array]] = []
+        held = kept = 0
+
+        def all_of() -> tuple[pa.Array, pa.Array]:
+            return _contracted(*(pa.concat_arrays([p[i] for p in parts]) for i in (0, 1)))
+
+        for batch in batches:
+            parts.append((batch.column(0), batch.column(1)))
+            held += batch.num_rows
+            if held > kept + CONTRACT_ROWS:
+                parts = [all_of()]
+                held = kept = len(parts[0][0])
+        if parts:
+            yield pa.RecordBatch.from_arrays(list(all_of()), names=["u", "v"])
+
+    return pairs.select("u", "v").mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def connected_components(edges: DataFrame, nodes: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(id, component): the smallest id that is reachable without regard to direction; single nodes are their own.
+
+    Each task contracts its edges to stars around smallest vertices, at most one row for each of its vertices. What is
+    left goes to one task if it is at most ``TASK_ROWS``; otherwise large-star and small-star rounds join the stars of
+    different tasks, until it is, or nothing changes.
+    """
+    both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).filter("u <> v")
+    pairs = cut_lineage(contract(both))
+    n, state = pairs.count(), None
+    while n > task_rows:
         sides = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sides.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = sides.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("v", "m").toDF("u", "v").unionByName(least.toDF("u", "v"))
         pairs = cut_lineage(small.filter("u <> v").distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        n, total = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (n, total) == state:
             break
-        state = now
+        state = (n, total)
+    else:
+        pairs = contract(pairs.coalesce(1))  # at most ``task_rows`` pairs
     return nodes.select("id").join(pairs.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

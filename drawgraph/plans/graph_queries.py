@@ -122,15 +122,23 @@ def adjacency(t: Source) -> DataFrame:
     walk(query, here, goal, path, key) USING KEY (query, here) AS (SELECT query, start AS here, goal, [start] AS path, CAST([] AS STRING[]) AS key FROM q UNION
     SELECT s.query, s.here, s.goal, s.p.path, s.p.key FROM (SELECT w.query, a.v AS here, any_value(w.goal) AS goal, arg_min({{'path': list_append(w.path, a.v), 'key': list_append(w.key, a.pos)}}, list_append(w.key, a.pos)) AS p
     FROM walk w JOIN adj a ON w.here = a.u WHERE NOT EXISTS (SELECT 1 FROM recurring.walk d WHERE d.query = w.query AND d.here = d.goal)
-    AND NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.query = w.query AND r.here = a.v) GROUP BY w.query, a.v) s)
-    SELECT query, CAST(len(path) - 1 AS BIGINT) AS hops, array_to_string(path, '>') AS path FROM walk WHERE here = goal""",
+    AND NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.query = w.query AND r.here = a.v) GROUP BY w.query, a.v) s),
+    found AS (SELECT query, path, len(path) - 1 AS n FROM walk WHERE here = goal),
+    steps AS (SELECT query, i, path[i] AS a, path[i + 1] AS b FROM (SELECT query, path, unnest(range(1, n + 2)) AS i FROM found) u),
+    names AS (SELECT query, string_agg(coalesce(g.tag, s.a), '>' ORDER BY i) AS path FROM steps s LEFT JOIN {g_nodes} g ON g.id = s.a GROUP BY query),
+    firsts AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, arg_min(kind, edge_seq) AS kind, min(edge_seq) AS ln FROM {g_edges} GROUP BY 1, 2),
+    parts AS (SELECT query, string_agg(kind || ' LN-' || ln, ';' ORDER BY i) AS edges FROM steps JOIN firsts ON u = least(a, b) AND v = greatest(a, b) GROUP BY query)
+    SELECT f.query, CAST(f.n AS BIGINT) AS hops, names.path, coalesce(parts.edges, '') AS edges FROM found f JOIN names ON names.query = f.query LEFT JOIN parts ON parts.query = f.query""",
 )
 def find_path(t: Source) -> DataFrame:
     k = F.col("c_custkey")
     queries = t("customer").select(
         F.concat(F.lit("q"), k.cast("string")).alias("query"), F.concat(F.lit("C:"), k.cast("string")).alias("start"), F.concat(F.lit("S:"), (1 + k % 9).cast("string")).alias("goal")
     )
-    return graph.find_path(t("g_edges"), queries).select("query", "hops", F.array_join("path", ">").alias("path"))
+    edges = t("g_edges").withColumn("line_tag", F.concat(F.lit("LN-"), "edge_seq"))
+    found = graph.path_details(graph.find_path(edges, queries), t("g_nodes"), edges, ("kind", "line_tag"))
+    shown = F.transform("edges", lambda e: F.concat_ws(" ", e["kind"], e["line_tag"]))
+    return found.select("query", "hops", F.array_join("path", ">").alias("path"), F.array_join(shown, ";").alias("edges"))
 
 
 @query(
