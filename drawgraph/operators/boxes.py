@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drawgraph.operators.ranks import ranked
+
 #: Least share of a box that a tile must hold.
 KEPT_SHARE = 0.3
 
@@ -84,25 +86,34 @@ def seeded(*columns: str, seed: str = "42") -> Column:
 
 def stratified_split(rows: DataFrame, by: str, key: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """``split`` by seeded order within each dataset: int(n * train) train, int(n * val) val, the rest test."""
-    w = Window.partitionBy(by)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(seeded(key), key))).withColumn("_n", F.count("*").over(w))
-    a = F.floor(F.col("_n") * train)
-    split = F.when(F.col("_r") <= a, "train").when(F.col("_r") <= a + F.floor(F.col("_n") * val), "val").otherwise("test")
-    return ranked.withColumn("split", split).withColumn("stem", F.concat_ws("__", by, F.col(key).cast("string"))).drop("_r", "_n")
+    placed = ranked(rows.withColumn("_h", seeded(key)), [by], [F.col("_h"), F.col(key)], totals=True)
+    a = F.floor(F.col("rows") * train)
+    split = F.when(F.col("rank") <= a, "train").when(F.col("rank") <= a + F.floor(F.col("rows") * val), "val").otherwise("test")
+    return placed.select(*rows.columns, split.alias("split"), F.concat_ws("__", by, F.col(key).cast("string")).alias("stem"))
 
 
-def oversample_minority(tiles: DataFrame, targets: dict[int, int], rounds: int) -> DataFrame:
+def oversample_minority(tiles: DataFrame, targets: dict[int, int]) -> DataFrame:
     """(cls, tile, copy) of the tiles to repeat so that each minority class reaches its target count of boxes.
 
-    ``tiles`` has (tile, cls, n). A class draws from the tiles that hold it, in seeded order, round after round, while
-    its count is below the target; ``rounds`` bounds how often a tile may be drawn.
+    ``tiles`` has (tile, cls, n). Classes take their turn in the order of ``targets``. A class draws from the tiles that
+    hold it, in seeded order, round after round, while its count is below the target; boxes on copies that were drawn
+    for earlier classes count. A class that no tile holds draws nothing.
+
+    Nothing is drawn one by one: whole rounds are a division, and the last one ends where a running sum does.
     """
-    wanted = F.create_map(*[x for c, n in targets.items() for x in (F.lit(c), F.lit(n))])
-    pool = tiles.filter(F.col("cls").isin(*targets) & (F.col("n") > 0)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    w = Window.partitionBy("cls")
-    total = F.sum(F.when(F.col("copy") == 1, F.col("n"))).over(w)
-    running = F.sum("n").over(w.orderBy("copy", seeded("tile", "cls"), "tile").rowsBetween(Window.unboundedPreceding, -1))
-    return pool.withColumn("_have", total).withColumn("_run", F.coalesce(running, F.lit(0))).filter(F.col("_run") < wanted[F.col("cls")] - F.col("_have")).select("cls", "tile", "copy")
+    held = tiles.filter("n > 0")
+    drawn = held.filter("false").select("cls", "tile", F.lit(0).cast("long").alias("copies"))
+    for cls, target in targets.items():
+        pool = held.filter(F.col("cls") == cls)
+        own, more = pool.agg(F.sum("n")).first()[0], pool.select("tile", "n").join(drawn.select("tile", "copies"), "tile").agg(F.sum(F.col("n") * F.col("copies"))).first()[0]
+        need = target - (own or 0) - (more or 0)
+        if not own or need <= 0:
+            continue
+        rounds, rest = divmod(need, own)
+        placed = ranked(pool.select("cls", "tile", "n", seeded("tile", "cls").alias("_h")), ["cls"], [F.col("_h"), F.col("tile")], {"run": F.col("n")})
+        copies = F.lit(rounds).cast("long") + F.when(F.col("run") - F.col("n") < rest, 1).otherwise(0)
+        drawn = drawn.unionByName(placed.select("cls", "tile", copies.alias("copies")).filter("copies > 0"))
+    return drawn.select("cls", "tile", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
 
 
 def sample_per_class(boxes: DataFrame, n: int = 5, least_side: int = 0) -> DataFrame:
@@ -121,8 +132,8 @@ def replicate_rows(tiles: DataFrame) -> DataFrame:
 
 def number_rows(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
     """``number`` from 0 in each group, and ``name`` with four digits."""
-    number = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    return rows.withColumn("number", number.cast("long")).withColumn("name", F.concat_ws("_", F.col(by).cast("string"), F.lpad(F.col("number").cast("string"), 4, "0")))
+    placed = ranked(rows, [by], [F.col(c) for c in order]).select(*rows.columns, (F.col("rank") - 1).alias("number"))
+    return placed.withColumn("name", F.concat_ws("_", F.col(by).cast("string"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(4), F.length(F.col("number").cast("string"))), F.lit("0"))))
 
 
 def class_distribution(boxes: DataFrame, classes: list[int]) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drawgraph.operators.ranks import ranked
+
 
 def windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
     """(start, end) of windows of ``size``. One that ends inside the text is cut after the first character of its last
@@ -36,7 +38,8 @@ def chunk_text(docs: DataFrame, size: int = 1500, overlap: int = 200) -> DataFra
             rows = [(d, k, s, c) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for k, (s, c) in enumerate(chunks_of(t or "", size, overlap))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "start", "text"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, start int, text string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, chunk_index int, start int, text string")
 
 
 def tag_chunks(docs: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
@@ -47,8 +50,8 @@ def tag_chunks(docs: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
 
 def batch_rows(rows: DataFrame, by: str, order: str, n: int = 100) -> DataFrame:
     """``batch`` of ``n`` rows in order within each group, and the approximate tokens of each text."""
-    number = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    return rows.withColumn("batch", F.floor(number / n)).withColumn("tokens", F.floor(F.length("text") / 4))
+    placed = ranked(rows, [by], [F.col(order)])
+    return placed.select(*rows.columns, F.floor((F.col("rank") - 1) / n).alias("batch"), F.floor(F.length("text") / 4).alias("tokens"))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -72,8 +75,7 @@ def rag_topk(chunks: DataFrame, queries: DataFrame, k: int = 5, epsilon: float =
 def pack_context(chunks: DataFrame, by: str, order: str, most: int = 3000) -> DataFrame:
     """(by, context, n): ``[source]\\ntext`` entries in order while their sum is within ``most``; the first overflow ends it."""
     entry = F.concat(F.lit("["), F.regexp_replace("source", r"\.docx$", ""), F.lit("]\n"), F.coalesce("text", F.lit("")))
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    sized = chunks.withColumn("_e", entry).withColumn("_run", F.sum(F.length("_e")).over(w)).filter(F.col("_run") <= most)
+    sized = ranked(chunks.select(by, order, entry.alias("_e")), [by], [F.col(order)], {"_run": F.length("_e")}).filter(F.col("_run") <= most)
     lists = sized.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_e").alias("e")))).alias("_l"))
     return lists.select(by, F.array_join(F.transform("_l", lambda x: x["e"]), "\n\n").alias("context"), F.size("_l").cast("long").alias("n"))
 

@@ -72,15 +72,22 @@ def replicate_rows(t: Source) -> DataFrame:
     return B.replicate_rows(_split(t)).select("stem", "split")
 
 
+def _drawn(cls: int, target: int, earlier: str = "") -> str:
+    """SQL of one class's turn: rounds over its whole pool, then the tiles of the last, unfinished round."""
+    less = f" - (SELECT coalesce(sum(p.n * d.copies), 0) FROM p{cls} p JOIN {earlier} d ON d.tile = p.tile)" if earlier else ""
+    return f"""p{cls} AS (SELECT *, sum(n) OVER (ORDER BY md5('42|' || CAST(tile AS STRING) || '|' || CAST(cls AS STRING)), tile ROWS UNBOUNDED PRECEDING) - n AS before FROM t WHERE cls = {cls}),
+    n{cls} AS (SELECT greatest({target} - (SELECT sum(n) FROM p{cls}){less}, 0) AS need, (SELECT sum(n) FROM p{cls}) AS round),
+    d{cls} AS (SELECT tile, need // round + CASE WHEN before < need % round THEN 1 ELSE 0 END AS copies FROM p{cls}, n{cls})"""
+
+
 @query(
     "oversample_minority",
-    """WITH t AS (SELECT CAST(image_id AS BIGINT) AS tile, cls, count(*) AS n FROM {boxes} WHERE cls IN (1, 2) GROUP BY ALL), p AS (SELECT *, sum(CASE WHEN copy = 1 THEN n END) OVER (PARTITION BY cls) AS have,
-    coalesce(sum(n) OVER (PARTITION BY cls ORDER BY copy, md5('42|' || CAST(tile AS STRING) || '|' || CAST(cls AS STRING)), tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM t, (SELECT unnest(range(1, 21)) AS copy) c)
-    SELECT cls, tile, CAST(copy AS INT) AS copy FROM p WHERE run < CASE cls WHEN 1 THEN 12000 ELSE 15000 END - have""",
+    f"""WITH t AS (SELECT CAST(image_id AS BIGINT) AS tile, cls, count(*) AS n FROM {{boxes}} WHERE cls IN (1, 2) GROUP BY ALL), {_drawn(1, 400000)}, {_drawn(2, 600000, "d1")}
+    SELECT 1 AS cls, tile, CAST(unnest(range(1, CAST(copies AS BIGINT) + 1)) AS BIGINT) AS copy FROM d1 UNION ALL SELECT 2, tile, CAST(unnest(range(1, CAST(copies AS BIGINT) + 1)) AS BIGINT) FROM d2""",
 )
 def oversample_minority(t: Source) -> DataFrame:
     tiles = t("boxes").groupBy(F.col("image_id").alias("tile"), "cls").agg(F.count("*").alias("n"))
-    return B.oversample_minority(tiles, {1: 12000, 2: 15000}, 20)
+    return B.oversample_minority(tiles, {1: 400000, 2: 600000})
 
 
 @query(
