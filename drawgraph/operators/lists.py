@@ -65,14 +65,6 @@ def title_block(pages: DataFrame) -> DataFrame:
     return pages.withColumn("_l", lines).withColumn("title", F.get("_l", F.lit(0))).withColumn("system", F.get("_l", F.lit(1))).drop("_l")
 
 
-def drawing_refs(messages: DataFrame, keys: list[str], mapping: DataFrame) -> DataFrame:
-    """(keys, ref, target) of drawings named in messages, first mention only, if ``mapping`` (number, target) has them."""
-    numbers = F.regexp_extract_all("text", F.lit(r"(?i)\[?(?:PID|doc_id)[-:]\s*(\d{1,4})\]?"), F.lit(1))
-    padded = F.array_distinct(F.transform(numbers, lambda n: F.lpad(n, 4, "0")))
-    found = messages.select(*keys, F.explode(padded).alias("number"))
-    return found.join(mapping, "number").select(*keys, F.concat(F.lit("PID-"), "number").alias("ref"), "target")
-
-
 def first_rows(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
     """The first ``n`` rows of each group in file order."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(order))

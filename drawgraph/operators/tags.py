@@ -88,34 +88,3 @@ def page_groups(pages: DataFrame, by: str, threshold: float) -> DataFrame:
     w = Window.partitionBy(by).orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     sheet = F.sum(F.when(F.coalesce("similarity", F.lit(0.0)) < threshold, 1).otherwise(0)).over(w)
     return pages.withColumn("sheet", sheet).groupBy(by, "sheet").agg(F.max("page").alias("page"))
-
-
-def tag_context(texts: DataFrame, tag: str, reach: int = 120) -> DataFrame:
-    """(…, context): up to two contexts of a tag on its lines, joined by ' | '; without a hit, of the tag without hyphens."""
-    find = lambda t: F.slice(F.regexp_extract_all(F.col("text"), F.lit(rf"(?i).{{0,{reach}}}\Q{t}\E.{{0,{reach}}}"), F.lit(0)), 1, 2)
-    whole, bare = find(tag), find(tag.replace("-", ""))
-    return texts.withColumn("context", F.array_join(F.transform(F.when(F.size(whole) > 0, whole).otherwise(bare), lambda x: F.trim(x)), " | "))
-
-
-def mentions(texts: DataFrame, pattern: str) -> DataFrame:
-    """(doc_id, at, value): position (from 1) and text of each match."""
-    between = F.split("text", pattern, -1)
-    found = texts.withColumn("_m", F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).filter(F.size("_m") > 0)
-    found = found.select("doc_id", "_m", F.transform(between, lambda x: F.length(x)).alias("_gaps"))
-    return found.select("doc_id", F.posexplode("_m").alias("_i", "value"), "_gaps", "_m").select(
-        "doc_id",
-        (
-            F.aggregate(F.slice("_gaps", 1, F.col("_i") + 1), F.lit(0), lambda a, g: a + g)
-            + F.aggregate(F.slice("_m", 1, F.col("_i")), F.lit(0), lambda a, m: a + F.length(m))
-            + 1
-        ).alias("at"),
-        "value",
-    )
-
-
-def near_mentions(a: DataFrame, b: DataFrame, reach: int) -> DataFrame:
-    """(doc_id, value, other): distinct mentions of ``b`` within ``reach`` characters of one of ``a``; cells of ``reach`` keep it an equi-join."""
-    cell = F.floor(F.col("at") / reach)
-    left = a.select("doc_id", "value", "at", F.explode(F.array(cell - 1, cell, cell + 1)).alias("_c"))
-    right = b.select("doc_id", F.col("value").alias("other"), F.col("at").alias("_at"), cell.alias("_c"))
-    return left.join(right, ["doc_id", "_c"]).filter(F.abs(F.col("at") - F.col("_at")) <= reach).select("doc_id", "value", "other").distinct()

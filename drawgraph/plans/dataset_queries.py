@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drawgraph.functions.scalars import LINE_PATTERN
 from drawgraph.operators import boxes as B
+from drawgraph.operators import mentions
 from drawgraph.operators import retrieval as R
 from drawgraph.operators import tags as T
 from drawgraph.plans.registry import Source, query
@@ -256,18 +258,43 @@ def page_groups(t: Source) -> DataFrame:
     return T.page_groups(pages, "user_id", 0.7)
 
 
+#: Texts of 60 orders each: tags with and without hyphen, line numbers and plain words, on lines of one order each.
+_PAGES = """SELECT CAST(floor(page / 60) AS BIGINT) AS doc_id, page * 100 + pos AS place, CASE WHEN pos = 1 THEN '{newline}' ELSE ' ' END || CASE pos % 4 WHEN 0 THEN '20"-PP01-361-gf' || lpad(CAST(lft AS STRING), 4, '0') || '-B03F9'
+    WHEN 1 THEN lower(text) WHEN 2 THEN replace(text, '-', '') ELSE text || ' line' END AS word FROM {{words}}"""
+#: Real tags of drawings, one in thirteen of the numbers.
+_TAGS = "SELECT DISTINCT 'HV-' || lpad(CAST(p_partkey % 10000 AS STRING), 4, '0') AS tag FROM {part} WHERE p_partkey % 13 = 0"
+_TEXTS = "t AS (SELECT doc_id, string_agg(word, '' ORDER BY place) AS text FROM ({}) u GROUP BY doc_id), g AS ({}), h AS (SELECT *, contains(lower(text), lower(tag)) AS whole FROM t JOIN g ON contains(replace(lower(text), '-', ''), replace(lower(tag), '-', '')))".format(
+    _PAGES.format(newline="' || chr(10) || '"), _TAGS
+)
+
+
+_LINE = LINE_PATTERN.replace("{", "{{").replace("}", "}}")
+
+
+def _texts(t: Source) -> DataFrame:
+    words = t.sql(_PAGES.format(newline="\\n"))
+    return words.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), "").alias("text"))
+
+
 @query(
     "tag_context",
-    r"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?i)[^\n\r\x85  ]{{0,120}}the[^\n\r\x85  ]{{0,120}}')[1:2], lambda x: trim(x)), ' | ') AS context FROM {documents}""",
+    f"""WITH {_TEXTS}, f AS (SELECT doc_id, tag, regexp_extract_all(text, '(?i)[^\\n]{{{{0,120}}}}' || CASE WHEN whole THEN tag ELSE replace(tag, '-', '') END || '[^\\n]{{{{0,120}}}}')[1:2] AS f FROM h WHERE whole OR contains(lower(text), lower(replace(tag, '-', ''))))
+    SELECT doc_id, tag, array_to_string(list_transform(f, lambda x: trim(x)), ' | ') AS context FROM f""",
 )
 def tag_context(t: Source) -> DataFrame:
-    return T.tag_context(t("documents"), "the").select("doc_id", "context")
+    return mentions.tag_contexts(_texts(t), t.sql(_TAGS))
 
 
-@query("lines_near_tag")
+@query(
+    "lines_near_tag",
+    f"""WITH {_TEXTS}, f AS (SELECT doc_id, tag, text, unnest([lower(tag), lower(replace(tag, '-', ''))]) AS form FROM h),
+    s AS (SELECT doc_id, tag, text, form, string_split(lower(text), form) AS parts FROM f WHERE contains(lower(text), form)),
+    p AS (SELECT doc_id, tag, text, length(form) AS n, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(form) AS BIGINT) AS place FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM s) z),
+    w AS (SELECT doc_id, tag, substr(text, greatest(place - 400, 0) + 1, place + n + 400 - greatest(place - 400, 0)) AS around FROM p)
+    SELECT DISTINCT doc_id, tag, upper(unnest(regexp_extract_all(around, '{_LINE}'))) AS line FROM w""",
+)
 def lines_near_tag(t: Source) -> DataFrame:
-    docs = t("documents")
-    return T.near_mentions(T.mentions(docs, r"\b[Tt]he\b"), T.mentions(docs, r"[A-Za-z0-9.]+@[a-z0-9.]+"), 400)
+    return mentions.lines_near_tags(_texts(t), t.sql(_TAGS))
 
 
 @query(

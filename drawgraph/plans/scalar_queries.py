@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawgraph.functions import scalars as S
-from drawgraph.operators import lists
+from drawgraph.operators import lists, mentions
 from drawgraph.plans.registry import Source, query
 
 
@@ -247,16 +247,32 @@ def text_preview(t: Source) -> DataFrame:
     return t("documents").select("doc_id", S.text_preview(F.col("text")).alias("preview"), F.length("text").cast("long").alias("size"))
 
 
+#: Messages that name drawings in all three forms, some twice, some unknown.
+_MESSAGES = """SELECT o_orderkey AS k, 'a [doc_id:PID-' || lpad(CAST(o_orderkey % 20 AS STRING), 4, '0') || '.pdf] b [pid-' || lpad(CAST(o_custkey % 20 AS STRING), 3, '0') || '] c PID-' || lpad(CAST(o_orderkey % 7 AS STRING), 4, '0')
+    || CASE WHEN o_orderkey % 3 = 0 THEN ', Pid-' || lpad(CAST(o_orderkey % 7 AS STRING), 4, '0') ELSE ', PID-' || lpad(CAST(o_custkey % 20 AS STRING), 3, '0') || 'x' END || ' [doc_id:none]' AS text FROM {orders}"""
+
+
+def _linked(source: str, k: str, pattern: str, number: str, key: str, seen: str) -> str:
+    """SQL of one round: matches and what stands between them; the first of a known key becomes a link."""
+    return f"""{k}m AS (SELECT k, text, {seen} AS seen, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS gaps FROM {source}),
+    {k}n AS (SELECT *, list_transform(m, lambda x: {number}) AS nums, list_transform(m, lambda x: CASE WHEN TRY_CAST({number} AS INT) < 10 THEN {key} END) AS keys FROM {k}m),
+    {k} AS (SELECT k, list_concat(seen, list_filter(keys, lambda x: x IS NOT NULL)) AS seen, gaps[1] || coalesce(array_to_string(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN keys[i] IS NOT NULL AND list_position(keys, keys[i]) = i AND NOT list_contains(seen, keys[i])
+    THEN '[PID-' || nums[i] || '](#pid-d' || nums[i] || ')' ELSE m[i] END || gaps[i + 1]), ''), '') AS text FROM {k}n)"""
+
+
+_FOUR, _SOME = "regexp_extract(x, 'PID-(\\d{{4}})', 1)", "regexp_extract(x, '(?i)PID-(\\d{{3,4}})', 1)"
+
+
 @query(
     "link_drawing_refs",
-    """SELECT conv_id, turn, 'PID-' || lpad(CAST(conv_id % 20 AS STRING), 4, '0') AS ref, '/d/' || lpad(CAST(conv_id % 20 AS STRING), 4, '0') AS target FROM {conversations} WHERE conv_id % 20 < 10""",
+    f"""WITH s AS ({_MESSAGES}), {_linked("s", "a", "(?i)\\[doc_id:[^\\]]+\\]", _FOUR, _FOUR, "CAST([] AS STRING[])")},
+    {_linked("a", "b", "(?i)\\[PID-\\d{{3,4}}\\]", f"lpad({_SOME}, 4, '0')", f"lpad({_SOME}, 4, '0')", "seen")}, {_linked("b", "c", "(?i)\\bPID-\\d{{3,4}}\\b", f"lpad({_SOME}, 4, '0')", _SOME, "CAST([] AS STRING[])")}
+    SELECT k, text FROM c""",
 )
 def link_drawing_refs(t: Source) -> DataFrame:
-    n = (F.col("conv_id") % 20).cast("string")
-    text = F.concat("text", F.lit(" see PID-"), n, F.lit(" and [PID-"), n, F.lit("]"))
-    mapping = t.spark.range(10).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("number"), F.concat(F.lit("/d/"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("target"))
-    found = lists.drawing_refs(t("conversations").select("conv_id", "turn", text.alias("text")), ["conv_id", "turn"], mapping)
-    return found.select("conv_id", "turn", "ref", "target")
+    number = F.lpad(F.col("id").cast("string"), 4, "0")
+    mapping = t.spark.range(10).select(number.alias("number"), F.concat(F.lit("d"), number).alias("target"))
+    return mentions.link_drawing_refs(t.sql(_MESSAGES), ["k"], mapping)
 
 
 @query(

@@ -9,7 +9,7 @@ from drawgraph.plans import catalog, views
 
 DIR = "/root/testdata/sf0.001"
 #: Queries whose result may be empty on the smallest tables.
-MAY_BE_EMPTY = {"match_off_page_refs", "resolve_inter_edges", "lines_near_tag"}
+MAY_BE_EMPTY = {"match_off_page_refs", "resolve_inter_edges"}
 
 
 @pytest.fixture(scope="module")

@@ -161,18 +161,6 @@ def test_greedy_choice_is_no_clustering(spark):
     assert sorted(r.pos for r in got) == sorted(k[1] for k in kept)
 
 
-def test_mentions_near_each_other_match_brute_force(spark):
-    import re
-
-    rng = random.Random(4)
-    docs = [(i, " ".join(rng.choice(["aa", "bb", "cc", "dddddddd"]) for _ in range(200))) for i in range(10)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    a, b = tags.mentions(df, "aa"), tags.mentions(df, "bb")
-    assert sorted((r.doc_id, r.at) for r in a.collect()) == sorted((d, m.start() + 1) for d, t in docs for m in re.finditer("aa", t))
-    got = {(r.doc_id, r.value, r.other) for r in tags.near_mentions(a, b, 7).collect()}
-    assert got == {(d, "aa", "bb") for d, t in docs if any(abs(m.start() - n.start()) <= 7 for m in re.finditer("aa", t) for n in re.finditer("bb", t))}
-
-
 def test_boxes(spark):
     df = spark.createDataFrame([(1, 1, 1, 90, 0, 20, 10), (1, 2, 1, 0, 0, 0, 5), (1, 3, 2, 195, 95, 10, 10)], "image_id long, ann_id long, cls int, xmin int, ymin int, w int, h int")
     got = sorted((r.ann_id, r.tx, r.ty) for r in boxes.tile_boxes(df, 200, 100, 100, 100).collect())
@@ -268,12 +256,6 @@ def test_many_search_texts(spark):
     assert sorted((r.query, r.id) for r in got) == [(f"hv {i:05d}", f"n{i}") for i in range(1500)]
 
 
-def test_list_helpers(spark):
-    messages = spark.createDataFrame([(1, "see PID-7 and [PID-0007], PID-99")], "k int, text string")
-    mapping = spark.createDataFrame([("0007", "/x")], "number string, target string")
-    assert [(r.ref, r.target) for r in lists.drawing_refs(messages, ["k"], mapping).collect()] == [("PID-0007", "/x")]
-
-
 @pytest.mark.parametrize("size", [0, 1])
 def test_empty_inputs(spark, size):
     nodes = spark.createDataFrame([], NODE)
