@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from drawgraph.operators.lineage import cut_lineage
 from drawgraph.operators.ranks import ranked
 
 
@@ -58,18 +61,89 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(length > 0, length, 1.0)
+
+
+def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """Middles of at most ``cells`` cells of unit vectors; any middles give exact results, near ones fewer comparisons."""
+    x = _unit(np.unique(sample, axis=0))
+    middle = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
+    for _ in range(rounds):
+        at = (x @ middle.T).argmax(axis=1)
+        sums = np.zeros_like(middle)
+        np.add.at(sums, at, x)
+        middle = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit(sums), middle)
+    return middle
+
+
+def vector_index(chunks: DataFrame, sample: int = 20_000, most_cells: int = 1024) -> tuple[DataFrame, np.ndarray]:
+    """(vec_id, embedding, tag, cell, far) of every vector and the middles of the cells.
+
+    Cells are fitted on the ``sample`` vectors of the least hashes (bounded, whatever the table holds); every vector
+    lies in the cell of the nearest middle, ``far`` being its distance as a unit vector.
+    """
+    some = chunks.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    if not some:
+        return chunks.select("vec_id", "embedding", "tag", F.lit(0).alias("cell"), F.lit(0.0).alias("far")), np.zeros((0, 0))
+    n = chunks.count()
+    middle = fit_cells(np.array([r["embedding"] for r in some], np.float64), min(most_cells, max(1, int(n**0.5))))
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("vec_id", "embedding", "tag")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
+            cell = (x @ middle.T).argmax(axis=1) if batch.num_rows else np.zeros(0, np.int64)
+            far = np.linalg.norm(x - middle[cell], axis=1) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=[*kinds, "cell", "far"])
+
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items())
+    return cut_lineage(chunks.select(*kinds).mapInArrow(run, f"{schema}, cell int, far double")), middle
+
+
 def rag_topk(chunks: DataFrame, queries: DataFrame, k: int = 5, epsilon: float = 1e-10) -> DataFrame:
     """(query_id, vec_id, score, rank): the ``k`` most alike chunks of the query's drawing or of all drawings.
 
-    ``chunks`` has (vec_id, embedding, tag), ``queries`` (query_id, embedding, pid). Both sides meet by tag: each query is
-    sent to its drawing and to 'global', and norms are taken once for each vector.
+    ``chunks`` has (vec_id, embedding, tag), ``queries`` (query_id, embedding, pid). A query without a drawing is
+    compared with all chunks' tags that are 'global'. Vectors are of one length, without nulls.
+
+    Exact, by an index of cells: no vector of a cell is more alike to a query than the cell's middle plus the cell's
+    radius. A query meets its best cells first, until they hold ``k`` chunks; then only the cells whose bound reaches
+    its k-th score. The best of each task go into the shuffle, not all scores.
     """
+    index, middle = vector_index(chunks)
     norm = lambda c: F.sqrt(_dot(F.col(c), F.col(c))) + epsilon
-    c = chunks.select("vec_id", "tag", F.col("embedding").alias("_c"), norm("embedding").alias("_cn"))
-    q = queries.select("query_id", F.col("embedding").alias("_q"), norm("embedding").alias("_qn"), F.explode(F.array_distinct(F.array("pid", F.lit("global")))).alias("tag"))
-    scored = c.join(q, "tag").select("query_id", "vec_id", (_dot(F.col("_c"), F.col("_q")) / (F.col("_cn") * F.col("_qn"))).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    c = index.select("vec_id", "tag", "cell", F.col("embedding").alias("_c"), norm("embedding").alias("_cn"))
+    q = cut_lineage(queries.select("query_id", "pid", F.col("embedding").alias("_q"), norm("embedding").alias("_qn")))
+    middles = q.sparkSession.sparkContext.broadcast(middle)  # at most most_cells vectors
+    kinds = {x: q.schema[x].dataType.simpleString() for x in ("query_id", "pid")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _unit(batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
+            alike = x @ middles.value.T if middles.value.size else np.zeros((batch.num_rows, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(list(alike), pa.list_(pa.float64()))], names=["query_id", "pid", "alike"])
+
+    near = q.select("query_id", "pid", "_q").mapInArrow(run, ", ".join(f"{x} {t}" for x, t in kinds.items()) + ", alike array<double>")
+    near = near.select("query_id", "alike", F.explode(F.array_compact(F.array_distinct(F.array("pid", F.lit("global"))))).alias("tag"))
+    cells = index.groupBy("tag", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far"))
+    bounds = near.join(cells, "tag").select("query_id", "tag", "cell", "n", (F.get("alike", F.col("cell")) + F.col("far") + 1e-9).alias("bound"))
+    before = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "tag", "cell").rowsBetween(Window.unboundedPreceding, -1))
+    bounds = cut_lineage(bounds.withColumn("first", F.coalesce(before, F.lit(0)) < k))
+
+    def best(some: DataFrame) -> DataFrame:
+        met = some.select("query_id", "tag", "cell").join(q.select("query_id", "_q", "_qn"), "query_id").join(c, ["tag", "cell"])
+        return top(met.select("query_id", "vec_id", (_dot(F.col("_c"), F.col("_q")) / (F.col("_cn") * F.col("_qn"))).alias("score")))
+
+    def top(scored: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    early = cut_lineage(best(bounds.filter("first")))
+    least = early.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    late = bounds.filter("not first").join(least, "query_id", "left").filter(F.coalesce(F.col("bound") >= F.col("least"), F.lit(True)))
+    return top(early.drop("rank").unionByName(best(late).drop("rank")))
 
 
 def pack_context(chunks: DataFrame, by: str, order: str, most: int = 3000) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from drawgraph.operators.lineage import cut_lineage
+
+#: Rounds after which what was kept becomes one table.
+LEVELS = 8
+
 
 def word_windows(words: DataFrame) -> DataFrame:
     """(page, pos, n, text, lft, right, conf): each word alone, with the next, and with the next two.
@@ -49,26 +53,40 @@ def drop_prefix_tags(tags: DataFrame) -> DataFrame:
 def dedup_proximity(tags: DataFrame, near: int = 50) -> DataFrame:
     """Greedy by confidence, then position: a tag is dropped if a kept one of its name is nearer than ``near`` on both axes.
 
-    The choice depends on order, so rows of a (page, tag) are scanned in turn, with the kept ones in a grid of ``near``:
-    a row meets those of nine cells only, and a task holds no more than one group's kept places.
-    """
+    The choice is the one that a scan in that order makes, but is made in rounds. Places are dealt into cells of
+    ``near``, of which two rows are always too near. In a round the first undecided row of a cell is kept if none of the
+    eight cells around holds an earlier one that is too near; then what is too near to it goes. A row meets at most the
+    first rows, and later the kept ones, of nine cells, so a crowded group or cell costs no more than its rows.
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, grid = None, {}
-        for batch in batches:
-            kept = []
-            for page, tag, x, y in zip(batch["page"], batch["tag"], batch["x"], batch["y"], strict=True):
-                if (page, tag) != group:
-                    group, grid = (page, tag), {}
-                i, j = int(x // near), int(y // near)
-                around = ((i + di, j + dj) for di in (-1, 0, 1) for dj in (-1, 0, 1))
-                close = any(abs(x - a) < near and abs(y - b) < near for cell in around for a, b in grid.get(cell, ()))
-                kept.append(not close)
-                if not close:
-                    grid.setdefault((i, j), []).append((x, y))
-            yield batch[kept]
-
-    return tags.repartition("page", "tag").sortWithinPartitions("page", "tag", F.desc("conf"), "pos").mapInPandas(scan, tags.schema)
+    Rows that order, name and place don't tell apart are one row. Null names are a name; null places or pages drop out.
+    """
+    grid = lambda c: F.floor(F.col(c) / near)
+    order = F.struct((-F.col("conf")).alias("a"), F.col("pos").alias("b"), "x", "y")
+    cell = ["page", "tag", "_i", "_j"]
+    open_ = tags.filter("page is not null and x is not null and y is not null").withColumns({"_i": grid("x"), "_j": grid("y"), "_o": order})
+    open_ = cut_lineage(open_.withColumn("tag", F.struct("tag")).dropDuplicates([*cell, "_o"]))  # a struct is never null
+    near_by = (F.abs(F.col("x") - F.col("_x")) < near) & (F.abs(F.col("y") - F.col("_y")) < near)
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+
+    def around(rows: DataFrame) -> DataFrame:
+        """Places and order of ``rows``, once for each of their nine cells."""
+        named = rows.select("page", "tag", F.col("_i").alias("_ci"), F.col("_j").alias("_cj"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("_o").alias("_best"), F.explode(steps).alias("_s"))
+        return named.select("page", "tag", (F.col("_ci") + F.col("_s.i")).alias("_i"), (F.col("_cj") + F.col("_s.j")).alias("_j"), "_ci", "_cj", "_x", "_y", "_best")
+
+    kept: list[DataFrame] = []
+    while not open_.isEmpty():
+        first = cut_lineage(open_.groupBy(*cell).agg(F.min("_o").alias("_o")).select(*cell, "_o", F.col("_o.x").alias("x"), F.col("_o.y").alias("y")))
+        beaten = open_.join(around(first), cell).filter(near_by & (F.col("_o") < F.col("_best"))).select("page", "tag", F.col("_ci").alias("_i"), F.col("_cj").alias("_j")).distinct()
+        won = cut_lineage(first.join(beaten, cell, "left_anti"))
+        kept.append(open_.join(won.select(*cell, "_o"), [*cell, "_o"], "left_semi"))
+        gone = around(won).select(*cell, "_x", "_y").alias("w")
+        mine = [F.col(f"r.{c}") == F.col(f"w.{c}") for c in cell]
+        too_near = (F.abs(F.col("r.x") - F.col("w._x")) < near) & (F.abs(F.col("r.y") - F.col("w._y")) < near)
+        open_ = cut_lineage(open_.alias("r").join(gone, [*mine, too_near], "left_anti"))
+        if len(kept) % LEVELS == 0:
+            kept = [cut_lineage(reduce(DataFrame.unionByName, kept))]
+    out = reduce(DataFrame.unionByName, kept) if kept else open_
+    return out.withColumn("tag", F.col("tag.tag")).select(*tags.columns)
 
 
 def aggregate_tags(tags: DataFrame) -> DataFrame:

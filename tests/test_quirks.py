@@ -5,6 +5,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,44 @@ def test_made_up_ids_go_at_any_depth(spark):
     got = {r.i: r.doc for r in df.select("i", lists.strip_auto_ids(F.col("doc")).alias("doc")).collect()}
     assert got.pop(-1) is None and got.pop(-2) == '{"id":"term_1"'
     assert [json.loads(got[i]) for i in range(len(trees))] == [_stripped(x) for x in trees]
+
+
+def _greedy(rows, near):
+    kept, grid = [], {}
+    for r in sorted(set(rows), key=lambda r: (-r[5], r[1], r[3], r[4])):
+        i, j = r[3] // near, r[4] // near
+        around = (grid.get((r[0], r[2], i + a, j + b), ()) for a in (-1, 0, 1) for b in (-1, 0, 1))
+        if not any(abs(r[3] - x) < near and abs(r[4] - y) < near for cell in around for x, y in cell):
+            kept.append(r)
+            grid.setdefault((r[0], r[2], i, j), []).append((r[3], r[4]))
+    return kept
+
+
+@pytest.mark.parametrize(("n", "extent"), [(100_000, 3000), (2000, 120), (300, 20_000)])
+def test_greedy_rounds_of_one_large_group_are_the_scan(spark, n, extent):
+    rng = random.Random(n)
+    rows = [(1, i, "T" if rng.random() < 0.99 else None, rng.randrange(-extent, extent), rng.randrange(extent), rng.randrange(6)) for i in range(n)]
+    rows += rows[:50] + [(1, n + i, "T", 7, 7, 3) for i in range(n // 3)]  # a third at one place
+    df = spark.createDataFrame(rows, "page long, pos long, tag string, x int, y int, conf int").repartition(8)
+    assert sorted(map(tuple, tags.dedup_proximity(df, 50).collect()), key=str) == sorted(_greedy(rows, 50), key=str)
+
+
+def test_vector_index_gives_the_exact_best(spark):
+    rng = np.random.default_rng(2)
+    middles = rng.standard_normal((12, 16)) * 3
+    vectors = [(i, (middles[i % 12] + rng.standard_normal(16) * 0.3).tolist(), ["global", "d1", "d2", None][i % 4]) for i in range(1500)]
+    vectors += [(5000 + i, vectors[8][1], "global") for i in range(500)] + [(9000, [0.0] * 16, "d1")]
+    queries = [(i, vectors[i * 7][1], ["d1", "d2", None, "d9"][i % 4]) for i in range(40)] + [(99, [0.0] * 16, "d1")]
+    got = retrieval.rag_topk(spark.createDataFrame(vectors, "vec_id long, embedding array<double>, tag string"), spark.createDataFrame(queries, "query_id long, embedding array<double>, pid string"), 5).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for i, q, pid in queries:
+        q = np.array(q)
+        scores = sorted((-round(float(np.dot(v, q) / ((np.linalg.norm(v) + 1e-10) * (np.linalg.norm(q) + 1e-10))), 9), j) for j, v, tag in vectors if tag == "global" or (tag is not None and tag == pid))[:5]
+        assert [(r, round(s, 9)) for r, _, s in sorted(by[i])] == [(k + 1, -s) for k, (s, _) in enumerate(scores)]
+        assert len({j for _, j, _ in by[i]}) == 5
+    few = retrieval.rag_topk(spark.createDataFrame(vectors[:3], "vec_id long, embedding array<double>, tag string"), spark.createDataFrame(queries[:1], "query_id long, embedding array<double>, pid string"), 5)
+    assert few.count() == 2
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>, tag string")
+    assert retrieval.rag_topk(none, spark.createDataFrame(queries[:1], "query_id long, embedding array<double>, pid string"), 5).collect() == []
