@@ -31,12 +31,20 @@ def validate_summaries(docs: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def expected_vs_actual(drawings: DataFrame, files: DataFrame, rows: int, cols: int, passes: int) -> DataFrame:
-    """(pid, row, col, pass) of the expected grid that no file has. The grid of each drawing is a fixed small list."""
+    """(pid, row, col, pass, state) of the expected grid: 'missing' without a file, 'retry' where its parsing failed, 'final' where it failed again.
+
+    ``files`` has (pid, row, col, pass) and may have parse_error and retried; of several files of one place the worst
+    tells. The grid of each drawing is a fixed small list.
+    """
+    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False)) if c in files.columns else F.lit(False)
+    place = ["pid", "row", "col", "pass"]
+    held = files.groupBy(*place).agg(F.count("*").alias("_n"), flag("parse_error").alias("_bad"), flag("retried").alias("_again"))
     grid = F.explode(F.sequence(F.lit(0), F.lit(rows * cols * passes - 1)).cast("array<bigint>"))
     whole = drawings.select("pid", grid.alias("k")).select(
         "pid", (1 + F.floor(F.col("k") / (cols * passes))).alias("row"), (1 + F.floor(F.col("k") / passes) % cols).alias("col"), (1 + F.col("k") % passes).alias("pass")
     )
-    return whole.join(files, ["pid", "row", "col", "pass"], "left_anti")
+    state = F.when(F.col("_n").isNull(), "missing").when(F.col("_bad") & F.col("_again"), "final").when(F.col("_bad"), "retry")
+    return whole.join(held, place, "left").select(*place, state.alias("state")).filter("state is not null")
 
 
 def filter_questions(questions: DataFrame, ids: list[str]) -> DataFrame:
@@ -52,7 +60,11 @@ def catalog_files(rows: DataFrame, found: dict[str, DataFrame], key: str) -> Dat
 
 
 def benchmark_report(results: DataFrame) -> DataFrame:
-    return results.groupBy(verdict_band(F.col("score")).alias("verdict")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("score"))
+    """(verdict, n, score, seconds): answers, average score and time of each verdict, and of all under 'all'."""
+    sums = results.withColumn("verdict", verdict_band(F.col("score"))).rollup("verdict").agg(
+        F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("score"), F.sum("seconds").alias("seconds"), F.grouping("verdict").alias("_g")
+    )
+    return sums.select(F.when(F.col("_g") == 1, "all").otherwise(F.col("verdict")).alias("verdict"), "n", "score", "seconds")
 
 
 def keyword_gate(rows: DataFrame, answer: str) -> DataFrame:
@@ -72,10 +84,21 @@ def chat_history(turns: DataFrame) -> DataFrame:
     return turns.withColumn("history", F.array_join(said, "|"))
 
 
-def usage_totals(calls: DataFrame, rate: float, cached_share: float = 0.9) -> DataFrame:
-    """(pid, calls, tokens_in, saved): totals, and what reading ``cached_share`` of the input from a cache saves."""
-    sums = calls.groupBy("pid").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"))
-    return sums.withColumn("saved", F.round(F.col("tokens_in") * cached_share * rate / 1e6, 9))
+def usage_totals(calls: DataFrame, rates: tuple[float, float], cached_share: float = 0.9) -> DataFrame:
+    """(pid, calls, tokens_in, tokens_out, cache_read, cost, saved) of the calls (pid, tokens_in, tokens_out, cache_read).
+
+    ``rates`` are the prices of a million tokens in and out; what is read from a cache saves ``cached_share`` of its price.
+    """
+    sums = calls.groupBy("pid").agg(F.count("*").alias("calls"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_in", "tokens_out", "cache_read")])
+    cost = (F.col("tokens_in") * rates[0] + F.col("tokens_out") * rates[1]) / 1e6
+    return sums.withColumns({"cost": F.round(cost, 9), "saved": F.round(F.col("cache_read") * cached_share * rates[0] / 1e6, 9)})
+
+
+def step_costs(extract: DataFrame, schema: DataFrame) -> DataFrame:
+    """(pid, extract_cost, schema_cost, total) of the totals of two steps; a drawing may lack either."""
+    a, b = extract.select("pid", F.col("cost").alias("extract_cost")), schema.select("pid", F.col("cost").alias("schema_cost"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return a.join(b, "pid", "full_outer").withColumn("total", F.round(zero("extract_cost") + zero("schema_cost"), 9))
 
 
 def running_usage(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:

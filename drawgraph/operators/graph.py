@@ -77,6 +77,14 @@ def resolve_inter_edges(inter: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def supergraph(nodes: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:
+    """(part, src, dst, kind): the edges of all drawings in one graph ('edge'), and the links between drawings whose ends it has ('link')."""
+    _, inside = merge_graphs(nodes, edges)
+    text = lambda a, b: F.concat(a, F.lit("::"), b)
+    between = resolve_inter_edges(links.select(text("src_pid", "src").alias("src"), text("dst_pid", "dst").alias("dst")), nodes)
+    return inside.select(F.lit("edge").alias("part"), "src", "dst", "kind").unionByName(between.select(F.lit("link").alias("part"), "src", "dst", F.lit("process").alias("kind")))
+
+
 def undirected_distinct(edges: DataFrame, precedence: str = "edge_seq") -> DataFrame:
     """One edge of each unordered pair of ends: the first by ``precedence``."""
     pair = edges.withColumn("u", F.least("src", "dst")).withColumn("v", F.greatest("src", "dst"))

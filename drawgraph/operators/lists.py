@@ -71,9 +71,18 @@ def first_rows(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
     return df.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
 
 
-def compact_nodes(nodes: DataFrame, n: int = 100) -> DataFrame:
-    """Tagged nodes only, the first ``n`` of each drawing."""
-    return first_rows(nodes.filter("tag is not null"), "pid", "node_seq", n)
+def compact_entities(nodes: DataFrame, edges: DataFrame, n: int = 100, m: int = 150) -> DataFrame:
+    """(pid, kind, id, body): the first ``n`` tagged nodes and ``m`` edges of each drawing as JSON without null and empty fields.
+
+    Nodes need (pid, node_seq, id), edges (pid, edge_seq, id); the sequence is not shown.
+    """
+
+    def shown(rows: DataFrame, kind: str, order: str) -> DataFrame:
+        fields = [F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns if c not in ("pid", order)]
+        return rows.select("pid", F.lit(kind).alias("kind"), "id", F.to_json(F.struct(*fields)).alias("body"))
+
+    some = first_rows(nodes.filter("tag <> ''"), "pid", "node_seq", n)
+    return shown(some, "node", "node_seq").unionByName(shown(first_rows(edges, "pid", "edge_seq", m), "edge", "edge_seq"))
 
 
 def check_nodes(nodes: DataFrame, types: tuple[str, ...], required: tuple[str, ...]) -> DataFrame:

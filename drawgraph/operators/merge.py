@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawgraph.functions.scalars import norm_tag, norm_tag_strict, tile_key
+from drawgraph.functions.scalars import norm_tag, norm_tag_strict, tile_key, type_of_subtype
+from drawgraph.operators.ranks import ranked
 
 #: Opposite edges, and the step (row, column) to the neighbour tile behind an edge.
 EDGES = (("EDGE_LEFT", "EDGE_RIGHT", 0, -1), ("EDGE_RIGHT", "EDGE_LEFT", 0, 1), ("EDGE_TOP", "EDGE_BOTTOM", -1, 0), ("EDGE_BOTTOM", "EDGE_TOP", 1, 0))
@@ -127,8 +128,42 @@ def dedup_first(rows: DataFrame, tag: str, order: list[str]) -> DataFrame:
     return best.unionByName(named.filter("_t = ''")).drop("_t")
 
 
-def union_tiles(components: DataFrame) -> DataFrame:
-    return components.withColumn("id", F.concat_ws("__", "tile", "id"))
+def union_tiles(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Everything that the tiles of a drawing hold: ``parts`` (components, connections, refs, breaks, notes, flags) by name.
+
+    Components and connections get their tile before their id, unless it begins with it, and ``source_tile``. One
+    without an id is named by its place in the tile (``comp_0``, ``conn_0``; order ``seq``). The other parts stay as they are.
+    """
+    out = dict(parts)
+    for name, word in (("components", "comp"), ("connections", "conn")):
+        rows = parts.get(name)
+        if rows is not None:
+            placed = ranked(rows, [c for c in ("pid", "tile") if c in rows.columns], [F.col("seq")])
+            id_ = F.coalesce(F.nullif(F.col("id"), F.lit("")), F.concat(F.lit(f"{word}_"), (F.col("rank") - 1).cast("string")))
+            whole = F.when(F.startswith(id_, F.col("tile")), id_).otherwise(F.concat_ws("__", "tile", id_))
+            out[name] = placed.withColumns({"id": whole, "source_tile": F.col("tile")}).drop("rank")
+    return out
+
+
+def graph_nodes(components: DataFrame, refs: DataFrame, breaks: DataFrame) -> DataFrame:
+    """(pid, id, type, subtype, tag, off_page_ref, props): the nodes of a graph from what was extracted.
+
+    A component's id is its tag without spaces, or its own id without a tag; its type follows from its subtype, and
+    ``fields`` (a map of what else is known) become props without null and empty values. A reference becomes a
+    terminator, a spec break a junction that tells both specifications. Of equal ids in a drawing the first by ``seq``
+    stays, components first.
+    """
+    text = F.lit(None).cast("string")
+    tagged = F.nullif(F.replace(F.col("tag"), F.lit(" "), F.lit("")), F.lit(""))
+    known = F.map_filter("fields", lambda _, v: v.isNotNull() & (v != ""))
+    a = components.select("pid", F.lit(0).alias("_k"), "seq", F.coalesce(tagged, F.col("id")).alias("id"), type_of_subtype(F.col("subtype")).alias("type"), "subtype", "tag", text.alias("off_page_ref"), F.to_json(known).alias("props"))
+    b = refs.select("pid", F.lit(1).alias("_k"), "seq", F.concat(F.lit("term_"), F.col("seq").cast("string")).alias("id"), F.lit("terminator").alias("type"), text.alias("subtype"), text.alias("tag"), F.col("ref").alias("off_page_ref"), F.lit("{}").alias("props"))
+    spec = F.to_json(F.struct(F.lit(True).alias("spec_change"), "from_spec", "to_spec"))
+    c = breaks.select("pid", F.lit(2).alias("_k"), "seq", F.concat(F.lit("spec_break_"), F.col("seq").cast("string")).alias("id"), F.lit("junction").alias("type"), text.alias("subtype"), text.alias("tag"), text.alias("off_page_ref"), spec.alias("props"))
+    rows = a.unionByName(b).unionByName(c)
+    fields = ["type", "subtype", "tag", "off_page_ref", "props"]
+    first = rows.groupBy("pid", "id").agg(F.min_by(F.struct(*fields), F.struct("_k", "seq")).alias("n"))
+    return first.select("pid", "id", "n.*")
 
 
 def expand_subtypes(components: DataFrame, codes: dict[str, str]) -> DataFrame:

@@ -154,14 +154,42 @@ def pack_context(chunks: DataFrame, by: str, order: str, most: int = 3000) -> Da
     return lists.select(by, F.array_join(F.transform("_l", lambda x: x["e"]), "\n\n").alias("context"), F.size("_l").cast("long").alias("n"))
 
 
-def assemble_context(docs: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request, context): the mapped document with its header, and the question after it."""
-    joined = requests.join(docs, "doc_id", "left")
-    body = F.when(F.col("text").isNull(), F.lit("")).otherwise(F.concat(F.lit("# "), "source", F.lit("\n"), "text", F.lit("\n\n")))
-    return joined.select("request", F.concat(body, F.lit("Question: "), "question").alias("context"))
+def assemble_context(docs: DataFrame, requests: DataFrame, notes: DataFrame | None = None, most: int = 200_000) -> DataFrame:
+    """(request, context): what a question is asked with.
 
-
-def assemble_documents(lines: DataFrame, by: str, order: str) -> DataFrame:
-    """(by, text): the non-blank lines of each document in order, joined by blank lines."""
-    kept = lines.filter(F.col("text").rlike(r"\S")).groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, "text"))).alias("_l"))
-    return kept.select(by, F.array_join(F.transform("_l", lambda x: x["text"]), "\n\n").alias("text"))
+    ``docs`` has (doc_id, source, text), ``requests`` (request, doc_id, question). A request with a document gets it
+    under its name, or a line that it is unknown; one without (null) gets all documents, numbered in the order of ids
+    and joined, as far as ``most`` characters (a model's window) reach, under their number. ``notes`` (request, k, text)
+    follow in order, then the question.
+    """
+    text = F.coalesce("text", F.lit(""))
+    numbered = ranked(docs.select("doc_id", F.lit(1).alias("_all"), F.concat(F.lit("source "), "source", F.lit("\n"), text, F.lit("\n\n")).alias("_e")), ["_all"], [F.col("doc_id")], {"_run": F.length("_e")}, totals=True)
+    held = numbered.filter(F.col("_run") <= most).select("rank", "rows", F.concat(F.lit("# "), F.col("rank").cast("string"), F.lit(" "), "_e").alias("_e"))
+    whole = held.agg(F.max("rows").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "_e"))), lambda x: x["_e"]), "").alias("t"))
+    whole = whole.select(F.when(F.col("n").isNotNull(), F.concat(F.col("n").cast("string"), F.lit(" documents\n\n"), F.col("t"))).otherwise(F.lit("")).alias("_whole"))
+    one = docs.select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n"), text, F.lit("\n\n")).alias("_one"))
+    joined = requests.join(one, "doc_id", "left").join(F.broadcast(whole))  # one row of at most ``most`` characters
+    body = F.when(F.col("doc_id").isNull(), F.col("_whole")).otherwise(F.coalesce("_one", F.concat(F.lit("No document "), F.col("doc_id").cast("string"), F.lit(".\n\n"))))
+    after = F.lit("")
+    if notes is not None:
+        lists = notes.groupBy("request").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n").alias("_notes"))
+        joined = joined.join(lists, "request", "left")
+        after = F.coalesce(F.concat(F.lit("Notes:\n"), "_notes", F.lit("\n\n")), F.lit(""))
+    return joined.select("request", F.concat(body, after, F.lit("Question: "), "question").alias("context"))
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def assemble_documents(lines: DataFrame, by: str, order: str, rows: DataFrame | None = None) -> DataFrame:
+    """(by, text): the non-blank paragraphs of each document in order, then its table rows, joined by blank lines.
+
+    ``rows`` has (by, order, cells); a row is its non-blank cells with ' | ' between them, and none without.
+    """
+    kept = lines.select(by, F.lit(0).alias("_k"), F.col(order).alias("_o"), _stripped(F.col("text")).alias("_t"))
+    if rows is not None:
+        cells = F.filter(F.transform("cells", _stripped), lambda c: c.isNotNull() & (c != ""))
+        kept = kept.unionByName(rows.select(by, F.lit(1).alias("_k"), F.col(order).alias("_o"), F.array_join(cells, " | ").alias("_t")))
+    lists = kept.filter("_t <> ''").groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_k", "_o", "_t"))).alias("_l"))
+    return lists.select(by, F.array_join(F.transform("_l", lambda x: x["_t"]), "\n\n").alias("text"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from drawgraph.functions.scalars import tag_category
 from drawgraph.operators.lineage import cut_lineage
 
 #: Rounds after which what was kept becomes one table.
@@ -90,8 +91,21 @@ def dedup_proximity(tags: DataFrame, near: int = 50) -> DataFrame:
 
 
 def aggregate_tags(tags: DataFrame) -> DataFrame:
-    """(tag, n, first_page, best): occurrences of each tag, where it was seen first, its best confidence."""
-    return tags.groupBy("tag").agg(F.count("*").alias("n"), F.min_by("page", F.struct("page", "pos")).alias("first_page"), F.max("conf").alias("best"))
+    """(tag, category, code, number, first_page, n, best, occurrences): each tag as it was seen first, and where it was seen.
+
+    ``occurrences`` are (page, pos, conf) in order; category and code follow from the letters of the tag.
+    """
+    sums = tags.groupBy("tag").agg(
+        F.count("*").alias("n"), F.min("page").alias("first_page"), F.max("conf").alias("best"), F.sort_array(F.collect_list(F.struct("page", "pos", "conf"))).alias("occurrences")
+    )
+    code = F.regexp_extract("tag", r"^([A-Z]+)", 1)
+    return sums.select("tag", tag_category(code).alias("category"), code.alias("code"), F.regexp_extract("tag", r"^[A-Z]+[- ]?(.*)$", 1).alias("number"), "first_page", "n", "best", "occurrences")
+
+
+def category_counts(found: DataFrame) -> DataFrame:
+    """(category, tags) of aggregated tags, and of all under 'all'."""
+    sums = found.rollup("category").agg(F.count("*").alias("tags"), F.grouping("category").alias("_g"))
+    return sums.select(F.when(F.col("_g") == 1, "all").otherwise(F.col("category")).alias("category"), "tags")
 
 
 def index_by_page(tags: DataFrame) -> DataFrame:

@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawgraph.functions.scalars import norm_size, norm_tag_strict
+from drawgraph.functions.scalars import first_number, norm_size, norm_tag_strict
 
 
-def graph_summary(nodes: DataFrame) -> DataFrame:
-    """(pid, nodes): nodes per drawing, and over all drawings under 'all'."""
-    found = nodes.rollup("pid").agg(F.count("*").alias("nodes"), F.grouping("pid").alias("_g"))
-    return found.select(F.when(F.col("_g") == 1, "all").otherwise(F.col("pid")).alias("pid"), "nodes")
+def with_pid(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with the drawing of their source."""
+    if "pid" in edges.columns:
+        return edges
+    return edges.join(nodes.groupBy(F.col("id").alias("src")).agg(F.min("pid").alias("pid")), "src", "left")
+
+
+def graph_summary(nodes: DataFrame, edges: DataFrame, info: DataFrame | None = None) -> DataFrame:
+    """(pid, nodes, edges, area) of each drawing, and over all drawings under 'all'.
+
+    ``info`` may hold (pid, area, unit): the area is shown, or the unit where there is no area.
+    """
+    n = nodes.groupBy("pid").agg(F.count("*").alias("nodes"))
+    e = with_pid(edges, nodes).groupBy("pid").agg(F.count("*").alias("edges"))
+    both = n.join(e, "pid", "full_outer").na.fill(0, ["nodes", "edges"])
+    sums = both.rollup("pid").agg(F.sum("nodes").alias("nodes"), F.sum("edges").alias("edges"), F.grouping("pid").alias("_g"))
+    sums = sums.select(F.when(F.col("_g") == 1, "all").otherwise(F.col("pid")).alias("pid"), "nodes", "edges")
+    if info is None:
+        return sums.withColumn("area", F.lit(None).cast("string"))
+    named = info.groupBy("pid").agg(F.min(F.coalesce(F.nullif("area", F.lit("")), F.nullif("unit", F.lit("")))).alias("area"))
+    return sums.join(named, "pid", "left")
 
 
 def type_stats(nodes: DataFrame) -> DataFrame:
@@ -95,22 +112,37 @@ def tag_set_diff(graph_tags: DataFrame, list_tags: DataFrame) -> DataFrame:
 
 
 def match_ground_truth(nodes: DataFrame, reference: DataFrame) -> DataFrame:
-    """(ref_id, id, size_ok): the first node whose strict tag equals the reference tag or one of which ends the other.
+    """(ref_id, id, size_ok, pressure_ok, issues): the first node whose strict tag equals the reference tag or one of which ends the other.
 
-    ``reference`` has (ref_id, ref_tag, ref_size). Suffixes of each side are joined with the whole of the other, so no
-    pair is tried that doesn't match.
+    ``reference`` has (ref_id, ref_tag, ref_size) and may have kind, ref_pressure and ref_temp. ``issues`` are
+    rule:severity entries: a missing node; for equipment a design pressure or temperature that is expected and missing,
+    or a pressure (first numbers compared) more than 1 off; for other kinds a size that differs. Empty values expect
+    nothing. Suffixes of each side are joined with the whole of the other, so no pair is tried that doesn't match.
     """
     suffixes = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda n: F.substr(t, n, F.length(t)))
-    g = nodes.select("id", "node_seq", "size_code", norm_tag_strict(F.col("tag")).alias("g")).filter("g <> ''")
-    r = reference.select("ref_id", "ref_size", norm_tag_strict(F.col("ref_tag")).alias("r")).filter("r <> ''")
-    inside = g.select("id", "node_seq", "size_code", F.explode(suffixes(F.col("g"))).alias("r")).join(r, "r")
-    outside = r.select("ref_id", "ref_size", F.explode(suffixes(F.col("r"))).alias("g")).join(g, "g")
-    columns = ["ref_id", "ref_size", "id", "node_seq", "size_code"]
-    pairs = inside.select(*columns).unionByName(outside.select(*columns))
-    best = pairs.groupBy("ref_id").agg(F.min_by(F.struct("id", "size_code", "ref_size"), "node_seq").alias("m"))
-    joined = reference.join(best, "ref_id", "left")
-    same = norm_size(F.col("m.size_code")) == norm_size(F.col("m.ref_size"))
-    return joined.select("ref_id", F.col("m.id").alias("id"), same.alias("size_ok"))
+    has = lambda df, c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit(None).cast("string")
+    values = F.struct("id", *[has(nodes, c).alias(c) for c in ("size_code", "design_pressure", "design_temp")])
+    g = nodes.select("node_seq", values.alias("node"), norm_tag_strict(F.col("tag")).alias("g")).filter("g <> ''")
+    r = reference.select("ref_id", norm_tag_strict(F.col("ref_tag")).alias("r")).filter("r <> ''")
+    inside = g.select("node_seq", "node", F.explode(suffixes(F.col("g"))).alias("r")).join(r, "r")
+    outside = r.select("ref_id", F.explode(suffixes(F.col("r"))).alias("g")).join(g, "g")
+    columns = ["ref_id", "node_seq", "node"]
+    best = inside.select(*columns).unionByName(outside.select(*columns)).groupBy("ref_id").agg(F.min_by("node", "node_seq").alias("m"))
+    joined = reference.select(
+        "ref_id", (has(reference, "kind") if "kind" in reference.columns else F.lit("equipment")).alias("kind"), *[has(reference, c).alias(c) for c in ("ref_size", "ref_pressure", "ref_temp")]
+    ).join(best, "ref_id", "left")
+    size = norm_size(F.col("m.size_code")) == norm_size(F.col("ref_size"))
+    want, got = (F.nullif(first_number(F.col(c)), F.lit(0.0)) for c in ("ref_pressure", "m.design_pressure"))
+    pressure = F.abs(want - got) <= 1
+    vessel, known = F.col("kind") == "equipment", F.col("m.id").isNotNull()
+    issues = F.array(
+        F.when(~known, F.concat("kind", F.lit(" missing:high"))),
+        F.when(vessel & known & F.col("ref_pressure").isNotNull() & F.col("m.design_pressure").isNull(), "design_pressure missing:high"),
+        F.when(vessel & known & ~pressure, "design_pressure mismatch:medium"),
+        F.when(vessel & known & F.col("ref_temp").isNotNull() & F.col("m.design_temp").isNull(), "design_temp missing:high"),
+        F.when(~vessel & known & ~size, "size mismatch:medium"),
+    )
+    return joined.select("ref_id", F.col("m.id").alias("id"), size.alias("size_ok"), pressure.alias("pressure_ok"), F.array_compact(issues).alias("issues"))
 
 
 def reference_coverage(matched: DataFrame) -> DataFrame:
@@ -152,10 +184,16 @@ def integrity_report(runs: DataFrame, version: str, least: int = 70) -> DataFram
     return runs.select("pid", F.explode(issues).alias("issue"))
 
 
-def link_overview(nodes: DataFrame, n: int = 20) -> DataFrame:
-    """(pid, terminators, tags): number of terminators and the first ``n`` equipment tags of each drawing."""
-    ends = nodes.filter("type = 'terminator'").groupBy("pid").agg(F.count("*").alias("terminators"))
-    tags = first_items(nodes.filter("type = 'equipment' and tag is not null"), "pid", "tag", "node_seq", n)
-    return ends.join(tags.select("pid", F.col("items").alias("tags")), "pid", "full_outer")
-
+def link_overview(nodes: DataFrame, links: DataFrame, n: int = 20, most_links: int = 30) -> DataFrame:
+    """(pid, terminators, ends, tags, links): number of terminators, the first ``n`` of them as tag:reference, the first
+    ``n`` equipment tags of each drawing, and the first ``most_links`` links of all drawings as drawing>drawing:reference.
 
+    ``links`` has (ref, src_pid, src, dst_pid, dst) and is ordered by these.
+    """
+    shown = nodes.filter("type = 'terminator'").withColumn("end", F.concat(F.coalesce("tag", F.lit("")), F.lit(":"), F.coalesce("off_page_ref", F.lit(""))))
+    ends = first_items(shown, "pid", "end", "node_seq", n).select("pid", F.col("n").alias("terminators"), F.col("items").alias("ends"))
+    tags = first_items(nodes.filter("type = 'equipment' and tag is not null"), "pid", "tag", "node_seq", n).select("pid", F.col("items").alias("tags"))
+    some = links.orderBy("ref", "src_pid", "src", "dst_pid", "dst").limit(most_links)
+    text = F.concat("src_pid", F.lit(">"), "dst_pid", F.lit(":"), "ref")
+    pairs = some.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ref", "src_pid", "src", "dst_pid", "dst", text.alias("t")))), lambda x: x["t"]), ",").alias("links"))
+    return ends.join(tags, "pid", "full_outer").join(F.broadcast(pairs))  # one row

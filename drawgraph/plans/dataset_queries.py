@@ -217,9 +217,18 @@ def dedup_proximity(t: Source) -> DataFrame:
     return T.dedup_proximity(t("tags").withColumn("pos", F.col("page") * 100 + F.col("pos")).withColumn("page", F.floor(F.col("page") / 20))).select("page", "pos", "tag", "x", "y", "conf")
 
 
-@query("aggregate_tags", "SELECT tag, count(*) AS n, arg_min(page, page * 1000 + pos) AS first_page, max(conf) AS best FROM {tags} GROUP BY tag")
+@query(
+    "aggregate_tags",
+    """WITH a AS (SELECT tag, CASE substr(tag, 1, 2) WHEN 'HV' THEN 'valve' WHEN 'PT' THEN 'instrument' ELSE 'unknown' END AS category, substr(tag, 1, 2) AS code, substr(tag, 4) AS number, min(page) AS first_page, count(*) AS n, max(conf) AS best,
+    md5(string_agg(CAST(page AS STRING) || ':' || CAST(pos AS STRING) || ':' || CAST(conf AS STRING), ',' ORDER BY page, pos, conf)) AS occurrences FROM (SELECT *, 1 AS one FROM {tags}) t GROUP BY tag),
+    c AS (SELECT coalesce(category, 'all') AS category, count(*) AS tags FROM a GROUP BY ROLLUP (category))
+    SELECT tag, category, code, number, first_page, n, best, occurrences FROM a UNION ALL SELECT NULL, category, NULL, NULL, NULL, tags, NULL, NULL FROM c""",
+)
 def aggregate_tags(t: Source) -> DataFrame:
-    return T.aggregate_tags(t("tags"))
+    found = T.aggregate_tags(t("tags"))
+    shown = F.transform("occurrences", lambda o: F.concat_ws(":", o["page"].cast("string"), o["pos"].cast("string"), o["conf"].cast("string")))
+    counts = T.category_counts(found).select("category", F.col("tags").alias("n"))
+    return found.withColumn("occurrences", F.md5(F.array_join(shown, ","))).unionByName(counts, allowMissingColumns=True)
 
 
 @query("index_by_page", "SELECT page, array_to_string(list_sort(list(DISTINCT tag)), ',') AS tags, count(*) AS n FROM {tags} GROUP BY page")
@@ -346,18 +355,34 @@ def pack_context(t: Source) -> DataFrame:
     return R.pack_context(t("documents"), "source", "doc_id").select("source", F.md5("context").alias("digest"), "n")
 
 
+_REQUESTS = "SELECT item_id AS request, CASE item_id % 3 WHEN 0 THEN NULL WHEN 1 THEN item_id * 7 ELSE -item_id END AS doc_id, text AS question FROM {benchmark}"
+
+
 @query(
     "assemble_context",
-    """SELECT b.item_id AS request, md5(CASE WHEN d.text IS NULL THEN '' ELSE '# ' || source || chr(10) || d.text || chr(10) || chr(10) END || 'Question: ' || b.text) AS digest FROM {benchmark} b LEFT JOIN {documents} d ON d.doc_id = b.item_id * 7""",
+    f"""WITH d AS (SELECT doc_id, '# ' || CAST(row_number() OVER (ORDER BY doc_id) AS STRING) || ' source ' || source || chr(10) || coalesce(text, '') || chr(10) || chr(10) AS e,
+    sum(length('source ' || source || coalesce(text, '')) + 3) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS run FROM {{documents}}), w AS (SELECT CAST((SELECT count(*) FROM {{documents}}) AS STRING) || ' documents' || chr(10) || chr(10) || string_agg(e, '' ORDER BY doc_id) AS whole FROM d WHERE run <= 20000),
+    n AS (SELECT conv_id AS request, string_agg(text, chr(10) ORDER BY turn) AS notes FROM {{conversations}} WHERE role = 'assistant' GROUP BY 1)
+    SELECT r.request, md5(CASE WHEN r.doc_id IS NULL THEN w.whole WHEN d.doc_id IS NULL THEN 'No document ' || CAST(r.doc_id AS STRING) || '.' || chr(10) || chr(10) ELSE '# ' || d.source || chr(10) || d.text || chr(10) || chr(10) END
+    || coalesce('Notes:' || chr(10) || n.notes || chr(10) || chr(10), '') || 'Question: ' || r.question) AS digest FROM ({_REQUESTS}) r CROSS JOIN w LEFT JOIN {{documents}} d ON d.doc_id = r.doc_id LEFT JOIN n ON n.request = r.request""",
 )
 def assemble_context(t: Source) -> DataFrame:
-    requests = t("benchmark").select(F.col("item_id").alias("request"), (F.col("item_id") * 7).alias("doc_id"), F.col("text").alias("question"))
-    return R.assemble_context(t("documents").select("doc_id", "source", "text"), requests).select("request", F.md5("context").alias("digest"))
+    notes = t("conversations").filter("role = 'assistant'").select(F.col("conv_id").alias("request"), F.col("turn").alias("k"), "text")
+    found = R.assemble_context(t("documents").select("doc_id", "source", "text"), t.sql(_REQUESTS), notes, 20_000)
+    return found.select("request", F.md5("context").alias("digest"))
 
 
-@query("assemble_document_text", r"SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn, text)) AS digest FROM {conversations} WHERE regexp_matches(text, '\S') GROUP BY conv_id")
+@query(
+    "assemble_document_text",
+    r"""WITH p AS (SELECT conv_id, 0 AS k, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM {conversations} WHERE role <> 'assistant'),
+    c AS (SELECT conv_id, 1 AS k, turn, array_to_string(list_filter(list_transform(string_split(text || ' .  . x', '.'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' | ') AS t FROM {conversations} WHERE role = 'assistant')
+    SELECT conv_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY k, turn, t)) AS digest FROM (SELECT * FROM p UNION ALL SELECT * FROM c) u WHERE t <> '' GROUP BY conv_id""",
+)
 def assemble_document_text(t: Source) -> DataFrame:
-    return R.assemble_documents(t("conversations"), "conv_id", "turn").select("conv_id", F.md5("text").alias("digest"))
+    turns = t("conversations")
+    cells = F.split(F.concat("text", F.lit(" .  . x")), r"\.", -1)
+    rows = turns.filter("role = 'assistant'").select("conv_id", "turn", cells.alias("cells"))
+    return R.assemble_documents(turns.filter("role <> 'assistant'"), "conv_id", "turn", rows).select("conv_id", F.md5("text").alias("digest"))
 
 
 @query(

@@ -56,11 +56,16 @@ def resolve_inter_edges(t: Source) -> DataFrame:
 
 @query(
     "supergraph",
-    f"""WITH i AS ({_INTER}), n AS (SELECT pid, count(*) AS node_count FROM {{g_nodes}} GROUP BY pid), e AS (SELECT n.pid, count(*) AS edge_count FROM {{g_edges}} e JOIN {{g_nodes}} n ON e.src = n.id GROUP BY n.pid)
-    SELECT n.pid, node_count, edge_count, (SELECT count(*) FROM i WHERE src_pid = n.pid) AS links_out FROM n JOIN e ON n.pid = e.pid""",
+    f"""WITH i AS ({_INTER}), n AS (SELECT pid, count(*) AS node_count FROM {{g_nodes}} GROUP BY pid), x AS (SELECT n.pid, e.* FROM {{g_edges}} e JOIN {{g_nodes}} n ON e.src = n.id), e AS (SELECT pid, count(*) AS edge_count FROM x GROUP BY pid)
+    SELECT 'drawing' AS part, n.pid AS a, NULL AS b, NULL AS kind, node_count, edge_count, (SELECT count(*) FROM i WHERE src_pid = n.pid) AS links_out FROM n JOIN e ON n.pid = e.pid
+    UNION ALL SELECT 'edge', pid || ':' || src, pid || ':' || dst, kind, NULL, NULL, NULL FROM x UNION ALL SELECT 'link', src_pid || ':' || src, dst_pid || ':' || dst, 'process', NULL, NULL, NULL FROM i""",
 )
 def supergraph(t: Source) -> DataFrame:
-    return validate.supergraph_stats(t("g_nodes"), t("g_edges"), graph.match_off_page_refs(t("g_nodes")))
+    nodes, links = t("g_nodes"), graph.match_off_page_refs(t("g_nodes"))
+    edges = validate.with_pid(t("g_edges"), nodes)
+    merged = graph.supergraph(nodes, edges, links)
+    stats = validate.supergraph_stats(nodes, t("g_edges"), links).withColumns({"part": F.lit("drawing"), "a": F.col("pid")}).drop("pid")
+    return stats.unionByName(merged.select("part", F.col("src").alias("a"), F.col("dst").alias("b"), "kind"), allowMissingColumns=True)
 
 
 @query(

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawgraph.functions import scalars as S
-from drawgraph.operators import lists, mentions
+from drawgraph.operators import lists, mentions, merge, validate
 from drawgraph.plans.registry import Source, query
 
 
@@ -277,20 +277,36 @@ def link_drawing_refs(t: Source) -> DataFrame:
 
 @query(
     "compact_entities",
-    """SELECT pid, id, tag, service FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY node_seq) AS r FROM {g_nodes} WHERE tag IS NOT NULL) u WHERE r <= 100""",
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY node_seq) AS r FROM {p_nodes} WHERE tag <> ''), e AS (SELECT e.*, n.pid, row_number() OVER (PARTITION BY n.pid ORDER BY edge_seq) AS r FROM {g_edges} e JOIN {g_nodes} n ON n.id = e.src)
+    SELECT pid, 'node' AS kind, id, '{{"id":"' || id || '","type":"' || type || '"' || coalesce(',"subtype":"' || subtype || '"', '') || ',"tag":"' || tag || '"' || coalesce(',"service":"' || service || '"', '') || CASE WHEN op_pressure <> '' THEN ',"op_pressure":"' || op_pressure || '"' ELSE '' END || '}}' AS body FROM n WHERE r <= 100
+    UNION ALL SELECT pid, 'edge', id, '{{"id":"' || id || '","src":"' || src || '","dst":"' || dst || '","kind":"' || kind || '"}}' FROM e WHERE r <= 150""",
 )
 def compact_entities(t: Source) -> DataFrame:
-    return lists.compact_nodes(t("g_nodes"), 100).select("pid", "id", "tag", "service")
+    nodes = t("p_nodes").select("pid", "node_seq", "id", "type", "subtype", "tag", "service", "op_pressure")
+    edges = validate.with_pid(t("g_edges"), t("g_nodes")).select("pid", "edge_seq", "id", "src", "dst", "kind")
+    return lists.compact_entities(nodes, edges)
+
+
+_SUBTYPES = [*S.SUBTYPE_CODES, "nozzle.inlet", "pump.x"]
+#: Components with and without tags, references and spec breaks of drawings.
+_PARTS = f"""SELECT 'd' || CAST(seq % 50 AS STRING) AS pid, seq, id || '_' || CAST(seq AS STRING) AS id, split_part('{",".join(_SUBTYPES)}', ',', CAST(1 + seq % {len(_SUBTYPES)} AS INT)) AS subtype,
+    replace(tag, '-', ' - ') || CAST(seq % 3 AS STRING) AS tag, CASE WHEN seq % 4 > 0 THEN 'LO' END AS normal_position, CASE WHEN seq % 3 = 0 THEN '' ELSE CAST(seq % 70 AS STRING) END AS design_pressure FROM {{x_components}}"""
+_REFS = "SELECT 'd' || CAST(s_suppkey % 50 AS STRING) AS pid, s_suppkey AS seq, 'To ' || s_name AS ref FROM {supplier}"
+_BREAKS = "SELECT 'd' || CAST(p_partkey % 50 AS STRING) AS pid, p_partkey AS seq, p_brand AS from_spec, CASE WHEN p_partkey % 4 > 0 THEN p_type END AS to_spec FROM {part}"
+_TYPES = " ".join(f"WHEN '{c}' THEN '{S.SUBTYPE_CODES[c].split('.')[0]}'" for c in S.SUBTYPE_CODES)
 
 
 @query(
     "type_map",
-    f"""SELECT seq, [{_quoted(tuple(v.split(".")[0] for v in S.SUBTYPE_CODES.values()))}, 'nozzle', 'annotation'][CAST(1 + seq % {len(S.SUBTYPE_CODES) + 2} AS INT)] AS node_type, replace(coalesce(tag, ''), ' ', '') AS node_id, props FROM {{x_components}}""",
+    f"""WITH c AS (SELECT pid, seq, coalesce(replace(tag, ' ', ''), id) AS id, CASE subtype {_TYPES} WHEN 'nozzle.inlet' THEN 'nozzle' ELSE 'annotation' END AS type, subtype, tag,
+    '{{{{' || array_to_string(list_filter([CASE WHEN normal_position IS NOT NULL THEN '"normal_position":"' || normal_position || '"' END, CASE WHEN design_pressure <> '' THEN '"design_pressure":"' || design_pressure || '"' END], lambda x: x IS NOT NULL), ',') || '}}}}' AS props FROM ({_PARTS}) u)
+    SELECT pid, id, type, subtype, tag, NULL AS off_page_ref, props FROM c QUALIFY row_number() OVER (PARTITION BY pid, id ORDER BY seq) = 1
+    UNION ALL SELECT pid, 'term_' || CAST(seq AS STRING), 'terminator', NULL, NULL, ref, '{{{{}}}}' FROM ({_REFS}) v
+    UNION ALL SELECT pid, 'spec_break_' || CAST(seq AS STRING), 'junction', NULL, NULL, NULL, '{{{{"spec_change":true,"from_spec":"' || from_spec || '"' || coalesce(',"to_spec":"' || to_spec || '"', '') || '}}}}' FROM ({_BREAKS}) w""",
 )
 def type_map(t: Source) -> DataFrame:
-    return t("x_components").select(
-        "seq", S.type_of_subtype(F.element_at(F.array(*[F.lit(c) for c in (*S.SUBTYPE_CODES, "nozzle.inlet", "pump.x")]), (1 + F.col("seq") % (len(S.SUBTYPE_CODES) + 2)).cast("int"))).alias("node_type"), F.regexp_replace(F.coalesce("tag", F.lit("")), " ", "").alias("node_id"), "props"
-    )
+    fields = F.create_map(*[x for c in ("normal_position", "design_pressure") for x in (F.lit(c), F.col(c))])
+    return merge.graph_nodes(t.sql(_PARTS).withColumn("fields", fields), t.sql(_REFS), t.sql(_BREAKS))
 
 
 @query(

@@ -3,13 +3,24 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drawgraph.operators import evaluate, validate
+from drawgraph.operators import evaluate, graph, validate
 from drawgraph.plans.registry import Source, query
 
 
-@query("graph_summary", "SELECT coalesce(pid, 'all') AS pid, count(*) AS nodes FROM {g_nodes} GROUP BY ROLLUP (pid)")
+#: Areas and units of drawings; some lack either.
+_INFO = "SELECT 'd' || CAST(n_nationkey AS STRING) AS pid, CASE n_nationkey WHEN 0 THEN n_name WHEN 1 THEN '' END AS area, CASE WHEN n_nationkey < 2 THEN 'U' || n_name END AS unit FROM {nation}"
+SUMMARY = f"""SELECT s.pid, s.nodes, s.edges, i.area FROM (SELECT n.pid, n.nodes, e.edges FROM (SELECT coalesce(pid, 'all') AS pid, count(*) AS nodes FROM {{g_nodes}} GROUP BY ROLLUP (pid)) n
+    JOIN (SELECT coalesce(pid, 'all') AS pid, count(*) AS edges FROM (SELECT n.pid FROM {{g_edges}} e JOIN {{g_nodes}} n ON n.id = e.src) x GROUP BY ROLLUP (pid)) e ON n.pid = e.pid) s
+    LEFT JOIN (SELECT pid, CASE WHEN coalesce(area, '') <> '' THEN area WHEN coalesce(unit, '') <> '' THEN unit END AS area FROM ({_INFO}) j) i ON i.pid = s.pid"""
+
+
+def info(t: Source) -> DataFrame:
+    return t.sql(_INFO)
+
+
+@query("graph_summary", SUMMARY)
 def graph_summary(t: Source) -> DataFrame:
-    return validate.graph_summary(t("g_nodes"))
+    return validate.graph_summary(t("g_nodes"), t("g_edges"), info(t))
 
 
 @query("type_stats", "SELECT pid, type, count(*) AS n FROM {g_nodes} GROUP BY ALL")
@@ -98,23 +109,27 @@ def tag_set_diff(t: Source) -> DataFrame:
     return validate.tag_set_diff(*_tags(t))
 
 
-_REF = "SELECT s_suppkey AS ref_id, '000' || lpad(CAST(s_suppkey * 3 AS STRING), 5, '0') AS ref_tag, CAST(s_suppkey % 12 AS STRING) || ' in' AS ref_size FROM {supplier}"
-_MATCH = f"""SELECT r.ref_id, n.id, CASE WHEN n.id IS NULL THEN NULL ELSE regexp_replace(lower(n.size_code), '[\\s\"''in]', '', 'g') = regexp_replace(lower(r.ref_size), '[\\s\"''in]', '', 'g') END AS size_ok
-    FROM ({_REF}) r LEFT JOIN (SELECT id, node_seq, size_code, regexp_replace(upper(tag), '[\\s\\-_]', '', 'g') AS g FROM {{p_nodes}} WHERE type = 'equipment') n ON ends_with(g, ref_tag) OR ends_with(ref_tag, g)
-    QUALIFY row_number() OVER (PARTITION BY r.ref_id ORDER BY n.node_seq) = 1"""
+_REF = """SELECT s_suppkey AS ref_id, '0-0_0' || lpad(CAST(s_suppkey * 3 AS STRING), 5, '0') AS ref_tag, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE CAST(s_suppkey * 3 % 13 AS STRING) || ' in' END AS ref_size,
+    CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN CAST(s_suppkey % 40 AS STRING) || ' barg' ELSE CAST(s_suppkey * 3 % 40 AS STRING) || '.5 barg' END AS ref_pressure,
+    CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE '100' END AS ref_temp, CASE WHEN s_suppkey % 2 = 0 THEN 'equipment' ELSE 'manual_valve' END AS kind FROM {supplier}"""
+_SIZE = "regexp_replace(lower({}), '[\\s\"''in]', '', 'g')"
+_MATCH = f"""SELECT ref_id, id, size_ok, pressure_ok, CASE WHEN id IS NULL THEN kind || ' missing:high' WHEN kind = 'equipment' THEN
+    array_to_string(list_filter([CASE WHEN ref_pressure <> '' AND design_pressure IS NULL THEN 'design_pressure missing:high' END, CASE WHEN NOT pressure_ok THEN 'design_pressure mismatch:medium' END,
+    CASE WHEN ref_temp IS NOT NULL AND design_temp IS NULL THEN 'design_temp missing:high' END], lambda x: x IS NOT NULL), ',') WHEN NOT size_ok THEN 'size mismatch:medium' ELSE '' END AS issues FROM (
+    SELECT *, {_SIZE.format("size_code")} = {_SIZE.format("nullif(ref_size, '')")} AS size_ok,
+    CASE WHEN ref_pressure <> '' AND TRY_CAST(regexp_extract(ref_pressure, '[\\d.]+', 0) AS DOUBLE) <> 0 AND CAST(design_pressure AS DOUBLE) <> 0 THEN abs(TRY_CAST(regexp_extract(ref_pressure, '[\\d.]+', 0) AS DOUBLE) - CAST(design_pressure AS DOUBLE)) <= 1 END AS pressure_ok
+    FROM (SELECT r.*, n.id, n.size_code, n.design_pressure, n.design_temp FROM (SELECT *, replace(replace(ref_tag, '-', ''), '_', '') AS t FROM ({_REF}) q) r
+    LEFT JOIN (SELECT *, regexp_replace(upper(tag), '[\\s\\-_]', '', 'g') AS g FROM {{p_nodes}} WHERE type = 'equipment') n ON ends_with(g, t) OR ends_with(t, g)
+    QUALIFY row_number() OVER (PARTITION BY r.ref_id ORDER BY n.node_seq) = 1) a) b"""
 
 
 def _matched(t: Source) -> DataFrame:
-    k = F.col("s_suppkey")
-    reference = t("supplier").select(
-        k.alias("ref_id"), F.concat(F.lit("0-0_0"), F.lpad((k * 3).cast("string"), 5, "0")).alias("ref_tag"), F.concat((k % 12).cast("string"), F.lit(" in")).alias("ref_size")
-    )
-    return validate.match_ground_truth(t("p_nodes").filter("type = 'equipment'"), reference)
+    return validate.match_ground_truth(t("p_nodes").filter("type = 'equipment'"), t.sql(_REF))
 
 
 @query("match_ground_truth", _MATCH)
 def match_ground_truth(t: Source) -> DataFrame:
-    return _matched(t)
+    return _matched(t).withColumn("issues", F.array_join("issues", ","))
 
 
 @query("reference_coverage", f"WITH m AS ({_MATCH}) SELECT count(id) AS found, count(*) - count(id) AS missing, round(count(id) / count(*) * 100, 1) AS pct FROM m")
@@ -147,12 +162,15 @@ def integrity_report(t: Source) -> DataFrame:
 
 @query(
     "link_overview",
-    """WITH e AS (SELECT pid, count(*) AS terminators FROM {g_nodes} WHERE type = 'terminator' GROUP BY pid),
-    b AS (SELECT pid, tag, node_seq, row_number() OVER (PARTITION BY pid ORDER BY node_seq) AS r FROM {g_nodes} WHERE type = 'equipment' AND tag IS NOT NULL)
-    SELECT e.pid, terminators, (SELECT string_agg(tag, ',' ORDER BY node_seq) FROM b WHERE b.pid = e.pid AND r <= 20) AS tags FROM e""",
+    """WITH e AS (SELECT pid, coalesce(tag, '') || ':' || coalesce(off_page_ref, '') AS t, node_seq, row_number() OVER (PARTITION BY pid ORDER BY node_seq) AS r FROM {g_nodes} WHERE type = 'terminator'),
+    b AS (SELECT pid, tag, node_seq, row_number() OVER (PARTITION BY pid ORDER BY node_seq) AS r FROM {g_nodes} WHERE type = 'equipment' AND tag IS NOT NULL),
+    t AS (SELECT *, regexp_replace(upper(off_page_ref), '[\\s\\-_./]', '', 'g') AS ref FROM {g_nodes} WHERE off_page_ref IS NOT NULL),
+    l AS (SELECT a.ref, a.pid AS p, b.pid AS q, a.id AS i, b.id AS j FROM t a JOIN t b ON a.ref = b.ref AND a.node_seq < b.node_seq AND a.pid <> b.pid ORDER BY a.ref, a.pid, a.id, b.pid, b.id LIMIT 30)
+    SELECT d.pid, (SELECT count(*) FROM e WHERE e.pid = d.pid) AS terminators, (SELECT string_agg(t, ',' ORDER BY node_seq) FROM e WHERE e.pid = d.pid AND r <= 20) AS ends,
+    (SELECT string_agg(tag, ',' ORDER BY node_seq) FROM b WHERE b.pid = d.pid AND r <= 20) AS tags, coalesce((SELECT string_agg(p || '>' || q || ':' || ref, ',' ORDER BY ref, p, i, q, j) FROM l), '') AS links FROM (SELECT DISTINCT pid FROM {g_nodes}) d""",
 )
 def link_overview(t: Source) -> DataFrame:
-    return validate.link_overview(t("g_nodes"))
+    return validate.link_overview(t("g_nodes"), graph.match_off_page_refs(t("g_nodes")))
 
 
 @query(
@@ -199,14 +217,17 @@ def validate_summaries(t: Source) -> DataFrame:
 
 @query(
     "expected_vs_actual",
-    """WITH g AS (SELECT r.r, c.c, p.p FROM range(1, 3) r(r), range(1, 4) c(c), range(1, 4) p(p)), f AS (SELECT DISTINCT l_orderkey AS pid, 1 + l_partkey % 2 AS r, 1 + l_suppkey % 3 AS c, 1 + l_linenumber % 3 AS p FROM {lineitem})
-    SELECT d.pid, g.r AS row, g.c AS col, g.p AS pass FROM (SELECT DISTINCT l_orderkey AS pid FROM {lineitem}) d CROSS JOIN g WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.pid = d.pid AND f.r = g.r AND f.c = g.c AND f.p = g.p)""",
+    """WITH g AS (SELECT r.r, c.c, p.p FROM range(1, 3) r(r), range(1, 4) c(c), range(1, 4) p(p)),
+    f AS (SELECT l_orderkey AS pid, 1 + l_partkey % 2 AS r, 1 + l_suppkey % 3 AS c, 1 + l_linenumber % 3 AS p, bool_or(l_partkey % 5 = 0) AS bad, bool_or(l_suppkey % 2 = 0) AS again FROM {lineitem} GROUP BY ALL)
+    SELECT d.pid, g.r AS row, g.c AS col, g.p AS pass, CASE WHEN f.pid IS NULL THEN 'missing' WHEN again THEN 'final' ELSE 'retry' END AS state
+    FROM (SELECT DISTINCT l_orderkey AS pid FROM {lineitem}) d CROSS JOIN g LEFT JOIN f ON f.pid = d.pid AND f.r = g.r AND f.c = g.c AND f.p = g.p WHERE f.pid IS NULL OR bad""",
 )
 def expected_vs_actual(t: Source) -> DataFrame:
     lines = t("lineitem").withColumn("pid", F.col("l_orderkey"))
     files = lines.select(
-        "pid", (1 + F.col("l_partkey") % 2).alias("row"), (1 + F.col("l_suppkey") % 3).alias("col"), (1 + F.col("l_linenumber") % 3).cast("long").alias("pass")
-    )
+        "pid", (1 + F.col("l_partkey") % 2).alias("row"), (1 + F.col("l_suppkey") % 3).alias("col"), (1 + F.col("l_linenumber") % 3).cast("long").alias("pass"),
+        (F.col("l_partkey") % 5 == 0).alias("parse_error"), (F.col("l_suppkey") % 2 == 0).alias("retried"),
+    )
     return evaluate.expected_vs_actual(lines.select("pid").distinct(), files, 2, 3, 3)
 
 
@@ -222,9 +243,13 @@ def catalog_files(t: Source) -> DataFrame:
     return evaluate.catalog_files(t("documents").select("doc_id"), found, "doc_id")
 
 
-@query("benchmark_report", "SELECT CASE WHEN s >= 80 THEN 'PASS' WHEN s >= 50 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict, count(*) AS n, round(avg(s), 4) AS score FROM (SELECT o_orderkey % 101 AS s FROM {orders}) u GROUP BY 1")
+@query(
+    "benchmark_report",
+    """WITH r AS (SELECT CASE WHEN s >= 80 THEN 'PASS' WHEN s >= 50 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict, s, sec FROM (SELECT o_orderkey % 101 AS s, o_custkey % 60 AS sec FROM {orders}) u)
+    SELECT verdict, count(*) AS n, round(avg(s), 4) AS score, CAST(sum(sec) AS BIGINT) AS seconds FROM r GROUP BY 1 UNION ALL SELECT 'all', count(*), round(avg(s), 4), CAST(sum(sec) AS BIGINT) FROM r""",
+)
 def benchmark_report(t: Source) -> DataFrame:
-    return evaluate.benchmark_report(t("orders").select((F.col("o_orderkey") % 101).alias("score")))
+    return evaluate.benchmark_report(t("orders").select((F.col("o_orderkey") % 101).alias("score"), (F.col("o_custkey") % 60).alias("seconds")))
 
 
 @query("verdict_band", "SELECT o_orderkey, CASE WHEN o_orderkey % 101 >= 80 THEN 'PASS' WHEN o_orderkey % 101 >= 50 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict FROM {orders}")
@@ -259,10 +284,19 @@ def chat_history(t: Source) -> DataFrame:
     return evaluate.chat_history(t("conversations")).select("conv_id", "turn", "history", "text")
 
 
-@query("usage_totals", "SELECT l_partkey AS pid, count(*) AS calls, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tokens_in, round(sum(l_quantity) * 0.9 * 3 / 1e6, 9) AS saved FROM {lineitem} GROUP BY 1")
+@query(
+    "usage_totals",
+    """WITH x AS (SELECT l_partkey AS pid, count(*) AS calls, CAST(sum(CAST(l_quantity AS BIGINT) * 100) AS BIGINT) AS tokens_in, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS tokens_out,
+    CAST(coalesce(sum(CASE WHEN l_linenumber > 1 THEN CAST(l_quantity AS BIGINT) * 80 END), 0) AS BIGINT) AS cache_read FROM {lineitem} GROUP BY 1), y AS (SELECT o_custkey AS pid, round(count(*) * 5 * 15 / 1e6, 9) AS cost FROM {orders} GROUP BY 1)
+    SELECT coalesce(x.pid, y.pid) AS pid, calls, tokens_in, tokens_out, cache_read, round((tokens_in * 3 + tokens_out * 15) / 1e6, 9) AS extract_cost, round(cache_read * 0.9 * 3 / 1e6, 9) AS saved, y.cost AS schema_cost,
+    round(coalesce(round((tokens_in * 3 + tokens_out * 15) / 1e6, 9), 0) + coalesce(y.cost, 0), 9) AS total FROM x FULL JOIN y ON x.pid = y.pid""",
+)
 def usage_totals(t: Source) -> DataFrame:
-    rows = t("lineitem").select(F.col("l_partkey").alias("pid"), F.col("l_quantity").cast("bigint").alias("tokens_in"))
-    return evaluate.usage_totals(rows, 3.0)
+    n = F.col("l_quantity").cast("bigint")
+    calls = t("lineitem").select(F.col("l_partkey").alias("pid"), (n * 100).alias("tokens_in"), n.alias("tokens_out"), F.when(F.col("l_linenumber") > 1, n * 80).alias("cache_read"))
+    later = t("orders").select(F.col("o_custkey").alias("pid"), F.lit(0).alias("tokens_in"), F.lit(5).alias("tokens_out"), F.lit(0).alias("cache_read"))
+    extract, schema = (evaluate.usage_totals(c, (3.0, 15.0)) for c in (calls, later))
+    return evaluate.step_costs(extract, schema).join(extract.drop("cost"), "pid", "left")
 
 
 @query(
