@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawgraph.operators import graph, tools
+from drawgraph.plans import validate_queries
 from drawgraph.plans.registry import Source, query
 from drawgraph.sources import readers, schemas, sinks
 
@@ -140,19 +141,40 @@ def write_report(t: Source) -> DataFrame:
     return t.spark.read.text(folder).select(F.col("value").alias("report"))
 
 
-@query("run_tool_calls")
+#: Calls of the tools that SQL can answer, and of one that doesn't exist.
+_CALLS = """SELECT o_orderkey AS call_id, CASE o_orderkey % 5 WHEN 0 THEN 'get_node' WHEN 1 THEN 'list_nodes' WHEN 2 THEN 'graph_summary' WHEN 3 THEN 'search_nodes' ELSE 'other' END AS tool,
+    '{{"tag":"PT-' || lpad(CAST(o_orderkey + o_orderkey % 3 AS STRING), 6, '0') || '","node_type":"' || CASE WHEN o_orderkey % 4 = 0 THEN 'valve' ELSE 'line' END || '","subtype_filter":"valve.s","pid_id":"d' || CAST(o_orderkey % 4 AS STRING)
+    || '","query":"pt ' || lpad(CAST(o_orderkey AS STRING), 6, '0') || '"}}' AS args FROM {orders}"""
+_TEXT = "coalesce(',\"{0}\":\"' || {1}{0} || '\"', '')"
+_FIELDS = " || ".join(_TEXT.format(c, "n.") for c in ("tag", "subtype", "service"))
+
+
+@query(
+    "run_tool_calls",
+    f"""WITH c AS (SELECT *, args ->> '$.tag' AS tag, args ->> '$.query' AS q, args ->> '$.pid_id' AS pid, args ->> '$.node_type' AS type FROM ({_CALLS}) u), s AS ({validate_queries.SUMMARY}),
+    l AS (SELECT type, count(*) AS n FROM {{g_nodes}} WHERE starts_with(coalesce(subtype, ''), 'valve.s') GROUP BY type),
+    f AS (SELECT replace(upper(tag), '-', '') AS t, arg_min(id, node_seq) AS id FROM {{g_nodes}} WHERE tag IS NOT NULL GROUP BY 1)
+    SELECT call_id, tool, CAST(NULL AS BIGINT) AS n, CASE WHEN n.id IS NULL THEN '{{{{"error":"no node with tag ' || c.tag || '"}}}}' ELSE '{{{{"id":"' || n.id || '","type":"' || n.type || '"' || {_FIELDS} || '}}}}' END AS result
+    FROM c LEFT JOIN f ON f.t = replace(c.tag, '-', '') LEFT JOIN {{g_nodes}} n ON n.id = f.id WHERE tool = 'get_node'
+    UNION ALL SELECT call_id, tool, NULL, '{{{{"list":"' || c.type || '|valve.s","nodes":' || CAST(coalesce(l.n, 0) AS STRING) || '}}}}' FROM c LEFT JOIN l ON l.type = c.type WHERE tool = 'list_nodes'
+    UNION ALL SELECT call_id, tool, NULL, CASE WHEN s.nodes IS NULL THEN '{{{{"error":"no graph for ' || c.pid || '"}}}}' ELSE '{{{{"pid":"' || s.pid || '","nodes":' || CAST(s.nodes AS STRING) || ',"edges":' || CAST(s.edges AS STRING) || coalesce(',"area":"' || s.area || '"', '') || '}}}}' END FROM c LEFT JOIN s ON s.pid = c.pid WHERE tool = 'graph_summary'
+    UNION ALL SELECT call_id, tool, node_seq, CASE WHEN n.id IS NOT NULL THEN '{{{{"id":"' || n.id || '"' || {_TEXT.format("tag", "n.")} || ',"type":"' || n.type || '"' || {_TEXT.format("subtype", "n.")} || {_TEXT.format("service", "n.")} || '}}}}' END
+    FROM c LEFT JOIN {{g_nodes}} n ON contains(replace(upper(n.tag), '-', ''), replace(upper(q), ' ', '')) OR contains(lower(coalesce(n.service, '')), q) OR contains(lower(coalesce(n.subtype, '')), q) WHERE tool = 'search_nodes' QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY node_seq) <= 20
+    UNION ALL SELECT call_id, tool, NULL, '{{{{"error":"unknown tool: other"}}}}' FROM c WHERE tool = 'other'""",
+)
 def run_tool_calls(t: Source) -> DataFrame:
+    return tools.run_tool_calls(t.sql(_CALLS), t("g_nodes"), t("g_edges"), validate_queries.info(t))
+
+
+@query("run_graph_searches")
+def run_graph_searches(t: Source) -> DataFrame:
+    """The tools that walk the graph, which recursive SQL answers in ``find_path`` and ``impact_region``."""
     k = F.col("o_orderkey")
     tag = F.concat(F.lit("PT-"), F.lpad(k.cast("string"), 6, "0"))
-    tool = F.element_at(F.array(*[F.lit(x) for x in (*tools.TOOLS, "other")]), (k % 7 + 1).cast("int"))
+    tool = F.when(k % 2 == 0, "find_path").otherwise("impact_region")
     customer = F.concat(F.lit("C:"), F.col("o_custkey").cast("string"))
     way = F.element_at(F.array(F.lit("both"), F.lit("upstream"), F.lit("downstream")), (k % 3 + 1).cast("int"))
-    args = F.to_json(
-        F.struct(
-            tag.alias("tag"), tag.alias("from_tag"), customer.alias("to_tag"), F.lit("junction").alias("node_type"), tag.alias("query"),
-            (1 + k % 4).alias("depth"), way.alias("direction"),
-        )
-    )
+    args = F.to_json(F.struct(tag.alias("tag"), tag.alias("from_tag"), customer.alias("to_tag"), (1 + k % 4).alias("depth"), way.alias("direction")))
     calls = t("orders").select(k.alias("call_id"), tool.alias("tool"), args.alias("args"))
     edges = t("g_edges").withColumns({"line_tag": F.concat(F.lit("LN-"), "edge_seq"), "diameter": F.when(F.col("kind") == "process", '6"')})
     return tools.run_tool_calls(calls, t("g_nodes"), edges)

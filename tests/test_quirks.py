@@ -200,11 +200,24 @@ def test_unknown_tools_give_error_rows(spark):
     nodes = spark.createDataFrame([("d", 1, "a", "valve", "valve.x", "HV-1", None), ("d", 2, "b", "line", None, None, None)], NODE)
     edges = spark.createDataFrame([("0", "e", "a", "b", "process")], EDGE)
     calls = [(1, "get_node", '{"tag":"hv1"}'), (2, "nope", "{}"), (3, "find_path", '{"from_tag":"HV-1","to_tag":"b"}'), (4, "list_nodes", '{"node_type":"valve"}'), (5, "impact_region", '{"tag":"HV-1"}'), (6, "graph_summary", "{}"), (7, "get_node", '{"tag":"zz"}'), (8, None, None)]
-    got = {r.call_id: r.result for r in tools.run_tool_calls(spark.createDataFrame(calls, "call_id int, tool string, args string"), nodes, edges).collect()}
+    got = {r.call_id: r.result for r in tools.run_tool_calls(spark.createDataFrame(calls, "call_id int, tool string, args string"), nodes, edges, whole_lists=True).collect()}
     assert '"id":"a"' in got[1] and "unknown tool: nope" in got[2] and '"hops":1' in got[3] and '"id":"a"' in got[4]
     assert '"hops":1' in got[5] and '"nodes":2' in got[6] and "no node" in got[7] and "unknown" in got[8] and len(got) == 8
 
 
+def test_tool_results_have_no_made_up_ids_and_lists_come_once(spark):
+    nodes = spark.createDataFrame([("d", 1, "term_1", "valve", "valve.x", "HV-1", None), ("d", 2, "HV-2", "valve", "valve.y", "HV-2", None)], NODE)
+    edges = spark.createDataFrame([("0", "e", "term_1", "HV-2", "process")], EDGE)
+    calls = spark.createDataFrame([(1, "get_node", '{"tag":"hv1"}'), (2, "list_nodes", '{"node_type":"valve"}'), (3, "list_nodes", '{"node_type":"valve"}'), (4, "list_nodes", '{"node_type":"nozzle"}'), (5, "graph_summary", '{"pid_id":"d"}'), (6, "graph_summary", '{"pid_id":"x"}')], "call_id int, tool string, args string")
+    info = spark.createDataFrame([("d", "", "Unit 7")], "pid string, area string, unit string")
+    got = {r.call_id: json.loads(r.result) for r in tools.run_tool_calls(calls, nodes, edges, info).collect()}
+    assert "id" not in got[1] and got[1]["tag"] == "HV-1"
+    assert got[2] == got[3] == {"list": "valve|", "nodes": 2} and got[4] == {"list": "nozzle|", "nodes": 0}
+    assert got[5] == {"pid": "d", "nodes": 2, "edges": 1, "area": "Unit 7"} and got[6] == {"error": "no graph for x"}
+    lists_ = [(r.list, r.n, json.loads(r.result).get("id")) for r in tools.node_lists(calls, nodes).collect()]
+    assert sorted(lists_, key=str) == [("valve|", 1, None), ("valve|", 2, "HV-2")]
+
+
 def test_tool_arguments(spark):
     """Depth and direction of each call, whole lists, details of each hop, searches, against walks by hand."""
     rng = random.Random(4)
@@ -235,7 +248,7 @@ def test_tool_arguments(spark):
               (104, "find_path", '{"from_tag":"n0","to_tag":"n200"}'), (105, "search_nodes", '{"query":"zzz"}'), (106, "impact_region", '{"tag":"nobody"}')]
     rows = tools.run_tool_calls(
         spark.createDataFrame(calls, "call_id int, tool string, args string"), spark.createDataFrame(nodes, NODE),
-        spark.createDataFrame(edges, EDGE + ", line_tag string"),
+        spark.createDataFrame(edges, EDGE + ", line_tag string"), whole_lists=True,
     ).collect()
     got = {}
     for r in rows:
