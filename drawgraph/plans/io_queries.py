@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from drawgraph.operators import graph, tools
 from drawgraph.plans import validate_queries
 from drawgraph.plans.registry import Source, query
-from drawgraph.sources import readers, schemas, sinks
+from drawgraph.sources import corpus, readers, schemas, sinks
 
 
 def _documents(t: Source) -> DataFrame:
@@ -73,20 +73,27 @@ def scan_yolo_labels(t: Source) -> DataFrame:
     return readers.yolo_fields(t("label_lines"))
 
 
-@query("scan_graphml", "SELECT 'd' || CAST(l_orderkey AS STRING) AS stem, 'n' || CAST(l_linenumber AS STRING) AS node, max(l_shipdate) IS NOT NULL AS ok, CAST(count(*) AS BIGINT) AS n FROM {lineitem} GROUP BY 1, 2")
+@query(
+    "scan_graphml",
+    """SELECT 'g' || CAST(l_orderkey % 32 AS STRING) AS stem, 'n' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) || '_' || CAST(l_partkey AS STRING) AS node, l_returnflag || '<&' AS label,
+    CAST(l_partkey AS DOUBLE) AS xmin, CAST(l_suppkey AS DOUBLE) AS ymin, CASE WHEN l_partkey % 3 > 0 THEN CAST(l_partkey + 10 AS DOUBLE) END AS xmax, l_suppkey + 0.5 AS ymax FROM {lineitem}""",
+)
 def scan_graphml(t: Source) -> DataFrame:
+    """The lines as nodes of 32 files, with a namespace, replaced and empty data and CDATA, which the reader takes back."""
     key = lambda i, a: f'<key id="{i}" for="node" attr.name="{a}"/>'
-    head = "<graphml>" + key("k0", "label") + key("k1", "xmin") + key("k2", "ymin") + key("k3", "xmax") + key("k4", "ymax") + "<graph>"
+    head = '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' + key("k0", "label") + key("k1", "xmin") + key("k2", "ymin") + key("k3", "xmax") + key("k4", "ymax") + "<graph>"
     data = lambda i, v: F.concat(F.lit(f'<data key="{i}">'), v.cast("string"), F.lit("</data>"))
     node = F.concat(
-        F.lit('<node id="n'), F.col("l_linenumber").cast("string"), F.lit('">'), data("k0", F.lit("old")), data("k0", F.col("l_returnflag")),
-        data("k1", F.col("l_partkey")), data("k2", F.col("l_suppkey")), data("k3", F.col("l_partkey") + 10), data("k4", F.col("l_suppkey") + 10), F.lit("</node>"),
+        F.lit('<node id="n'), F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey"), F.lit('">'), data("k0", F.lit("old")), data("k0", F.concat(F.lit("<![CDATA["), "l_returnflag", F.lit("<&]]>"))),
+        data("k1", F.col("l_partkey")), F.lit('<data key="k1"/>'), data("k2", F.col("l_suppkey")), F.when(F.col("l_partkey") % 3 > 0, data("k3", F.col("l_partkey") + 10)).otherwise(F.lit("")), data("k4", F.col("l_suppkey") + 0.5), F.lit("</node>"),
     )
-    docs = t("lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(node)), "").alias("nodes"))
-    docs = docs.select(F.concat(F.lit("d"), F.col("l_orderkey").cast("string")).alias("stem"), F.concat(F.lit(head), "nodes", F.lit("</graph></graphml>")).alias("xml"))
-    found = readers.graphml_boxes(docs)
-    fits = F.col("label").isin("A", "N", "R") & (F.col("xmax") - F.col("xmin") == 10) & (F.col("ymax") - F.col("ymin") == 10)
-    return found.groupBy("stem", "node").agg(F.bool_and(fits).alias("ok"), F.count("*").alias("n"))
+    rows = t("lineitem").select((F.col("l_orderkey") % 32).alias("g"), F.lit(1).alias("o"), node.alias("value"))
+    files = t.spark.range(32).select(F.col("id").alias("g"))
+    rows = rows.unionByName(files.select("g", F.lit(0).alias("o"), F.lit(head).alias("value"))).unionByName(files.select("g", F.lit(2).alias("o"), F.lit("</graph></graphml>").alias("value")))
+    folder = _folder(t, "graphml")
+    rows.repartition(32, "g").sortWithinPartitions("g", "o").select("g", "value").write.partitionBy("g").text(folder)
+    stem = F.concat(F.lit("g"), F.regexp_extract("file_path", r"/g=(\d+)/", 1))
+    return readers.read_graphml(t.spark, folder, stem)
 
 
 @query("scan_pixel_csv", "SELECT vec_id, list_sum(embedding::DOUBLE[]) > 0 AS positive, CAST(label AS STRING) AS label FROM {embeddings}")
@@ -96,16 +103,19 @@ def scan_pixel_csv(t: Source) -> DataFrame:
     return rows.select("vec_id", (F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x) > 0).alias("positive"), "label")
 
 
-@query("scan_text_corpus", "SELECT doc_id, md5(text) AS digest, n_chars FROM {documents}")
+@query(
+    "scan_text_corpus",
+    "SELECT 'f' || CAST(doc_id % 64 AS STRING) AS name, md5(string_agg(text || chr(10), '' ORDER BY doc_id)) AS digest, CAST(sum(length(text) + 1) AS BIGINT) AS chars, 1 AS version FROM {documents} WHERE text IS NOT NULL GROUP BY doc_id % 64",
+)
 def scan_text_corpus(t: Source) -> DataFrame:
-    """The texts as whole files, which the reader takes back."""
-    folder = _folder(t, "texts")
-    t("documents").filter("text is not null").select("doc_id", F.col("text").alias("value")).repartition("doc_id").write.option("lineSep", "\u0001").partitionBy("doc_id").text(folder)
-    files = readers.read_corpus(t.spark, folder, "*.txt").select(
-        F.regexp_extract("path", r"doc_id=(-?\d+)", 1).cast("long").alias("doc_id"), F.regexp_replace("text", "\u0001$", "").alias("text")
-    )
-    rows = files.unionByName(t("documents").filter("text is null").select("doc_id", "text"))
-    return rows.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("n_chars"))
+    """The texts in 64 files, which a stored corpus takes up; a second refresh reads none of them."""
+    folder, store = _folder(t, "texts"), _folder(t, "corpus")
+    texts = t("documents").filter("text is not null").select((F.col("doc_id") % 64).alias("f"), "doc_id", F.col("text").alias("value"))
+    texts.repartition(64, "f").sortWithinPartitions("f", "doc_id").select("f", "value").write.partitionBy("f").text(folder)
+    corpus.refresh(t.spark, folder, store, "*.txt")
+    last = corpus.refresh(t.spark, folder, store, "*.txt")
+    name = F.concat(F.lit("f"), F.regexp_extract("path", r"/f=(\d+)/", 1))
+    return corpus.read(t.spark, store, last.version).select(name.alias("name"), F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("chars"), F.lit(last.version).alias("version"))
 
 
 @query("scan_vector_index", "SELECT vec_id, label, CAST(len(embedding) AS INT) AS dims FROM {embeddings}")

@@ -81,28 +81,25 @@ def read_yolo_labels(spark: SparkSession, path: str) -> DataFrame:
     return yolo_fields(spark.read.text(path).select(_stem(F.col("_metadata.file_name")).alias("stem"), F.col("value").alias("line")))
 
 
-def graphml_boxes(docs: DataFrame) -> DataFrame:
-    """(stem, node, label, xmin, ymin, xmax, ymax) of GraphML texts (stem, xml); a later datum of a key wins.
+def read_graphml(spark: SparkSession, path: str, stem: Column | None = None) -> DataFrame:
+    """(stem, node, label, xmin, ymin, xmax, ymax) of GraphML files; a later datum of an attribute wins, empty ones are none.
 
-    Data name their attribute through ``<key id attr.name>``.
+    Data name their attribute through ``<key id attr.name>``. A row is a node: a file is read as a stream and
+    never held whole, files side by side. (The source can also split a file, but loses nodes that share a line with what
+    stands before them.) ``stem`` names the file, from ``file_path``; nodes without data are left out.
     """
-    keys = docs.select(
-        "stem",
-        F.explode(F.arrays_zip(F.expr("xpath(xml, '//key/@id')").alias("k"), F.expr("xpath(xml, '//key/@attr.name')").alias("a"))).alias("x"),
-    ).select("stem", "x.k", "x.a")
-    parsed = docs.select("stem", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<node\b[^>]*>.*?</node>"), F.lit(0))).alias("i", "n"))
-    data = parsed.select(
-        "stem", "i", F.expr("xpath_string(n, '/node/@id')").alias("node"),
-        F.posexplode(F.arrays_zip(F.expr("xpath(n, '/node/data/@key')").alias("k"), F.expr("xpath(n, '/node/data/text()')").alias("v"))).alias("j", "d"),
-    )
-    named = data.select("stem", "i", "node", "j", F.col("d.k").alias("k"), F.col("d.v").alias("v")).join(keys, ["stem", "k"])
-    last = lambda a: F.max_by("v", F.when(F.col("a") == a, F.col("j")))
-    boxes = named.groupBy("stem", "i", "node").agg(last("label").alias("label"), *[last(a).cast("double").alias(a) for a in ("xmin", "ymin", "xmax", "ymax")])
-    return boxes.drop("i")
-
-
-def read_graphml(spark: SparkSession, path: str) -> DataFrame:
-    return graphml_boxes(spark.read.text(path, wholetext=True).select(_stem(F.col("_metadata.file_name")).alias("stem"), F.col("value").alias("xml")))
+    named = (stem if stem is not None else _stem(F.col("file_path"))).alias("stem")
+
+    def tags(tag: str, schema: str) -> DataFrame:
+        reader = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).option("mode", "DROPMALFORMED").schema(schema)
+        return reader.load(path).select("*", F.col("_metadata.file_path").alias("file_path")).select(named, "*").drop("file_path")
+
+    keys = tags("key", "_id string, `_attr.name` string").filter("_id is not null").groupBy("stem", "_id").agg(F.max("`_attr.name`").alias("name"))
+    keys = keys.groupBy("stem").agg(F.map_from_entries(F.collect_list(F.struct("_id", "name"))).alias("keys"))  # a few dozen a file
+    nodes = tags("node", "_id string, data array<struct<_key string, _VALUE string>>").filter(F.size("data") > 0).join(keys, "stem")
+    of = lambda name: F.filter("data", lambda d: (F.element_at("keys", d["_key"]) == name) & (d["_VALUE"] != ""))
+    last = lambda name: F.get(of(name), F.size(of(name)) - 1)["_VALUE"]
+    return nodes.select("stem", F.col("_id").alias("node"), last("label").alias("label"), *[last(a).try_cast("double").alias(a) for a in ("xmin", "ymin", "xmax", "ymax")])
 
 
 def pixel_rows(lines: DataFrame, pixels: int) -> DataFrame:

@@ -1,10 +1,12 @@
 import json
+import os
 import struct
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from drawgraph.sources import readers, schemas, sinks
+from drawgraph.sources import corpus, readers, schemas, sinks
 from drawgraph.streaming import incremental
 
 
@@ -57,12 +59,46 @@ def test_label_sheet_split_and_pixel_files(spark, tmp_path):
 
 
 def test_graphml_later_data_win(spark, tmp_path):
-    xml = (
-        '<graphml><key id="k0" attr.name="label"/><key id="k1" attr.name="xmin"/><graph><node id="n1"><data key="k0">a</data><data key="k0">b</data>'
-        '<data key="k1">3.5</data></node><node id="n2"/></graph></graphml>'
-    )
-    (tmp_path / "g.graphml").write_text(xml)
-    assert [(r.stem, r.node, r.label, r.xmin, r.xmax) for r in readers.read_graphml(spark, str(tmp_path)).collect()] == [("g", "n1", "b", 3.5, None)]
+    head = '<?xml version="1.0"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="k0" attr.name="label"/><key id="k1" attr.name="xmin" for="node"><default>0</default></key><graph>'
+    nodes = '<node id="n1"><data key="k0">a</data><data key="k0"><![CDATA[b<&]]></data><data key="k1">3.5</data><data key="k1"/></node><node id="n2"/>\n<node id="n3"><data key="k9">x</data></node>'
+    (tmp_path / "g.graphml").write_text(head + nodes + "</graph></graphml>")
+    many = "".join(f'<node id="m{i}"><data key="k0">{"long " * 20}</data><data key="k1">{i}</data></node>\n' for i in range(30_000))
+    (tmp_path / "h.graphml").write_text(head.replace('"k0"', '"k1_"').replace('"k1"', '"k0"').replace('"k1_"', '"k1"') + many + "</graph></graphml>")  # other names for its keys
+    (tmp_path / "bad.graphml").write_text("<graphml><graph><node id=")
+    got = readers.read_graphml(spark, str(tmp_path)).collect()
+    assert sorted((r.node, r.label, r.xmin, r.xmax) for r in got if r.stem == "g") == [("n1", "b<&", 3.5, None), ("n3", None, None, None)]
+    assert sorted(int(r.label) for r in got if r.stem == "h") == list(range(30_000)) and {r.xmin for r in got if r.stem == "h"} == {None}
+
+
+def test_corpus_is_carried_forward(spark, tmp_path):
+    folder, store = tmp_path / "md", str(tmp_path / "store")
+    (folder / "sub").mkdir(parents=True)
+    names = ["a.md", "b [1].md", "c{x}.md", "sub/d e%.md"]
+    for n in names:
+        (folder / n).write_text(f"text of {n} é")
+    (folder / "no.txt").write_text("no")
+    state = lambda: {r.path.rsplit("/", 1)[1]: r.text for r in corpus.read(spark, store).collect()}
+    with pytest.raises(FileNotFoundError):
+        corpus.read(spark, store)
+    assert corpus.refresh(spark, str(folder), store) == corpus.Refresh(1, 4, 0, 0)
+    assert state() == {n.split("/")[-1]: f"text of {n} é" for n in names}
+    assert corpus.refresh(spark, str(folder), store) == corpus.Refresh(1, 0, 4, 0)
+    # a file that is changed behind an unchanged time and size isn't read; one is changed, one added, one gone
+    stat = (folder / "a.md").stat()
+    (folder / "a.md").write_text("TEXT of a.md é")
+    os.utime(folder / "a.md", ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    (folder / "b [1].md").write_text("new b")
+    (folder / "c{x}.md").unlink()
+    (folder / "f.md").write_text("f")
+    (folder / "empty.md").write_text("")
+    assert corpus.refresh(spark, str(folder), store) == corpus.Refresh(2, 2, 2, 1)
+    assert state() == {"a.md": "text of a.md é", "b [1].md": "new b", "d e%.md": "text of sub/d e%.md é", "f.md": "f"}
+    # a version without its mark doesn't count
+    (tmp_path / "store" / "version=3").mkdir()
+    assert corpus.versions(spark, store) == [1, 2] and corpus.read(spark, store, 1).count() == 4
+    for p in folder.rglob("*.md"):
+        p.unlink()
+    assert corpus.refresh(spark, str(folder), store) == corpus.Refresh(3, 0, 0, 4) and state() == {}
 
 
 def test_corpus_and_images(spark, tmp_path):
