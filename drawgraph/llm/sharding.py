@@ -44,6 +44,8 @@ def shard_by_bytes(
             F.crc32(raw).alias("crc"),
             F.xxhash64(raw).alias("h"),
             F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int").alias("salt"),
+            # rows of one text and id are alike, so whatever deals them out changes nothing that can be seen
+            F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("turn"),
         )
     )
     bits = min(MOST_BITS, max(LEAST_BITS, (rows.count() // RANGE_ROWS).bit_length()))
@@ -81,14 +83,21 @@ def shard_by_bytes(
             (F.col("group_byte") + F.col("range_byte")).alias("group_byte"),
         )
     )
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy("id")) - 1
+    # rows of one text, salt and id are counted first, in parts; a row's rank is what lies before its part and its place there
+    same = [*part, "id", "turn"]
+    alike = rows.groupBy(*same).agg(F.count("*").alias("k"))
+    ahead = F.sum("k").over(Window.partitionBy(*part).orderBy("id", "turn").rowsBetween(Window.unboundedPreceding, -1))
+    alike = alike.select(*[F.col(c).alias(f"_{c}") for c in same], F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))) - 1
     middle = F.when(
         F.col("group_bytes") * n_shards <= F.col("total") * whole_group,
         2 * F.col("group_byte") + F.col("group_bytes"),
     ).otherwise(2 * (F.col("byte") + F.col("rank") * F.col("size")) + F.col("size"))
+    numbered = rows.withColumn("place", place)
+    met = [F.col(c) == F.col(f"_{c}") for c in (*part, "turn")] + [F.col("id").eqNullSafe(F.col("_id"))]
+    numbered = numbered.join(alike, met).select(*part, "id", (F.col("place") + F.col("ahead")).alias("rank"))
     dealt = cut(
-        rows.withColumn("rank", rank)
-        .join(placed, part)
+        numbered.join(placed, part)
         .select(
             "id",
             "size",

@@ -36,3 +36,20 @@ def test_empty_table_and_extra_columns(spark):
     assert shard_by_bytes(empty, 40).collect() == []
     one = spark.createDataFrame([(1, "a", 5, "x")], "doc_id long, text string, shard int, size string")
     assert [(r.shard, r.slot) for r in shard_by_bytes(one, 40).collect()] == [(20, 0)]
+
+
+def test_rows_of_one_id_and_text_are_dealt_in_parts(spark):
+    """A third of all rows are one row, another third one text of null id; ids are strings."""
+    rows = [("one", "same text " * 9)] * 900 + [(None, "other " * 11)] * 900 + [(f"s{i}", f"text {i}") for i in range(900)]
+    got = shard_by_bytes(spark.createDataFrame(rows, "doc_id string, text string").repartition(7), 10).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((d, len(t) + 16) for d, t in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values()) and set(by) == set(range(10))
+
+
+def test_very_long_texts(spark):
+    rows = [(i, "x" * (3_000_000 if i == 7 else 50)) for i in range(50)]
+    got = shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert {r.doc_id: r["size"] for r in got} == {i: len(t) + 16 for i, t in rows}
