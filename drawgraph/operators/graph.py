@@ -273,37 +273,32 @@ def get_edge(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 def search_nodes(nodes: DataFrame, queries: DataFrame, n: int = 20) -> DataFrame:
     """(query, id): normalised query inside the normalised tag, or the query inside service or subtype; first ``n`` each.
 
-    Any number of texts: a node meets those whose first ``GRAM`` characters (fewer, if they have fewer) it holds, and
-    these are compared whole. An empty text finds nothing.
+    Any number of texts: all ``GRAM`` characters in a row of a node are its grams (and shorter ones, for short texts). A
+    text meets the nodes that hold the one of its own grams that the fewest nodes hold, and these are compared whole. An
+    empty text finds nothing.
     """
     text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
 
-    def grams(value: Column, kind: str) -> Column:
-        every = F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(GRAM)),
-                lambda n: F.when(F.length(value) >= n, F.transform(F.sequence(F.lit(1), F.length(value) - n + 1), lambda i: F.concat(F.lit(kind), F.substr(value, i, n)))).otherwise(
-                    F.array().cast("array<string>")
-                ),
-            )
-        )
-        return every
-
-    held = F.array_distinct(F.concat(grams(norm_tag(F.col("tag")), "t:"), grams(text("service"), "w:"), grams(text("subtype"), "w:")))
-    asked = queries.select("query").distinct().withColumns({"as_tag": norm_tag(F.col("query")), "as_word": F.lower("query")})
-    first = F.array(
-        F.when(F.col("as_tag") != "", F.concat(F.lit("t:"), F.left("as_tag", F.lit(GRAM)))),
-        F.when(F.col("as_word") != "", F.concat(F.lit("w:"), F.left("as_word", F.lit(GRAM)))),
-    )
-    fits = F.when(F.startswith("gram", F.lit("t:")), F.contains(norm_tag(F.col("tag")), F.col("as_tag"))).otherwise(
-        F.contains(text("service"), F.col("as_word")) | F.contains(text("subtype"), F.col("as_word"))
-    )
-    found = (
-        nodes.withColumn("gram", F.explode(held))
-        .join(asked.select("*", F.explode(F.array_compact(first)).alias("gram")), "gram")
-        .filter(fits)
-        .dropDuplicates(["query", "node_seq", "id"])
+    def pieces(value: Column, n: Column | int, kind: str) -> Column:
+        """Characters in a row, ``n`` each, after the kind of text that they stand for."""
+        n = F.lit(n) if isinstance(n, int) else n
+        starts = F.when(F.length(value) >= n, F.sequence(F.lit(1), F.length(value) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(F.lit(kind), F.substr(value, i, n)))
+
+    every = lambda value, kind: F.concat(*[pieces(value, n, kind) for n in range(1, GRAM + 1)])
+    held = F.array_distinct(F.concat(every(norm_tag(F.col("tag")), "t:"), every(text("service"), "w:"), every(text("subtype"), "w:")))
+    grams = nodes.withColumn("gram", F.explode(held))
+    own = lambda value, kind: pieces(value, F.least(F.lit(GRAM), F.length(value)), kind)
+    asked = queries.filter("query is not null").select("query").distinct().withColumns({"as_tag": norm_tag(F.col("query")), "as_word": F.lower("query")})
+    asked = asked.select("*", F.explode(F.array(F.struct(F.lit("t:").alias("kind"), F.col("as_tag").alias("whole")), F.struct(F.lit("w:").alias("kind"), F.col("as_word").alias("whole")))).alias("x"))
+    asked = asked.select("query", "x.*").filter("whole <> ''")
+    parts = asked.select("*", F.explode(F.array_distinct(F.when(F.col("kind") == "t:", own(F.col("whole"), "t:")).otherwise(own(F.col("whole"), "w:")))).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = parts.join(counts, "gram", "left").groupBy("query", "kind", "whole").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.bool_and(F.col("n").isNotNull()).alias("known"))
+    fits = F.when(F.col("kind") == "t:", F.contains(norm_tag(F.col("tag")), F.col("whole"))).otherwise(
+        F.contains(text("service"), F.col("whole")) | F.contains(text("subtype"), F.col("whole"))
     )
+    found = grams.join(rarest.filter("known"), "gram").filter(fits).dropDuplicates(["query", "node_seq", "id"])
     rank = F.row_number().over(Window.partitionBy("query").orderBy("node_seq"))
     return found.withColumn("_r", rank).filter(F.col("_r") <= n).select("query", "id", "tag")
 
