@@ -37,6 +37,8 @@ LEADERS = 2
 QUAD = 4
 #: Leading segments of a band by which a pair is told to have met already; later ones only repeat what these find.
 AHEAD = 6
+#: Bits that a key does without: 48 are left, which meet by chance too seldom to cost and make rows smaller on disk.
+SPARED = np.uint64(16)
 # roles of a row; above them it carries its band and its segment (``BEYOND`` for one-deletion neighbours)
 INDEX, INDEX_LESS, PROBE, PROBE_WIDE, PROBE_LESS = 1, 2, 4, 8, 16
 BAND_SHIFT, SEGMENT_SHIFT, BEYOND = 5, 11, (1 << 20) - 1
@@ -97,7 +99,7 @@ class Signatures:
         np.cumsum(weight, out=sums[1:])
         total = sums[first[1:]] - sums[first[:-1]]
         base = mix(np.arange(m, dtype=np.uint64) * _B + np.uint64(band + 1) * _C)
-        keys = mix(total + base)
+        keys = mix(total + base) >> SPARED
         reserve = -(-m // RESERVE)
         # cost: the rarest shingle bounds the list; an empty segment is held by any set
         cost = np.where(held == 0, np.inf, 1.0 / np.maximum(held, 1))
@@ -134,7 +136,7 @@ class Signatures:
         for segments, kind in less:
             which = np.isin(where, np.fromiter(segments, np.uint64))
             at = where[which].astype(np.int64)
-            out_keys.append(mix(total[at] - weight[which] + base[at]))
+            out_keys.append(mix(total[at] - weight[which] + base[at]) >> SPARED)
             out_roles.append(np.full(len(at), kind | mark | (BEYOND << SEGMENT_SHIFT), np.int32))
         return np.concatenate(out_keys), np.concatenate(out_roles)
 
@@ -221,14 +223,14 @@ def _sketch(found: DataFrame) -> np.ndarray | None:
 
 
 def signatures(docs: DataFrame, text_col: str, words: int, percent: int, sketch: np.ndarray | None) -> DataFrame:
-    """Rows (key, node, n, role); equal sets of one task give theirs once."""
+    """Rows (key, node, role); equal sets of one task give theirs once."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 2 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Signatures(percent, shared.value)
         for batch in batches:
             done: set[int] = set()
-            parts: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+            parts: list[tuple[np.ndarray, np.ndarray, int]] = []
             held = 0
 
             def flush(parts: list) -> pa.RecordBatch:
@@ -237,10 +239,9 @@ def signatures(docs: DataFrame, text_col: str, words: int, percent: int, sketch:
                     [
                         pa.array(np.concatenate([p[0] for p in parts]).view(np.int64)),
                         pa.array(np.repeat(np.array([p[2] for p in parts], np.int64), lengths)),
-                        pa.array(np.repeat(np.array([p[3] for p in parts], np.int32), lengths)),
                         pa.array(np.concatenate([p[1] for p in parts]).astype(np.int32)),
                     ],
-                    names=["key", "node", "n", "role"],
+                    names=["key", "node", "role"],
                 )
 
             with np.errstate(over="ignore"):
@@ -250,7 +251,7 @@ def signatures(docs: DataFrame, text_col: str, words: int, percent: int, sketch:
                         continue
                     done.add(node)
                     keys, roles = maker.rows(s)
-                    parts.append((keys, roles, node, len(s)))
+                    parts.append((keys, roles, node))
                     held += len(keys)
                     if held > 200_000:
                         yield flush(parts)
@@ -258,7 +259,7 @@ def signatures(docs: DataFrame, text_col: str, words: int, percent: int, sketch:
             if parts:
                 yield flush(parts)
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, node long, n int, role int")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, node long, role int")
 
 
 def filter_bits(keys: DataFrame) -> np.ndarray:
@@ -419,10 +420,10 @@ def classes(
     links = cut(_verified(docs, stars, groups, id_col, text_col, words, percent))
     label = connected(links)
     # pairs of a key that may be partners and are not connected yet
-    named = groups.select("node", "quad", F.struct("node", "b").alias("x")).join(label, "x", "left")
-    named = named.select("node", F.coalesce("label", "x").alias("label"), *[F.get("quad", F.lit(k)).alias(f"q{k}") for k in range(QUAD)])
+    named = groups.select("node", "n", "quad", F.struct("node", "b").alias("x")).join(label, "x", "left")
+    named = named.select("node", "n", F.coalesce("label", "x").alias("label"), *[F.get("quad", F.lit(k)).alias(f"q{k}") for k in range(QUAD)])
     mixed = (
-        shared.select("key", "node", "n", "role")
+        shared.select("key", "node", "role")
         .distinct()
         .join(named, "node")
         .selectExpr("*", f"min(label) over ({key_}) as low", f"max(label) over ({key_}) as high")

@@ -109,6 +109,15 @@ def test_parity_never_exceeds_the_difference():
         assert far > 2 * len(a) * 15 // 115
 
 
+def test_signature_rows_are_small(spark):
+    """They are most of what the join writes: keys of 48 bits, and no sizes, which the table of sets holds."""
+    docs = spark.createDataFrame(corpus(7), "doc_id long, text string")
+    rows = jaccard.signatures(docs, "text", 5, 80, None)
+    assert rows.columns == ["key", "node", "role"]
+    ends = rows.agg(F.min("key"), F.max("key"), F.count("*")).first()
+    assert 0 <= ends[0] and 1 << 40 < ends[1] < 1 << 48 and ends[2] > 1000
+
+
 def test_shingles_match_words():
     rows = corpus(4)
     texts = [(t or "").encode() for _, t in rows]
