@@ -15,6 +15,8 @@ from drawgraph.operators.lineage import cut_lineage
 
 #: Tags that one pass looks for; more are dealt into blocks by their hash, each with a pass of its own.
 BLOCK = 200_000
+#: Characters that a task gathers, of what it found, before it hands them on.
+HANDED = 4_000_000
 #: ASCII letters lose their case, one character for one, so that places stay.
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -92,14 +94,23 @@ def _scanned(texts: DataFrame, tags: DataFrame, schema: str, rows: Callable[[str
             for batch in batches:
                 found: list[tuple] = []
                 at: list[int] = []
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    if text and automaton is not None:
-                        mine = list(rows(text, *places(automaton, text)))
-                        found += mine
-                        at += [i] * len(mine)
-                if found:
+                held = 0
+
+                def handed() -> pa.RecordBatch:
                     columns = [pa.array(c) for c in zip(*found, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], names=["doc_id", *(f"c{k}" for k in range(len(columns)))])
+                    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], names=["doc_id", *(f"c{k}" for k in range(len(columns)))])
+
+                for i, text in enumerate(batch.column(1)):
+                    if automaton is not None and (text := text.as_py()):
+                        for row in rows(text, *places(automaton, text)):
+                            found.append(row)
+                            at.append(i)
+                            held += len(row[-1])
+                            if held > HANDED:
+                                yield handed()
+                                found, at, held = [], [], 0
+                if found:
+                    yield handed()
 
         return texts.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, {schema}")
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,22 @@ def test_links_of_first_mentions(spark):
     got = {r.k: r.text for r in mentions.link_drawing_refs(df, ["k"], mapping).collect()}
     assert got == {k: x if x is None else linked(x, known) for k, x in rows}
     assert mentions.link_drawing_refs(df.withColumn("other", F.lit(1)), ["k"], mapping).columns == ["k", "text", "other"]
+
+
+def test_a_task_hands_on_what_it_found_before_it_is_large(spark, monkeypatch):
+    sizes = []
+
+    class Texts:  # runs the function of a task here, and notes the size of what it hands on
+        schema, sparkSession = spark.createDataFrame([], "doc_id long, text string").schema, spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            text = "HV-0001 and " * 200
+            batch = pa.RecordBatch.from_pydict({"doc_id": list(range(50)), "text": [text] * 50})
+            sizes.extend(b.num_rows for b in run(iter([batch])))
+
+    monkeypatch.setattr(mentions, "HANDED", 20_000)
+    mentions._scanned(Texts(), spark.createDataFrame([("HV-0001",)], "tag string"), "", lambda text, whole, bare: ((t, text[max(0, x - 100) : x + 100]) for t, s in whole.items() for x in s))
+    assert sum(sizes) == 50 * 200 and max(sizes) < 210
