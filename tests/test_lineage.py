@@ -27,3 +27,16 @@ def test_edges_are_not_read_where_no_path_is_asked_for(spark):
     edges = spark.range(1).select(*[F.raise_error(F.lit("read")).cast("string").alias(c) for c in ("edge_seq", "id", "src", "dst", "kind")])
     asked = spark.createDataFrame([("q", None, "b")], "query string, start string, goal string")
     assert graph.find_path(edges, asked).collect() == []
+
+
+def test_a_search_text_meets_only_what_holds_it(spark):
+    nodes = spark.range(300).selectExpr("id as node_seq", "concat('n', id) as id", "concat('PT-', lpad(id, 6, '0')) as tag", "cast(null as string) as service", "'a long word of more than twenty-four characters' as subtype")
+    texts = ["pt 000123", "T-0002", "7", "twenty-four characters", "long word of more than twenty-four char", "long word of less than twenty-four char", "-", "", *("pt0000001234567890"[:k] for k in range(1, 18))]
+    got = graph.search_nodes(nodes, spark.createDataFrame([(x,) for x in texts], "query string"), 1000).collect()
+    word, want = "a long word of more than twenty-four characters", set()
+    for x in texts:
+        bare = x.upper().replace(" ", "").replace("-", "")
+        for k in range(300):
+            if x and (bare and bare in f"PT{k:06d}" or x.lower() in word):
+                want.add((x, f"n{k}"))
+    assert {(r.query, r.id) for r in got} == want and len(got) == len(want)
