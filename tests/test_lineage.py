@@ -29,6 +29,22 @@ def test_edges_are_not_read_where_no_path_is_asked_for(spark):
     assert graph.find_path(edges, asked).collect() == []
 
 
+def test_references_meet_in_parts_and_links_keep_known_ends(spark, monkeypatch):
+    nodes = spark.range(90).selectExpr("concat('d', id % 3) as pid", "id as node_seq", "concat('S:', id) as id", "'terminator' as type", "if(id < 80, 'To A-1', 'to b') as off_page_ref")
+    plain = sorted(map(tuple, graph.match_off_page_refs(nodes).collect()))
+    monkeypatch.setattr(graph, "PAIRS", 50)
+    dealt = graph.match_off_page_refs(nodes)
+    assert sorted(map(tuple, dealt.collect())) == plain and len(plain) > 2000
+    counts = [len(rows) for rows in dealt.rdd.glom().collect()]
+    assert len(counts) > 100 and max(counts) < len(plain) / 8  # in one task of a key they are nearly all
+    links = dealt.selectExpr("concat(src_pid, '::', src) as src", "concat(dst_pid, '::', dst) as dst")
+    unknown = spark.createDataFrame([("d0::none", "d1::S:1"), ("d1::S:1", None), ("d9::S:1", "d1::S:1")], "src string, dst string")
+    got = sorted(map(tuple, graph.resolve_inter_edges(links.unionByName(unknown), nodes.unionByName(nodes)).collect()))
+    assert got == sorted((f"{a}:{b}", f"{c}:{d}") for _, a, b, c, d in plain)
+    monkeypatch.setattr(graph, "SMALL_KEYS", 5)
+    assert sorted(map(tuple, graph.resolve_inter_edges(links.unionByName(unknown), nodes).collect())) == got
+
+
 def test_a_search_text_meets_only_what_holds_it(spark):
     nodes = spark.range(300).selectExpr("id as node_seq", "concat('n', id) as id", "concat('PT-', lpad(id, 6, '0')) as tag", "cast(null as string) as service", "'a long word of more than twenty-four characters' as subtype")
     texts = ["pt 000123", "T-0002", "7", "twenty-four characters", "long word of more than twenty-four char", "long word of less than twenty-four char", "-", "", *("pt0000001234567890"[:k] for k in range(1, 18))]
