@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawgraph.functions.scalars import tag_category
-from drawgraph.operators.lineage import cut_lineage
+from drawgraph.operators.lineage import cut_lineage, forget
 
-#: Rounds after which what was kept becomes one table.
-LEVELS = 8
+#: Cells on a side of a block, by which rows meet what may be too near to them.
+BLOCK = 4
 
 
 def word_windows(words: DataFrame) -> DataFrame:
@@ -57,37 +57,46 @@ def dedup_proximity(tags: DataFrame, near: int = 50) -> DataFrame:
     The choice is the one that a scan in that order makes, but is made in rounds. Places are dealt into cells of
     ``near``, of which two rows are always too near. In a round the first undecided row of a cell is kept if none of the
     eight cells around holds an earlier one that is too near; then what is too near to it goes. A row meets at most the
-    first rows, and later the kept ones, of nine cells, so a crowded group or cell costs no more than its rows.
+    first rows, and later the kept ones, of the cells in and around its block of cells, so a crowded group or cell costs
+    no more than its rows.
 
     Rows that order, name and place don't tell apart are one row. Null names are a name; null places or pages drop out.
     """
     grid = lambda c: F.floor(F.col(c) / near)
     order = F.struct((-F.col("conf")).alias("a"), F.col("pos").alias("b"), "x", "y")
     cell = ["page", "tag", "_i", "_j"]
-    open_ = tags.filter("page is not null and x is not null and y is not null").withColumns({"_i": grid("x"), "_j": grid("y"), "_o": order})
-    open_ = cut_lineage(open_.withColumn("tag", F.struct("tag")).dropDuplicates([*cell, "_o"]))  # a struct is never null
+    block = lambda c: F.floor(c / (near * BLOCK))
+    blocks = ["page", "tag", "_bi", "_bj"]
+    placed = lambda df: df.withColumns({"_i": grid("x"), "_j": grid("y"), "_bi": block(F.col("x")), "_bj": block(F.col("y")), "_o": order})
+    open_ = placed(tags.filter("page is not null and x is not null and y is not null").withColumn("tag", F.struct("tag")))  # a struct is never null
+    # places and order are made again from what is kept, which so has no more columns than the rows
+    open_ = cut_lineage(open_.dropDuplicates([*cell, "_o"]).select(*tags.columns))
     near_by = (F.abs(F.col("x") - F.col("_x")) < near) & (F.abs(F.col("y") - F.col("_y")) < near)
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
 
     def around(rows: DataFrame) -> DataFrame:
-        """Places and order of ``rows``, once for each of their nine cells."""
-        named = rows.select("page", "tag", F.col("_i").alias("_ci"), F.col("_j").alias("_cj"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("_o").alias("_best"), F.explode(steps).alias("_s"))
-        return named.select("page", "tag", (F.col("_ci") + F.col("_s.i")).alias("_i"), (F.col("_cj") + F.col("_s.j")).alias("_j"), "_ci", "_cj", "_x", "_y", "_best")
+        """Cells, places and order of ``rows``, once for each block that what is too near to them may lie in."""
+        reach = lambda c: F.explode(F.sequence(block(F.col(c) - near), block(F.col(c) + near)))
+        named = rows.select("page", "tag", F.col("_i").alias("_ci"), F.col("_j").alias("_cj"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("_o").alias("_best"), reach("x").alias("_bi"))
+        return named.withColumn("_bj", reach("_y"))
 
     kept: list[DataFrame] = []
     while not open_.isEmpty():
-        first = cut_lineage(open_.groupBy(*cell).agg(F.min("_o").alias("_o")).select(*cell, "_o", F.col("_o.x").alias("x"), F.col("_o.y").alias("y")))
-        beaten = open_.join(around(first), cell).filter(near_by & (F.col("_o") < F.col("_best"))).select("page", "tag", F.col("_ci").alias("_i"), F.col("_cj").alias("_j")).distinct()
+        rows = placed(open_)
+        first = cut_lineage(rows.groupBy(*cell).agg(F.min("_o").alias("_o")))
+        first_at = first.select("*", F.col("_o.x").alias("x"), F.col("_o.y").alias("y"))
+        beaten = rows.join(around(first_at), blocks).filter(near_by & (F.col("_o") < F.col("_best"))).select("page", "tag", F.col("_ci").alias("_i"), F.col("_cj").alias("_j")).distinct()
         won = cut_lineage(first.join(beaten, cell, "left_anti"))
-        kept.append(open_.join(won.select(*cell, "_o"), [*cell, "_o"], "left_semi"))
-        gone = around(won).select(*cell, "_x", "_y").alias("w")
-        mine = [F.col(f"r.{c}") == F.col(f"w.{c}") for c in cell]
+        won_at = won.select("*", F.col("_o.x").alias("x"), F.col("_o.y").alias("y"))
+        kept.append(cut_lineage(rows.join(won, [*cell, "_o"], "left_semi").select(*tags.columns)))
+        gone = around(won_at).select(*blocks, "_x", "_y").alias("w")
+        mine = [F.col(f"r.{c}") == F.col(f"w.{c}") for c in blocks]
         too_near = (F.abs(F.col("r.x") - F.col("w._x")) < near) & (F.abs(F.col("r.y") - F.col("w._y")) < near)
-        open_ = cut_lineage(open_.alias("r").join(gone, [*mine, too_near], "left_anti"))
-        if len(kept) % LEVELS == 0:
-            kept = [cut_lineage(reduce(DataFrame.unionByName, kept))]
+        left = cut_lineage(rows.alias("r").join(gone, [*mine, too_near], "left_anti").select(*tags.columns))
+        for table in (open_, first, won):  # a round leaves what it kept and what is open, nothing else
+            forget(table)
+        open_ = left
     out = reduce(DataFrame.unionByName, kept) if kept else open_
-    return out.withColumn("tag", F.col("tag.tag")).select(*tags.columns)
+    return out.withColumn("tag", F.col("tag.tag"))
 
 
 def aggregate_tags(tags: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from drawgraph.operators import graph
+from drawgraph.operators import graph, tags
 from drawgraph.operators.lineage import cut_lineage, forget, shared_folder
 
 
@@ -56,3 +56,12 @@ def test_a_search_text_meets_only_what_holds_it(spark):
             if x and (bare and bare in f"PT{k:06d}" or x.lower() in word):
                 want.add((x, f"n{k}"))
     assert {(r.query, r.id) for r in got} == want and len(got) == len(want)
+
+
+def test_rounds_of_the_proximity_choice_leave_only_what_they_kept(spark):
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = spark.range(2_000).selectExpr("id % 3 as page", "id as pos", "'HV-1' as tag", "(id * 37) % 400 - 90 as x", "(id * 53) % 300 as y", "id % 11 as conf")
+    kept = tags.dedup_proximity(rows, 50).count()
+    left = [spark.read.parquet(f"{folder}/{name}").count() for name in set(os.listdir(folder)) - before if name.startswith("cut-")]
+    assert kept == sum(left) and len([n for n in left if n]) > 1
