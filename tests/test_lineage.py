@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from drawgraph.operators import graph, tags
 from drawgraph.operators.lineage import cut_lineage, forget, shared_folder
+from drawgraph.plans import io_queries
+from drawgraph.plans.registry import Source
 
 
 def _bytes(folder):
@@ -65,3 +67,12 @@ def test_rounds_of_the_proximity_choice_leave_only_what_they_kept(spark):
     kept = tags.dedup_proximity(rows, 50).count()
     left = [spark.read.parquet(f"{folder}/{name}").count() for name in set(os.listdir(folder)) - before if name.startswith("cut-")]
     assert kept == sum(left) and len([n for n in left if n]) > 1
+
+
+def test_written_graphs_are_compressed(spark):
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    io_queries.write_graph(Source(spark, "/root/testdata/sf0.001"))
+    (name,) = [x for x in set(os.listdir(folder)) - before if x.startswith("drawgraph-graphs-")]
+    whole = spark.read.text(f"{folder}/{name}").agg(F.sum(F.octet_length("value"))).first()[0]
+    assert _bytes(f"{folder}/{name}") < whole / 3
