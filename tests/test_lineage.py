@@ -76,3 +76,12 @@ def test_written_graphs_are_compressed(spark):
     (name,) = [x for x in set(os.listdir(folder)) - before if x.startswith("drawgraph-graphs-")]
     whole = spark.read.text(f"{folder}/{name}").agg(F.sum(F.octet_length("value"))).first()[0]
     assert _bytes(f"{folder}/{name}") < whole / 3
+
+
+def test_regions_of_more_than_one_block_keep_their_origins(spark, monkeypatch):
+    edges = spark.range(200).selectExpr("concat('a', id) as src", "concat('b', id % 7) as dst", "'process' as kind")
+    origins = spark.range(200).selectExpr("concat('a', id) as origin")
+    want = sorted((f"a{k}", f"b{k % 7}", 1) for k in range(200))
+    assert sorted(map(tuple, graph.impact_region(edges, origins).collect())) == want
+    monkeypatch.setattr(graph, "SENT_ORIGINS", 10)
+    assert sorted(map(tuple, graph.impact_region(edges, origins).collect())) == want
