@@ -85,3 +85,13 @@ def test_regions_of_more_than_one_block_keep_their_origins(spark, monkeypatch):
     assert sorted(map(tuple, graph.impact_region(edges, origins).collect())) == want
     monkeypatch.setattr(graph, "SENT_ORIGINS", 10)
     assert sorted(map(tuple, graph.impact_region(edges, origins).collect())) == want
+
+
+def test_rounds_of_components_leave_one_table(spark):
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    edges = spark.range(0, 60, 1, 4).selectExpr("lpad((id * 7) % 61, 3, '0') as src", "lpad((id * 7 + 7) % 61, 3, '0') as dst")
+    nodes = spark.range(61).selectExpr("lpad(id, 3, '0') as id")
+    got = graph.connected_components(edges, nodes, task_rows=0).collect()
+    assert {r.component for r in got} == {"000"} and len(got) == 61
+    assert len([x for x in set(os.listdir(folder)) - before if x.startswith("cut-")]) == 1
